@@ -41,19 +41,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, max_bytes: int = 8 << 20) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, max_bytes: int = 8 << 20, max_rows: int = 1 << 30) -> DataFrame:
     """``mapInArrow`` that hands ``fn`` slices of about ``max_bytes``, so that memory stays bounded when texts are long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, max_bytes):
+            for part in slices(batch, max_bytes, max_rows):
                 yield fn(part)
 
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    step = max(1, int(batch.num_rows * max_bytes / max(1, batch.nbytes)))
+def slices(batch: pa.RecordBatch, max_bytes: int, max_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    step = max(1, min(max_rows, int(batch.num_rows * max_bytes / max(1, batch.nbytes))))
     for start in range(0, batch.num_rows, step):
         yield batch.slice(start, step)
 
