@@ -1,8 +1,52 @@
-"""Corpus pipeline: stages over ``documents``."""
+"""Corpus pipeline over ``documents``: language ID, near-duplicate removal, mixing of sources, tokens.
 
-STAGES = []
+Each stage takes what the one before it kept. Between stages the rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerwatch.llm import bpe, jaccard, langid, mixing
+from ledgerwatch.llm.common import documents, stored
+
+#: Documents whose language is less certain than this go, like those without any letter.
+LEAST_SCORE = 0.05
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with a recognised language, and name it in ``lang``."""
+    model = langid.train(docs.filter(~langid.held_out()))
+    tagged = langid.tagged(docs, model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return tagged.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each group of near copies."""
+    return jaccard.keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take documents, some twice, so that sources meet their target weights."""
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode and decode what was taken."""
+    return bpe.digests(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
+
+#: No SQL expresses the language and token stages; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts
+from . import bpe, fingerprints, jaccard, langid, licenses, media, mixing, sharding, token_counts, warc
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,67 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_documents(documents(spark, sf_dir))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(documents(spark, sf_dir))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.store_texts(documents(spark, sf_dir)))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(documents(spark, sf_dir))
+
+
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(documents(spark, sf_dir))
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op5_token_counts": op5_token_counts}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_language_id": op2_language_id,
+        "op3_jaccard_join": op3_jaccard_join,
+        "op4_media": op4_media,
+        "op5_token_counts": op5_token_counts,
+        "op6_license_scan": op6_license_scan,
+        "op7_mix": op7_mix,
+        "op8_warc": op8_warc,
+        "op9_fingerprints": op9_fingerprints,
+        "op10_shards": op10_shards,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc": WARC_SQL}
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest AS g, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f ON payload_digest = g
+"""
