@@ -3,13 +3,13 @@
 Sets are the distinct word 5-shingles of whole texts (64-bit hashes). Two sets link when ``100 * |A & B| >= threshold * |A | B|``.
 
 1. *Equal sets* collapse first: a 64-bit set id stands for all copies, so copies cost nothing later.
-2. *Index.* Under any one order of shingles, two sets that link share one within their first ``n - ceil(t n) + 1`` (the prefix). The order is: shingles that few prefixes
-   hold before frequent ones, then by hash. Prefix counts are taken over all documents; the frequent shingles are named by a bit map of bounded size (``MAX_BITS``);
-   a shingle put among the frequent ones by accident only moves in the order, so results don't depend on the map. Entries (shingle, set, size, position) travel packed,
-   a few rows for each task and bucket; frequent shingles are dealt by set, never to one task.
-3. *Index-level skipping.* A list is kept in order of size and position, and a scan stops or steps over a block of entries when sizes
-   or what is left behind both positions can't reach the overlap that a link needs.
-4. *Answer-level skipping.* In the list of a frequent shingle every set is compared with one pivot. Sets that link to the pivot are in one group, and
+2. *Index.* Under any one order of shingles, two sets that link share one within their first ``n - ceil(t n) + 1`` (the prefix). The order is: rare shingles
+   first, frequent ones (in more than ``FREQUENT`` sets) last, each by hash. Every shingle of every document is counted. The frequent ones are named by a bit map of bounded size (``MAX_BITS``); a
+   shingle put among them by accident only moves in the order, so results don't depend on the map. Entries (shingle, set, size, position) travel packed, a few rows for each
+   task and bucket; frequent shingles are dealt by set, never to one task.
+3. *Index-level skipping.* A list is kept in order of size and position, and a scan stops or steps over the block of entries that follows when sizes or what is
+   left behind both positions can't reach the overlap that a link needs. As rare shingles come first, a frequent one stands in reach only in sets that are made of frequent shingles nearly alone.
+4. *Answer-level skipping.* In the list of a frequent shingle every set is compared with one pivot, the set with the smallest share of rare shingles. Sets that link to the pivot are in one group, and
    nothing more is asked about pairs among them. For the rest, the answers of the pivot bound theirs: ``|X & Z| <= |Z & P| + |X| - |X & P|``; only pairs across groups that pass are compared.
 5. Candidates are verified on whole sets, and links become components by star rounds. A candidate is never dropped for want of room.
 
@@ -32,15 +32,16 @@ from .components import components
 from .text import mix, set_id, shingle_sets
 
 THRESHOLD = 80
-#: Prefix entries of a shingle beyond which it counts as frequent. A matter of cost only.
+#: Sets that hold a shingle beyond which it counts as frequent. A matter of cost only.
 FREQUENT = 8
 #: A list longer than this in a bucket takes the road of frequent shingles.
 LONG_LIST = 64
-#: Bits of the maps that are broadcast, at most (16 MB).
-MAX_BITS = 1 << 27
+#: Bits of the maps that are broadcast, at most (128 MB).
+MAX_BITS = 1 << 30
 ENTRIES_PER_BUCKET = 200_000
+SHINGLES_PER_BUCKET = 400_000
 FLUSH = 2_000_000
-ENTRY = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+ENTRY = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("rare", "<i4")])
 
 
 def prefix_length(n, threshold: int = THRESHOLD):
@@ -113,44 +114,55 @@ def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield (int(bucket[a]), *[c[a:b].tobytes() for c in columns])
 
 
-def prefix_counts(docs: DataFrame, buckets: int, threshold: int) -> DataFrame:
-    """Packed prefix shingles in hash order and how often the task met them: ``bucket``, ``tokens``, ``counts``."""
+def short_key(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32 further bits of a shingle: enough to count by, at half the bytes."""
+    return ((tokens & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32), (tokens >> np.uint64(32)).astype(np.uint32)
+
+
+def map_key(bucket: np.ndarray, short: np.ndarray) -> np.ndarray:
+    return mix(bucket.astype(np.uint64) << np.uint64(32) | short.astype(np.uint64))
+
+
+def shingle_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """Packed short keys of all shingles and in how many sets a task met them: ``bucket``, ``keys``, ``counts``."""
 
     def run(batches):
         held, size, once = [], 0, Once()
 
         def flush():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            rows = list(by_bucket((tokens % np.uint64(buckets)).astype(np.int32), tokens, counts.astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "tokens", "counts"])
+            bucket, short = short_key(tokens, buckets)
+            rows = list(by_bucket(bucket, short, np.minimum(counts, 0xFFFF).astype(np.uint16)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "keys", "counts"])
 
         for _, sets in sets_of(batches):
             for x in sets:
                 if len(x) and once(set_id(x)):
-                    held.append(x[: prefix_length(len(x), threshold)])
-                    size += len(held[-1])
+                    held.append(x)
+                    size += len(x)
             if size > FLUSH:
                 yield from flush()
                 held, size = [], 0
         if held:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, tokens binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, counts binary")
 
 
 def frequent(counts: DataFrame) -> DataFrame:
-    """``v``: the shingles that more than FREQUENT prefixes hold."""
+    """``v``: map keys of the shingles that more than FREQUENT sets hold."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.frombuffer(b"".join(pdf["tokens"]), dtype=np.uint64)
-        n = np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint32)
-        kinds, at = np.unique(tokens, return_inverse=True)
-        return pd.DataFrame({"v": kinds[np.bincount(at, weights=n) > FREQUENT].view(np.int64)})
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        short = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint32)
+        n = np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint16)
+        kinds, at = np.unique(short, return_inverse=True)
+        often = kinds[np.bincount(at, weights=n) > FREQUENT]
+        return pd.DataFrame({"v": map_key(np.full(len(often), key[0]), often).view(np.int64)})
 
     return counts.groupBy("bucket").applyInPandas(run, "v long")
 
 
-def index(docs: DataFrame, buckets: int, frequent_map, bits: int, threshold: int) -> DataFrame:
+def index(docs: DataFrame, buckets: int, frequent_map, bits: int, key_buckets: int, threshold: int) -> DataFrame:
     """Packed index entries: buckets below ``buckets`` by shingle; above, those of frequent shingles by set."""
 
     def run(batches):
@@ -168,11 +180,12 @@ def index(docs: DataFrame, buckets: int, frequent_map, bits: int, threshold: int
             for x in sets:
                 if not len(x) or not once(sid := set_id(x)):
                     continue
-                often = hits(words, bits, x)
+                often = hits(words, bits, map_key(*short_key(x, key_buckets)))
+                rare = len(x) - int(often.sum())
                 x, often = (np.concatenate([x[~often], x[often]]), np.sort(often)) if often.any() else (x, often)
                 p = prefix_length(len(x), threshold)
                 e = np.empty(p, dtype=ENTRY)
-                e["token"], e["sid"], e["n"], e["pos"] = x[:p], sid, len(x), np.arange(p)
+                e["token"], e["sid"], e["n"], e["pos"], e["rare"] = x[:p], sid, len(x), np.arange(p), rare
                 held.append((e, often[:p]))
                 size += p
             if size > FLUSH // 2:
@@ -185,7 +198,7 @@ def index(docs: DataFrame, buckets: int, frequent_map, bits: int, threshold: int
 
 
 #: ``b`` is null for an entry of a frequent shingle, else the row is a candidate pair.
-FOUND = "token long, a long, na int, pos int, b long, nb int"
+FOUND = "token long, a long, na int, pos int, rare int, b long, nb int"
 
 
 def scan_lists(entries: DataFrame, buckets: int, threshold: int) -> DataFrame:
@@ -218,8 +231,8 @@ def scan_lists(entries: DataFrame, buckets: int, threshold: int) -> DataFrame:
         found[flip] = found[flip][:, [2, 3, 0, 1]]
         found = np.unique(found, axis=0)
         part = lambda x, kind: pd.array(x, dtype=kind)
-        one = pd.DataFrame({"token": part([None] * len(found), "Int64"), "a": found[:, 0], "na": found[:, 1], "pos": part([None] * len(found), "Int32"), "b": part(found[:, 2], "Int64"), "nb": part(found[:, 3], "Int32")})
-        two = pd.DataFrame({"token": part(rest["token"].view(np.int64), "Int64"), "a": rest["sid"], "na": rest["n"], "pos": part(rest["pos"], "Int32"), "b": part([None] * len(rest), "Int64"), "nb": part([None] * len(rest), "Int32")})
+        one = pd.DataFrame({"token": part([None] * len(found), "Int64"), "a": found[:, 0], "na": found[:, 1], "pos": part([None] * len(found), "Int32"), "rare": part([None] * len(found), "Int32"), "b": part(found[:, 2], "Int64"), "nb": part(found[:, 3], "Int32")})
+        two = pd.DataFrame({"token": part(rest["token"].view(np.int64), "Int64"), "a": rest["sid"], "na": rest["n"], "pos": part(rest["pos"], "Int32"), "rare": part(rest["rare"], "Int32"), "b": part([None] * len(rest), "Int64"), "nb": part([None] * len(rest), "Int32")})
         return pd.concat([one, two]) if len(one) and len(two) else one if len(one) else two
 
     return entries.groupBy("bucket").applyInPandas(run, FOUND)
@@ -264,7 +277,7 @@ def linked(pairs: DataFrame, threshold: int) -> DataFrame:
 def across_groups(entries: DataFrame, done: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
     """Pairs of frequent lists that lie in different groups and that the pivot's answers don't rule out: ``a``, ``na``, ``b``, ``nb``."""
     e = entries.join(groups, "a")
-    pivots = e.groupBy("token").agg(F.min(F.struct("a", "na", "g")).alias("p"), F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("token", "p")
+    pivots = e.groupBy("token").agg(F.min(F.struct("odd", "a", "na", "g")).alias("p"), F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("token", "p")
     own = F.least("a", "p.a"), F.greatest("a", "p.a")
     e = e.join(pivots, "token").select("*", own[0].alias("lo"), own[1].alias("hi"))
     e = e.join(done.select(F.col("a").alias("lo"), F.col("b").alias("hi"), "overlap"), ["lo", "hi"], "left")
@@ -290,16 +303,17 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     first = stored(table.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")))
     total = table.agg(F.sum(F.expr(f"n - (n * {threshold}L + 99) div 100 + 1"))).first()[0] or 0
     buckets = max(64, total // ENTRIES_PER_BUCKET)
-    often = stored(frequent(prefix_counts(docs, buckets, threshold)))
+    key_buckets = max(64, (table.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0) // SHINGLES_PER_BUCKET)
+    often = stored(frequent(shingle_counts(docs, key_buckets)))
     words, bits = bit_map(often, often.count())
     shared = docs.sparkSession.sparkContext.broadcast(words)
-    found = stored(scan_lists(index(docs, buckets, shared, bits, threshold), buckets, threshold))
-    entries = found.filter("b is null").select("token", "a", "na", "pos")
-    pivots = entries.groupBy("token").agg(F.min(F.struct("a", "na")).alias("p"))
+    found = stored(scan_lists(index(docs, buckets, shared, bits, key_buckets, threshold), buckets, threshold))
+    entries = found.filter("b is null").select("token", "a", "na", "pos", F.expr("rare * 1000L div na").alias("odd"))
+    pivots = entries.groupBy("token").agg(F.min(F.struct("odd", "a", "na")).alias("p"))
     starred = (
         entries.join(pivots, "token")
         .filter(f"a <> p.a and 100L * least(na, p.na) >= {threshold}L * greatest(na, p.na)")
-        .select(F.col("p.a").alias("a"), F.col("p.na").alias("na"), F.col("a").alias("b"), F.col("na").alias("nb"))
+        .select(F.least("a", "p.a").alias("a"), F.expr("if(a < p.a, na, p.na)").alias("na"), F.greatest("a", "p.a").alias("b"), F.expr("if(a < p.a, p.na, na)").alias("nb"))
     )
     pairs = stored(found.filter("b is not null").select("a", "na", "b", "nb").unionByName(starred).distinct())
     done = stored(verified(docs, pairs, first))
