@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import FEATURES
-from .scores import LR_STDS, LR_WEIGHTS
+from .scores import LR_STDS, LR_WEIGHTS, numbers
 
 #: How many features are explained, and where their deviations differ from the linear model's.
 EXPLAINED = 30
@@ -26,12 +26,11 @@ RULES = [
 
 def contributions(seq: DataFrame, weights=LR_WEIGHTS) -> DataFrame:
     """``contributions``: features with value and share of the score, the strongest first."""
-    parts = []
-    for i, (c, s) in enumerate(zip(FEATURES[:EXPLAINED], STDS, strict=True)):
-        value = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
-        share = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), value / s)) / 3.0 * weights[i]
-        parts.append(F.struct((-F.abs(share)).alias("order"), F.lit(i).alias("i"), F.lit(c).alias("feature"), value.alias("value"), share.alias("contribution")))
-    return seq.withColumn("contributions", F.array_sort(F.array(*parts)))
+    names = ", ".join(f"'{c}'" for c in FEATURES[:EXPLAINED])
+    value = "coalesce(nanvl(v, 0.0D), 0.0D)"
+    share = f"(greatest(-3.0D, least(3.0D, {value} / {numbers(STDS)}[i])) / 3.0D * {numbers(weights[:EXPLAINED])}[i])"
+    parts = f"transform(slice(features, 1, {EXPLAINED}), (v, i) -> struct(-abs{share} as order, i as i, array({names})[i] as feature, {value} as value, {share} as contribution))"
+    return seq.withColumn("contributions", F.array_sort(F.expr(parts)))
 
 
 def triggered(seq: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def enrich(alerts: DataFrame) -> DataFrame:
         + case when volume >= 50000 then 0.10D when volume >= 20000 then 0.05D else 0.0D end
         + if(cep_hits >= 1 and ml_hits >= 1, 0.08D, 0.0D) + if(sql_hits >= 1 and edges >= 2, 0.08D, 0.0D)"""
     )
-    a = a.withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + bonus)).withColumn("source", F.concat("source", F.lit("_ENRICHED")))
+    a = a.withColumn("confidence", F.least(F.lit(1.0), F.round(F.col("confidence") + bonus, 9))).withColumn("source", F.concat("source", F.lit("_ENRICHED")))
     return a.withColumn("risk_level", enriched_risk()).drop("new")
 
 

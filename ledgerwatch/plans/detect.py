@@ -19,6 +19,7 @@ def as_alerts(rows: DataFrame, **columns) -> DataFrame:
         if c not in out.columns:
             out = out.withColumn(c, F.lit(None).cast("string"))
     out = out.withColumn("alert_id", F.sha2(F.concat_ws("|", "source", "fraud_type", "account_id", "ids"), 256))
+    out = out.withColumn("confidence", F.round("confidence", 9))  # sums of tenths must not fall just below a level
     return out.select(*[F.col(f.name).cast(f.dataType) for f in ALERT])
 
 
@@ -65,6 +66,8 @@ def rule_alerts(tx: DataFrame) -> DataFrame:
 def scored_sequences(tx: DataFrame, gap_ms: int = 60_000) -> DataFrame:
     """Sequences with all 36 features and the component scores that need no training (boosted trees and isolation forest count 0 until a model exists)."""
     seq = features.with_graph(features.with_features(windows.sequences(tx, gap_ms)), graph.sequence_stats(tx))
+    # three aggregates and the scores read these rows: they are kept once, in memory or on disk (a lost part is computed again)
+    seq = seq.withColumn("features", features.vector()).persist()
     seq = scores.stat_scores(scores.path_scores(scores.lr_score(scores.behavior_score(seq))))
     return seq.withColumns({"gbdt_score": F.lit(0.0), "isolation_score": F.lit(0.0)})
 

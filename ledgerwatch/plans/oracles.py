@@ -68,7 +68,7 @@ RULES = f"""r0 AS (SELECT c.account_id, c.fraud_type, c.confidence, 'CEP_RULE' A
   UNION ALL SELECT account_id, '分散转入集中提现(SQL)', confidence, 'SQL_SCATTER_CASHOUT', l_tx_id || ',' || r_tx_id, 0, round(total_in, 2), {CTX} FROM cashout JOIN tx t ON t.tx_id = r_tx_id WHERE confidence > 0.5
   UNION ALL SELECT account_id, '团伙同IP批量作案(SQL)', confidence, 'SQL_IP_GANG', '' || first_tx, 0, 0, {CTX} FROM gang JOIN tx t ON t.tx_id = first_tx WHERE confidence > 0.6
   UNION ALL SELECT account_id, '分散转入集中转出(SQL)', confidence, 'SQL_SCATTER_PATTERN', last_tx || ',' || window_ms, 0, 0, {CTX} FROM into_ JOIN tx t ON t.tx_id = last_tx WHERE confidence > 0.5),
-alerts AS (SELECT *, sha256(source || '|' || fraud_type || '|' || account_id || '|' || ids) AS alert_id FROM r0)"""
+alerts AS (SELECT * REPLACE (round(CAST(confidence AS DOUBLE), 9) AS confidence), sha256(source || '|' || fraud_type || '|' || account_id || '|' || ids) AS alert_id FROM r0)"""
 ALERTS = ",\n".join([TX, CEP, CHAIN, CASHOUT, GANG, INTO, RULES])
 
 
@@ -154,8 +154,8 @@ ga AS (SELECT account, {first_of(graph.GRAPH_TYPES)} AS fraud_type, CAST(score A
 ENRICH = """e0 AS (SELECT *, CASE WHEN event_ms - lag(event_ms) OVER (PARTITION BY account_id ORDER BY event_ms, alert_id) <= 60000 THEN 0 ELSE 1 END AS new FROM alerts),
 e1 AS (SELECT *, sum(new) OVER (PARTITION BY account_id ORDER BY event_ms, alert_id ROWS UNBOUNDED PRECEDING) AS session FROM e0),
 e2 AS (SELECT *, count(*) FILTER (source LIKE '%CEP%') OVER w AS cep_hits, count(*) FILTER (source LIKE '%SQL%') OVER w AS sql_hits, sum(edge) OVER w AS edges, sum(vol) OVER w AS volume FROM e1 WINDOW w AS (PARTITION BY account_id, session ORDER BY event_ms, alert_id ROWS UNBOUNDED PRECEDING)),
-e3 AS (SELECT * REPLACE (least(1.0, confidence + least(0.15, (cep_hits + sql_hits) * 0.05) + CASE WHEN edges >= 3 THEN 0.10 WHEN edges >= 1 THEN 0.05 ELSE 0 END + CASE WHEN volume >= 50000 THEN 0.10 WHEN volume >= 20000 THEN 0.05 ELSE 0 END
-  + CASE WHEN sql_hits >= 1 AND edges >= 2 THEN 0.08 ELSE 0 END) AS confidence, source || '_ENRICHED' AS source) FROM e2)"""
+e3 AS (SELECT * REPLACE (least(1.0, round(confidence + least(0.15, (cep_hits + sql_hits) * 0.05) + CASE WHEN edges >= 3 THEN 0.10 WHEN edges >= 1 THEN 0.05 ELSE 0 END + CASE WHEN volume >= 50000 THEN 0.10 WHEN volume >= 20000 THEN 0.05 ELSE 0 END
+  + CASE WHEN sql_hits >= 1 AND edges >= 2 THEN 0.08 ELSE 0 END, 9)) AS confidence, source || '_ENRICHED' AS source) FROM e2)"""
 TIME = "CASE WHEN event_ms <= 0 THEN '00:00:00.000' ELSE strftime(make_timestamp((event_ms + 28800000) * 1000), '%H:%M:%S.%g') END"
 FEEDBACK = """fb AS (SELECT *, CASE CAST('0x' || alert_id[1:2] AS INTEGER) % 5 WHEN 0 THEN 'FALSE_POSITIVE' WHEN 1 THEN 'INCORRECT_TYPE' ELSE 'CONFIRMED_FRAUD' END AS feedback_type FROM alerts)"""
 RATES = "count(*) AS total, count(*) FILTER (feedback_type = 'CONFIRMED_FRAUD') AS confirmed, count(*) FILTER (feedback_type = 'FALSE_POSITIVE') AS false_positive, count(*) FILTER (feedback_type = 'INCORRECT_TYPE') AS incorrect_type, round(count(*) FILTER (feedback_type = 'FALSE_POSITIVE') / count(*), 6) AS fpr"
@@ -251,7 +251,7 @@ def oracle_sql() -> dict[str, str]:
         "alerts_union": al + "SELECT account_id, fraud_type, round(confidence, 6) AS confidence, source, event_ms, round(amount, 6) AS amount, city FROM alerts",
         "all_alerts": with_(ALERTS, SEQ, FEAT, GRAPH, STATS, SCORED, ML, GNN, COMMUNITY, ACCOUNTS, GRAPH_ALERT) + f"""SELECT source, fraud_type, count(*) AS n, round(avg(confidence), 6) AS confidence FROM (SELECT source, fraud_type, confidence FROM alerts UNION ALL SELECT 'ML_ENSEMBLE', fraud_type, confidence FROM ma WHERE fraud_type IS NOT NULL
             UNION ALL SELECT 'GNN_GRAPH', {first_of(scores.GNN_TYPES)}, gnn_score FROM gn WHERE gnn_score >= 0.40 UNION ALL SELECT 'GRAPH_ANALYZER', fraud_type, confidence FROM ga) GROUP BY 1, 2""",
-        "alert_enrich": with_(ALERTS, ENRICH) + f"SELECT alert_id, account_id, source, {big('cep_hits sql_hits edges')}, {rnd('volume confidence', 4)}, CASE WHEN confidence >= 0.90 OR edges >= 4 THEN 'CRITICAL' WHEN confidence >= 0.75 OR edges >= 2 THEN 'HIGH' WHEN confidence >= 0.55 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM e3 WHERE confidence >= 0.45",
+        "alert_enrich": with_(ALERTS, ENRICH) + f"SELECT alert_id, account_id, source, {big('cep_hits sql_hits edges')}, {rnd('volume confidence')}, CASE WHEN confidence >= 0.90 OR edges >= 4 THEN 'CRITICAL' WHEN confidence >= 0.75 OR edges >= 2 THEN 'HIGH' WHEN confidence >= 0.55 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM e3 WHERE confidence >= 0.45",
         "alert_sink_projection": al + f"SELECT alert_id, account_id, fraud_type, round(confidence, 6) AS confidence, source, {TIME} AS alert_time, CASE WHEN confidence >= 0.9 THEN 'HIGH' WHEN confidence >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, round(amount, 6) AS amount, city, event_ms // 86400000 AS day FROM alerts",
         "normal_tx": tx + f"SELECT 'TX_' || tx_id AS tx_id, name_orig AS account_id, round(amount, 6) AS amount, city, CAST(transaction_hour AS BIGINT) AS transaction_hour, {TIME} AS tx_time FROM tx WHERE is_fraud = 0",
         "eval_metrics": al + "SELECT (SELECT count(*) FROM tx) AS total_transactions, count(*) AS total_alerts, count(*) FILTER (source LIKE '%CEP%') AS cep_alerts, count(*) FILTER (source LIKE '%ML%') AS ml_alerts, CAST(0 AS BIGINT) AS fusion_alerts, round(count(*) / (SELECT count(*) FROM tx), 4) AS alert_rate FROM alerts",
@@ -269,7 +269,7 @@ def oracle_sql() -> dict[str, str]:
         "serve_search": al + "SELECT alert_id, account_id, round(confidence, 6) AS confidence FROM alerts WHERE fraud_type LIKE '%链式%' AND source LIKE '%SQL%' AND confidence BETWEEN 0.7 AND 1 ORDER BY event_ms DESC, alert_id LIMIT 50 OFFSET 20",
         "serve_kpis": al + "SELECT (SELECT count(*) FROM tx) AS transactions, (SELECT count(*) FROM tx WHERE is_fraud = 1) AS labelled, count(*) AS alerts, count(DISTINCT account_id) AS accounts, count(*) FILTER (confidence >= 0.9) AS high_risk, round(count(*) / (SELECT count(*) FROM tx), 6) AS alert_rate FROM alerts",
         "feedback_stats": with_(ALERTS, FEEDBACK) + f"SELECT {RATES} FROM fb",
-        "feedback_by_type": with_(ALERTS, FEEDBACK) + f"SELECT fraud_type, {RATES}, round(CASE WHEN count(*) >= 10 AND count(*) FILTER (feedback_type = 'FALSE_POSITIVE') / count(*) > 0.2 THEN 0.6 ELSE 0.55 END, 6) AS suggested FROM fb GROUP BY 1",
+        "feedback_by_type": with_(ALERTS, FEEDBACK) + f"SELECT fraud_type, {RATES}, round(CASE WHEN count(*) >= 10 AND count(*) FILTER (feedback_type = 'FALSE_POSITIVE') / count(*) > 0.2 THEN 0.6 ELSE 0.55 END, 6)::DOUBLE AS suggested FROM fb GROUP BY 1",
         "feedback_keywords": with_(ALERTS, FEEDBACK) + "SELECT word, count(*) AS n FROM (SELECT lower(fraud_type) AS word FROM fb UNION ALL SELECT 'ok' FROM fb UNION ALL SELECT lower(source) FROM fb) WHERE length(word) >= 2 GROUP BY 1 ORDER BY n DESC, word LIMIT 5",
         "retrain_trigger": with_(ALERTS, FEEDBACK) + f", o AS (SELECT {RATES} FROM fb), w AS (SELECT max(fpr) AS worst_type FROM (SELECT fraud_type, {RATES} FROM fb GROUP BY 1) WHERE total >= 10) SELECT total, fpr, worst_type, CASE WHEN fpr > 0.10 THEN 'HIGH_FPR' WHEN worst_type > 0.30 THEN 'TYPE_FPR' WHEN total >= 50 THEN 'NEW_SAMPLES' ELSE 'NONE' END AS reason, total >= 50 OR fpr > 0.10 OR worst_type > 0.30 AS due FROM o, w",
         "review_queue_topk": al + "SELECT alert_id, account_id, round(p, 6) AS priority FROM (SELECT *, CASE WHEN confidence >= 0.90 THEN 4 WHEN confidence >= 0.75 THEN 3 WHEN confidence >= 0.50 THEN 2 ELSE 1 END * confidence AS p FROM alerts) ORDER BY p DESC, alert_id LIMIT 100",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import api, explain, features, scalar, scores
-from ..operators import drift, evaluate, feedback, fusion, graph, joins, serving, windows
+from ..operators import drift, evaluate, feedback, fusion, graph, joins, serving, training, windows
 from ..sources import ingest, sinks
 from ..sources.adapter import transactions
 from . import detect, patterns
@@ -254,7 +254,7 @@ def enriched(spark, sf):
 
 
 def alert_enrich(spark, sf):
-    return rounded(enriched(spark, sf).select("alert_id", "account_id", "source", "cep_hits", "sql_hits", "edges", "volume", "confidence", "risk_level"), 4)
+    return rounded(enriched(spark, sf).select("alert_id", "account_id", "source", "cep_hits", "sql_hits", "edges", "volume", "confidence", "risk_level"))
 
 
 def alert_sink_projection(spark, sf):
@@ -436,6 +436,27 @@ def latest_upsert(spark, sf):
     return sinks.latest(rows, ["k"], "tx_id")
 
 
+TRAIN = ["amount", "oldbalance_org", "newbalance_orig", "transaction_hour", "daily_tx_count"]
+
+
+def retrain(spark, sf):
+    """Fit on two thirds of the transactions, score the rest."""
+    t = transactions(spark, sf).select("tx_id", F.col("is_fraud").alias("label"), *TRAIN)
+    model = training.logistic(t.filter("tx_id % 3 <> 0"), TRAIN)
+    return rounded(training.probability(model, t.filter("tx_id % 3 = 0")).select("tx_id", "label", "probability"))
+
+
+def isolation(spark, sf):
+    seq = features.with_features(windows.sequences(transactions(spark, sf))).withColumn("features", F.array(*[F.col(c).cast("double") for c in features.SEQUENCE]))
+    return rounded(training.isolation_scores(seq, training.isolation_forest(seq)).select("account_id", "isolation_score"))
+
+
+def sage_embedding(spark, sf):
+    e = graph.edges(transactions(spark, sf))
+    nodes = training.hash_embedding(graph.sides(e).select("account").distinct(), "account")
+    return training.sage(e, nodes).select("account", F.transform("embedding", lambda x: F.round(x, 6)).cast("string").alias("embedding"))
+
+
 def queries() -> dict[str, Query]:
     here = globals()
     plain = [
@@ -445,7 +466,7 @@ def queries() -> dict[str, Query]:
         "graph_risk", "graph_alerts", "khop_neighbors", "alerts_union", "all_alerts", "alert_enrich", "alert_sink_projection", "normal_tx", "eval_metrics", "eval_detail", "validation_metrics", "validation_dedup",
         "ablation_real", "latency_percentiles", "throughput", "serve_totals", "serve_traffic", "serve_recent", "serve_search", "serve_kpis", "feedback_stats", "feedback_by_type", "feedback_keywords", "retrain_trigger",
         "review_queue_topk", "feedback_backfill", "ks_stat", "psi", "page_hinkley", "adwin", "drift_severity", "threshold_opt", "reservoir", "top_features", "triggered_rules", "explain_brief", "risk_composite",
-        "pattern_registry", "alert_report", "latest_upsert",
+        "pattern_registry", "alert_report", "latest_upsert", "retrain", "isolation", "sage_embedding",
     ]
     out: dict[str, Query] = {f"cep_{p.name}": one_pattern(p) for p in patterns.PATTERNS}
     out |= {name: here[name] for name in plain}
