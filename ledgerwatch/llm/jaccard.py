@@ -40,7 +40,9 @@ LONG_LIST = 64
 MAX_BITS = 1 << 30
 ENTRIES_PER_BUCKET = 200_000
 SHINGLES_PER_BUCKET = 400_000
-FLUSH = 2_000_000
+#: Shingles, or entries, that a task holds before it sends them on, and bytes of text that it hashes at a time: hashing takes about 50 times a slice's size.
+FLUSH = 1_000_000
+TEXT_BYTES = 2 << 20
 ENTRY = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("rare", "<i4")])
 
 
@@ -77,7 +79,7 @@ def hits(words: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     for batch in batches:
-        for part in slices(batch, 8 << 20):
+        for part in slices(batch, TEXT_BYTES):
             yield part.column(0), shingle_sets(part.column(1))
 
 
@@ -100,7 +102,7 @@ class Once:
     def __call__(self, sid: int) -> bool:
         if sid in self.seen:
             return False
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 200_000:
             self.seen.clear()
         self.seen.add(sid)
         return True
@@ -246,7 +248,7 @@ def sets_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep = hits(shared.value, bits, batch.column(2).to_numpy().view(np.uint64))
-            for part in slices(batch.filter(pa.array(keep)), 8 << 20):
+            for part in slices(batch.filter(pa.array(keep)), TEXT_BYTES):
                 sets = [x for x in shingle_sets(part.column(1)) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["sid", "hashes"])
 
