@@ -18,8 +18,8 @@ LEAST_SCORE = 0.05
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a recognised language, and name it in ``lang``."""
     model = langid.train(docs.filter(~langid.held_out()))
-    tagged = langid.tagged(docs, model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return tagged.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    kept = langid.tagged(docs, model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,8 +26,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import map_batches
 
 #: Labelled documents of each language that the classifier is fitted on, about.
-SAMPLE = 600
-DIM = 1 << 13
+SAMPLE = 400
+DIM_BITS = 12
+DIM = 1 << DIM_BITS
 UNKNOWN = "und"
 #: The family of a language code.
 FAMILIES = {
@@ -88,7 +89,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         three = two[:-1] << np.uint64(21) | u[2:]
         total = np.zeros(DIM)
         for k, x in enumerate((u, two, three)):
-            total += np.bincount(((x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) * np.uint64(0xD1342543DE82EF95) >> np.uint64(64 - 13)).astype(np.int64), minlength=DIM)
+            total += np.bincount(((x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)) * np.uint64(0xD1342543DE82EF95) >> np.uint64(64 - DIM_BITS)).astype(np.int64), minlength=DIM)
         out[i] = np.sqrt(total / total.sum())
     return out, lettered
 
@@ -201,14 +202,15 @@ def identify(df: DataFrame, model: Model | None, key: str = "doc_id", text: str
 
 
 def tagged(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """All columns of ``df``, and ``lang_pred`` and ``score``: rows pass through the map, so that no join brings them together again."""
-    shared, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+    """``row`` (all columns of ``df``), ``lang_pred`` and ``score``: rows pass through the map, so that no join brings them together again, and no column's name can clash."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = predictions(shared.value, batch.column(at))
-        return pa.RecordBatch.from_arrays([*batch.columns, names, scores], [*batch.schema.names, "lang_pred", "score"])
+        names, scores = predictions(shared.value, batch.column(1))
+        return pa.RecordBatch.from_arrays([batch.column(0), names, scores], ["row", "lang_pred", "score"])
 
-    return map_batches(df, run, StructType([*df.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]), max_bytes=4 << 20, max_rows=512)
+    return map_batches(packed, run, StructType([packed.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]), max_bytes=4 << 20, max_rows=512)
 
 
 def predictions(model: Model | None, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
