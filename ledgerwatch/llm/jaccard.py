@@ -352,8 +352,9 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     def suspect(h: pd.Series) -> pd.Series:
         return pd.Series(hits(shared.value, bits, h.to_numpy().view(np.uint64)))
 
-    marked = docs.withColumn("_suspect", suspect(F.xxhash64("doc_id")))
-    decided = marked.filter("_suspect").join(grouped.distinct().select(F.col("doc_id").alias("_id"), "component_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    alone = decided.filter("component_id is null").select(docs.columns)
-    firsts = decided.filter("component_id = doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
-    return marked.filter("not _suspect").select(docs.columns).unionByName(alone).unionByName(firsts)
+    # the row travels packed, so that no column's name can clash
+    marked = docs.select("doc_id", F.struct(*docs.columns).alias("row"), suspect(F.xxhash64("doc_id")).alias("suspect"))
+    decided = marked.filter("suspect").join(grouped.distinct().select(F.col("doc_id").alias("id"), "component_id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    alone = decided.filter("component_id is null").select("row.*")
+    firsts = decided.filter("component_id = doc_id").dropDuplicates(["doc_id"]).select("row.*")
+    return marked.filter("not suspect").select("row.*").unionByName(alone).unionByName(firsts)

@@ -151,18 +151,19 @@ def assignments(df: DataFrame, key: str = "doc_id", seed: int = SEED, weights=WE
 
 def mix(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, size, source_size, target, taken."""
-    sized = stored(with_sizes(docs).select("doc_id", "source", "size"))
+    sized = stored(with_sizes(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size"))
     return assignments(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``. The texts are shuffled once."""
-    sized = stored(with_sizes(docs).select(key, "source", "size"))
-    taken = assignments(sized, key).groupBy(key, "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).filter("_copies > 0")
-    taken = taken.withColumnsRenamed({key: "_key", "source": "_source"})
-    rows = docs.join(taken, docs[key].eqNullSafe(F.col("_key")) & docs["source"].eqNullSafe(F.col("_source")))
-    one = rows.filter("_rows = 1").withColumn("_own", F.col("_copies"))
-    number = F.row_number().over(Window.partitionBy(key, "source").orderBy(F.xxhash64("text")))
-    many = rows.filter("_rows > 1").withColumn("_own", F.expr("_copies div _rows") + (number <= F.col("_copies") % F.col("_rows")).cast("long"))
-    both = one.unionByName(many).filter("_own > 0")
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own").cast("int")))).select(docs.columns)
+    sized = stored(with_sizes(docs.select(key, "source", "text")).select(key, "source", "size"))
+    taken = assignments(sized, key).groupBy(key, "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    taken = taken.withColumnsRenamed({key: "t_key", "source": "t_source"})
+    packed = docs.select(F.col(key).alias("key"), F.col("source").alias("source"), F.struct(*docs.columns).alias("row"))  # no column's name can clash
+    rows = packed.join(taken, F.col("key").eqNullSafe(F.col("t_key")) & F.col("source").eqNullSafe(F.col("t_source")))
+    one = rows.filter("rows = 1").withColumn("own", F.col("copies"))
+    number = F.row_number().over(Window.partitionBy("key", "source").orderBy(F.xxhash64("row.text")))
+    many = rows.filter("rows > 1").withColumn("own", F.expr("copies div rows") + (number <= F.col("copies") % F.col("rows")).cast("long"))
+    both = one.unionByName(many).filter("own > 0")
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("own").cast("int")))).select("row.*")
