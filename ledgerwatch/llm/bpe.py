@@ -4,7 +4,7 @@ The tokenizer file (``tokenizers`` JSON: NFC, white space, lower case, split pat
 word-end suffix) is read on the driver and broadcast; it is a few MB whatever the corpus.
 
 * Text is cut at white space. A piece between white space is encoded alone, since no pre-token crosses white space,
-  and pieces repeat; each Python worker keeps a bounded table of the pieces that it has met.
+  and pieces repeat; each task keeps a bounded table of the pieces that it has met.
 * The new pieces of a batch are encoded together: the symbols of all their pre-tokens lie in one flat array, the rank of each adjacent
   pair is found by binary search over the sorted pair keys, and each round merges every word's lowest-ranked pair.
 * Decoding takes token strings by id and joins them with spaces (the file names no decoder).
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Pieces that a worker remembers before it starts anew.
-CACHE_PIECES = 400_000
+#: Pieces that a task remembers before it starts anew.
+CACHE_PIECES = 250_000
 NO_RANK = np.int64(1 << 40)
 
 
@@ -166,10 +166,10 @@ def pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """A vocabulary with the table of pieces that this worker has met."""
+    """A vocabulary with the table of pieces that a task has met."""
 
-    def __init__(self, text: str):
-        self.vocabulary = Vocabulary.read(text)
+    def __init__(self, own: Vocabulary):
+        self.vocabulary = own
         self.ids: dict[str, bytes] = {}
         self.split_all = regex.compile(self.vocabulary.split.pattern + "|\\n")
         self.special_ids = {k: np.int32(v).tobytes() for k, v in self.vocabulary.specials.items()}
@@ -204,16 +204,20 @@ class Encoder:
         return b"".join(out), np.array(ends, dtype=np.int64)
 
 
-_encoders: dict[int, Encoder] = {}
+_vocabularies: dict[int, Vocabulary] = {}
 
 
-def encoder(text: str) -> Encoder:
-    """One encoder for each tokenizer file in a Python worker; it outlives the task."""
+def vocabulary(text: str) -> Vocabulary:
+    """One vocabulary for each tokenizer file in a Python worker; it outlives the task, the table of pieces doesn't."""
     key = hash(text)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(text)
-    return _encoders[key]
+    if key not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[key] = Vocabulary.read(text)
+    return _vocabularies[key]
+
+
+def encoder(text: str) -> Encoder:
+    return Encoder(vocabulary(text))
 
 
 def encode_array(own: Encoder, texts: pa.Array) -> pa.ListArray:
@@ -221,7 +225,7 @@ def encode_array(own: Encoder, texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(raw, dtype=np.int32)))
 
 
-def decode_array(own: Encoder, ids: pa.ListArray, strings: pa.Array) -> pa.Array:
+def decode_array(ids: pa.ListArray, strings: pa.Array) -> pa.Array:
     flat = strings.take(pa.array(ids.flatten()))
     offsets = np.asarray(ids.offsets)
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), flat), " ")
@@ -241,13 +245,17 @@ def round_trip(df: DataFrame, path: str | None = None, text: str = "text", key:
     file = shared_file(df, path or default_tokenizer_path())
     key_type = df.schema[key].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def setup():
         own = encoder(file.value)
-        ids = encode_array(own, batch.column(1))
-        decoded = decode_array(own, ids, pa.array(own.vocabulary.tokens, pa.string()))
-        return pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], [key, "ids", "decoded"])
+        strings = pa.array(own.vocabulary.tokens, pa.string())
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = encode_array(own, batch.column(1))
+            return pa.RecordBatch.from_arrays([batch.column(0), ids, decode_array(ids, strings)], [key, "ids", "decoded"])
 
-    return map_batches(df.select(key, text), run, f"`{key}` {key_type}, ids array<int>, decoded string")
+        return run
+
+    return map_batches(df.select(key, text), setup, f"`{key}` {key_type}, ids array<int>, decoded string")
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", key: str = "doc_id") -> DataFrame:
@@ -255,13 +263,16 @@ def decode(df: DataFrame, path: str | None = None, ids: str = "ids", key: str =
     file = shared_file(df, path or default_tokenizer_path())
     key_type = df.schema[key].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = encoder(file.value)
-        lists = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type)).cast(pa.list_(pa.int32()))
-        decoded = decode_array(own, lists, pa.array(own.vocabulary.tokens, pa.string()))
-        return pa.RecordBatch.from_arrays([batch.column(0), decoded], [key, "decoded"])
+    def setup():
+        strings = pa.array(vocabulary(file.value).tokens, pa.string())
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type)).cast(pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([batch.column(0), decode_array(lists, strings)], [key, "decoded"])
+
+        return run
 
-    return map_batches(df.select(key, F.col(ids).cast("array<int>")), run, f"`{key}` {key_type}, decoded string")
+    return map_batches(df.select(key, F.col(ids).cast("array<int>")), setup, f"`{key}` {key_type}, decoded string")
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:

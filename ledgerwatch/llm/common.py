@@ -41,15 +41,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, max_bytes: int = 8 << 20, max_rows: int = 1 << 30) -> DataFrame:
-    """``mapInArrow`` that hands ``fn`` slices of about ``max_bytes``, so that memory stays bounded when texts are long."""
+#: Rows of an Arrow batch between Spark and Python: with texts of some kB each, a batch stays near 10 MB on either side.
+BATCH_ROWS = 2_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after Spark's default size of Arrow batches is lowered to BATCH_ROWS; a setting of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def map_batches(df: DataFrame, setup: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema, max_bytes: int = 8 << 20, max_rows: int = 1 << 30) -> DataFrame:
+    """``mapInArrow`` with slices of about ``max_bytes``, so that memory stays bounded when texts are long. ``setup`` makes the function once for each task: what it remembers goes with the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = setup()
         for batch in batches:
             for part in slices(batch, max_bytes, max_rows):
                 yield fn(part)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, max_bytes: int, max_rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", scale:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_text(sketch(x, scale), scale) for x in shingle_sets(batch.column(1))])], [key, "fingerprint"])
 
-    return map_batches(df.select(key, text), run, f"`{key}` {key_type}, fingerprint string", max_bytes=2 << 20)
+    return map_batches(df.select(key, text), lambda: run, f"`{key}` {key_type}, fingerprint string", max_bytes=2 << 20)
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,4 +141,4 @@ def compare_edited(docs: DataFrame, scale: int = SCALE) -> DataFrame:
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    return map_batches(with_next(docs), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", max_bytes=4 << 20)
+    return map_batches(with_next(docs), lambda: run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", max_bytes=4 << 20)

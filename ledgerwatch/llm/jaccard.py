@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import bounded, slices, stored
 from .components import components
 from .text import mix, set_id, shingle_sets
 
@@ -90,7 +90,7 @@ def set_table(docs: DataFrame) -> DataFrame:
         for ids, sets in sets_of(batches):
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in sets], pa.int32()), pa.array([set_id(x) for x in sets], pa.int64())], ["doc_id", "n", "sid"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sid long")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n int, sid long")
 
 
 class Once:
@@ -148,7 +148,7 @@ def shingle_counts(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, counts binary")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, "bucket int, keys binary, counts binary")
 
 
 def frequent(counts: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def index(docs: DataFrame, buckets: int, frequent_map, bits: int, key_buckets: i
         if held:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, entries binary")
+    return bounded(docs.select("doc_id", "text")).mapInArrow(run, "bucket int, entries binary")
 
 
 #: ``b`` is null for an entry of a frequent shingle, else the row is a candidate pair.
@@ -252,7 +252,7 @@ def sets_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = [x for x in shingle_sets(part.column(1)) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["sid", "hashes"])
 
-    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "sid long, hashes binary")
+    return bounded(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))).mapInArrow(run, "sid long, hashes binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(both, pa.int32())], ["a", "b", "na", "nb", "overlap"])
 
     joined = pairs.join(sets.withColumnsRenamed({"sid": "a", "hashes": "x"}), "a").join(sets.withColumnsRenamed({"sid": "b", "hashes": "y"}), "b")
-    return joined.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na int, nb int, overlap int")
+    return bounded(joined.select("a", "b", "na", "nb", "x", "y")).mapInArrow(run, "a long, b long, na int, nb int, overlap int")
 
 
 def linked(pairs: DataFrame, threshold: int) -> DataFrame:

@@ -183,7 +183,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "key", "x"])
 
     chosen = rows.filter(wanted).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
-    vectors = map_batches(chosen.select("lang", "text", "key"), run, "lang string, key string, x binary", max_bytes=1 << 20, max_rows=512).toArrow().to_pylist()
+    vectors = map_batches(chosen.select("lang", "text", "key"), lambda: run, "lang string, key string, x binary", max_bytes=1 << 20, max_rows=512).toArrow().to_pylist()
     if not vectors:
         return None
     vectors.sort(key=lambda r: (r["lang"], r["key"] or "", r["x"]))  # the fit doesn't depend on the order of arrival
@@ -198,7 +198,7 @@ def identify(df: DataFrame, model: Model | None, key: str = "doc_id", text: str
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), *predictions(shared.value, batch.column(1))], [key, "lang_pred", "score"])
 
-    return map_batches(df.select(key, text), run, f"`{key}` {key_type}, lang_pred string, score double", max_bytes=4 << 20, max_rows=512)
+    return map_batches(df.select(key, text), lambda: run, f"`{key}` {key_type}, lang_pred string, score double", max_bytes=4 << 20, max_rows=512)
 
 
 def tagged(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -210,7 +210,7 @@ def tagged(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
         names, scores = predictions(shared.value, batch.column(1))
         return pa.RecordBatch.from_arrays([batch.column(0), names, scores], ["row", "lang_pred", "score"])
 
-    return map_batches(packed, run, StructType([packed.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]), max_bytes=4 << 20, max_rows=512)
+    return map_batches(packed, lambda: run, StructType([packed.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]), max_bytes=4 << 20, max_rows=512)
 
 
 def predictions(model: Model | None, texts: pa.Array) -> tuple[pa.Array, pa.Array]:

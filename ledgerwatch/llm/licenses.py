@@ -154,7 +154,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in done], pa.int32()), pa.array([x for _, x in done], FINDINGS)], [key, "n_blocks", "findings"])
 
     likely = df.select(key, F.when(F.col(text).rlike(CUES), F.col(text)).alias("t"))
-    return map_batches(likely, run, f"`{key}` {key_type}, n_blocks int, findings array<struct<{FINDING}>>")
+    return map_batches(likely, lambda: run, f"`{key}` {key_type}, n_blocks int, findings array<struct<{FINDING}>>")
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:

@@ -251,7 +251,7 @@ def sniff(df: DataFrame, key: str, data: str, declared: str | None = None) -> Da
             rest.append([{"offset": at, "length": n, "type": kind} for at, n, kind in got])
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(kinds, pa.string()), pa.array(lengths, pa.int64()), pa.array(rest, OBJECTS)], [key, "declared", "media_type", "length", "embedded"])
 
-    done = map_batches(df.select(key, data, named.alias("declared")), run, f"`{key}` {key_type}, declared string, media_type string, length long, embedded array<struct<offset:bigint,length:bigint,type:string>>", max_bytes=16 << 20)
+    done = map_batches(df.select(key, data, named.alias("declared")), lambda: run, f"`{key}` {key_type}, declared string, media_type string, length long, embedded array<struct<offset:bigint,length:bigint,type:string>>", max_bytes=16 << 20)
     return done.withColumn("corrected", F.coalesce(~F.col("declared").eqNullSafe(F.col("media_type")) & F.col("media_type").isNotNull(), F.lit(False)))
 
 
@@ -289,7 +289,7 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([wav(pad(x)) for x in raw], pa.binary())], [key, "n_bytes", "media"])
 
-    return map_batches(df.select(key, text), run, f"`{key}` {key_type}, n_bytes long, media binary")
+    return map_batches(df.select(key, text), lambda: run, f"`{key}` {key_type}, n_bytes long, media binary")
 
 
 def media_features(stored: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -313,4 +313,4 @@ def media_features(stored: DataFrame, key: str = "doc_id") -> DataFrame:
         names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
 
-    return map_batches(stored.select(key, "n_bytes", "media"), run, f"`{key}` {key_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", max_bytes=16 << 20)
+    return map_batches(stored.select(key, "n_bytes", "media"), lambda: run, f"`{key}` {key_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", max_bytes=16 << 20)

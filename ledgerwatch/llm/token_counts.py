@@ -6,13 +6,14 @@ agrees with ``last[i - its length]``, and ``count[i] = count[i - its length] + 1
 for a token budget, or how many tokens a prefix has, is read from them, and nothing is encoded again.
 
 A prefix that ends inside a word ends that word there (its last letter takes the word-end form), as if the truncated text were given to the tokenizer.
-Agreement of a pair of tokens is found once, by the merge rounds of ``bpe``, and remembered. Words repeat, so each Python worker keeps a bounded
+Agreement of a pair of tokens is found once, by the merge rounds of ``bpe``, and remembered. Words repeat, so each task keeps a bounded
 table of pieces between white space. Nulls count as empty texts; there is no shuffle.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import partial
 from itertools import accumulate, pairwise
 
 import numpy as np
@@ -186,10 +187,12 @@ _counters: dict[int, PrefixCounter] = {}
 
 
 def counter(text: str) -> PrefixCounter:
+    """Tokens and agreeing pairs stay with the Python worker (their number is the vocabulary's matter); each task starts its own table of pieces."""
     key = hash(text)
     if key not in _counters:
         _counters.clear()
         _counters[key] = PrefixCounter(text)
+    _counters[key].totals = {}
     return _counters[key]
 
 
@@ -201,8 +204,8 @@ def count_tokens(df: DataFrame, limit: int = LIMIT, path: str | None = None, tex
     file = shared_file(df, path or default_tokenizer_path())
     key_type = df.schema[key].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, texts = counter(file.value), batch.column(1).to_pylist()
+    def run(own: PrefixCounter, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
         docs = [own.parse(t) for t in texts]
         own.ready(docs)
         counts = [own.count(d) for d in docs]
@@ -210,7 +213,7 @@ def count_tokens(df: DataFrame, limit: int = LIMIT, path: str | None = None, tex
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(cuts, pa.int64())], [key, "n_bytes", "n_tokens", "cut_chars"])
 
     narrow = df.select(key, text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    done = map_batches(narrow, run, f"`{key}` {key_type}, n_bytes long, n_tokens long, cut_chars long")
+    done = map_batches(narrow, lambda: partial(run, counter(file.value)), f"`{key}` {key_type}, n_bytes long, n_tokens long, cut_chars long")
     return done.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cut_chars")
 
 
@@ -222,11 +225,10 @@ def prefix_tables(df: DataFrame, path: str | None = None, text: str = "text", ke
     file = shared_file(df, path or default_tokenizer_path())
     key_type = df.schema[key].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = counter(file.value)
+    def run(own: PrefixCounter, batch: pa.RecordBatch) -> pa.RecordBatch:
         tables = [own.table(t or "").astype(np.int32) for t in batch.column(1).to_pylist()]
         offsets = np.append(0, np.cumsum([len(x) for x in tables]))
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*tables, np.zeros(0, np.int32)])))
         return pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "prefix_tokens"])
 
-    return map_batches(df.select(key, text), run, f"`{key}` {key_type}, prefix_tokens array<int>", max_bytes=2 << 20)
+    return map_batches(df.select(key, text), lambda: partial(run, counter(file.value)), f"`{key}` {key_type}, prefix_tokens array<int>", max_bytes=2 << 20)

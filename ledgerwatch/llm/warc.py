@@ -24,7 +24,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, shared_dir, stored
+from .common import bounded, fits_broadcast, shared_dir, stored
 
 LEAST_REVISIT = 100
 #: Bytes of records after which a task starts a new archive.
@@ -73,7 +73,7 @@ def parse_record(raw: bytes) -> dict:
 def end_of_directory(read, size: int) -> tuple[int, int, int]:
     """Entries, size and offset of the central directory; ``read(at, n)`` reads a range."""
     tail = read(max(0, size - 65557), min(size, 65557))
-    at = tail.rfind(b"PK\x05\x06")
+    at = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):  # magic bytes inside the comment
         at = tail.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
@@ -208,7 +208,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             counts.append(writer.close())
         yield pa.RecordBatch.from_arrays([pa.array(uris, pa.string()), pa.array(counts, pa.int64())], ["uri", "records"])
 
-    return stored(rows.mapInArrow(run, "uri string, records long"))
+    return stored(bounded(rows).mapInArrow(run, "uri string, records long"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
