@@ -49,14 +49,14 @@ def pairs(e: DataFrame) -> DataFrame:
 
 def communities(tx: DataFrame) -> DataFrame:
     """Size of an account's community: itself, those that share an ip segment or a device, and the direct neighbours of all these."""
-    users = tx.select(F.col("name_orig").alias("account"), "ip_segment", "device_id")
-    by_ip, by_device = users.select("account", "ip_segment").distinct(), users.select("account", "device_id").distinct()
-    same = lambda t, k: t.join(t.withColumnRenamed("account", "member"), k).select("account", "member")
-    members = users.select("account", F.col("account").alias("member")).unionByName(same(by_ip, "ip_segment")).unionByName(same(by_device, "device_id")).distinct()
+    # what a shared ip segment or device reaches is found once for the segment or device, not once for each of its accounts
+    shared = F.explode(F.array(F.concat(F.lit("ip:"), "ip_segment"), F.concat(F.lit("device:"), "device_id")))
+    belongs = tx.select(F.col("name_orig").alias("account"), shared.alias("by")).filter("by is not null").distinct()
     p = pairs(edges(tx))
     touching = p.unionByName(p.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    around = members.join(touching, members["member"] == touching["src"]).select("account", F.col("dst").alias("member"))
-    return members.unionByName(around).groupBy("account").agg(F.count_distinct("member").alias("community"))
+    around = belongs.join(touching, belongs["account"] == touching["src"]).select("by", F.col("dst").alias("member"))
+    reach = belongs.select("by", F.col("account").alias("member")).unionByName(around).distinct()
+    return belongs.join(reach, "by").groupBy("account").agg(F.count_distinct("member").alias("community"))
 
 
 def cycles(e: DataFrame, longest: int = 3) -> DataFrame:
