@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -41,6 +42,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_frugal: list[bool] = []
+
+
+def frugal() -> None:
+    """In a Python worker: arrays from 1 MB on go back to the system when they are freed. Workers live on between tasks, and what they keep counts against the executor."""
+    if not _frugal:
+        _frugal.append(True)
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+            pa.set_memory_pool(pa.system_memory_pool())
+        except (OSError, AttributeError):
+            pass  # another C library: only the memory kept between tasks is larger
+
+
 #: Rows of an Arrow batch between Spark and Python: with texts of some kB each, a batch stays near 10 MB on either side.
 BATCH_ROWS = 2_000
 
@@ -57,6 +74,7 @@ def map_batches(df: DataFrame, setup: Callable[[], Callable[[pa.RecordBatch], pa
     """``mapInArrow`` with slices of about ``max_bytes``, so that memory stays bounded when texts are long. ``setup`` makes the function once for each task: what it remembers goes with the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         fn = setup()
         for batch in batches:
             for part in slices(batch, max_bytes, max_rows):

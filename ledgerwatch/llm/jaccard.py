@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, slices, stored
+from .common import bounded, frugal, slices, stored
 from .components import components
 from .text import mix, set_id, shingle_sets
 
@@ -38,11 +38,11 @@ FREQUENT = 8
 LONG_LIST = 64
 #: Bits of the maps that are broadcast, at most (128 MB).
 MAX_BITS = 1 << 30
-ENTRIES_PER_BUCKET = 200_000
-SHINGLES_PER_BUCKET = 400_000
+ENTRIES_PER_BUCKET = 50_000
+SHINGLES_PER_BUCKET = 100_000
 #: Shingles, or entries, that a task holds before it sends them on, and bytes of text that it hashes at a time: hashing takes about 50 times a slice's size.
-FLUSH = 1_000_000
-TEXT_BYTES = 2 << 20
+FLUSH = 500_000
+TEXT_BYTES = 1 << 20
 ENTRY = np.dtype([("token", "<u8"), ("sid", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("rare", "<i4")])
 
 
@@ -78,6 +78,7 @@ def hits(words: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    frugal()
     for batch in batches:
         for part in slices(batch, TEXT_BYTES):
             yield part.column(0), shingle_sets(part.column(1))
@@ -155,6 +156,7 @@ def frequent(counts: DataFrame) -> DataFrame:
     """``v``: map keys of the shingles that more than FREQUENT sets hold."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        frugal()
         short = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint32)
         n = np.frombuffer(b"".join(pdf["counts"]), dtype=np.uint16)
         kinds, at = np.unique(short, return_inverse=True)
@@ -207,6 +209,7 @@ def scan_lists(entries: DataFrame, buckets: int, threshold: int) -> DataFrame:
     """Candidate pairs of the short lists, with sizes and positions in reach; entries of frequent shingles pass through."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        frugal()
         e = np.frombuffer(b"".join(pdf["entries"]), dtype=ENTRY)
         e = e[np.lexsort((e["sid"], e["pos"], e["n"], e["token"]))]
         e = e[np.append(True, e[1:] != e[:-1])]  # copies that several tasks met
@@ -246,6 +249,7 @@ def sets_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
+        frugal()
         for batch in batches:
             keep = hits(shared.value, bits, batch.column(2).to_numpy().view(np.uint64))
             for part in slices(batch.filter(pa.array(keep)), TEXT_BYTES):
@@ -262,8 +266,9 @@ def verified(docs: DataFrame, pairs: DataFrame, first: DataFrame) -> DataFrame:
     sets = sets.groupBy("sid").agg(F.first("hashes").alias("hashes"))
 
     def run(batches):
+        frugal()
         for batch in batches:
-            for part in slices(batch, 16 << 20):
+            for part in slices(batch, 4 << 20):
                 rows = zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)
                 both = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in rows]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(both, pa.int32())], ["a", "b", "na", "nb", "overlap"])
