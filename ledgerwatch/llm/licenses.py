@@ -1,15 +1,19 @@
 """License scans by conditional compression.
 
-A block of text that repeats a license compresses far better once the compressor has read that license: each candidate block is compressed with every template as a zstandard raw
-dictionary, the templates are ranked by how much smaller the block becomes, and the best are confirmed by their exact wording: the template's words are aligned with
-the block's, and the words that are missing, added or changed are listed. Numbers and names that tell licenses apart (``2.0``, ``3``, ``nc``) must be there.
+A passage that repeats a license compresses far better once the compressor has read that license. Passages are sought for every template in the whole text: a stretch of words no longer
+than the template and what may be added to it, holding enough of the template's words and all its telling ones (numbers and names that tell licenses apart, such as ``2.0``, ``3``, ``nc``),
+is aligned with the template, and the words that are missing, added or changed are listed. Each confirmed passage is compressed with its template as a zstandard raw dictionary; its size
+reduction ranks the templates of one license. What stands around a passage doesn't count, so neighbours can't hide it, however many there are.
 
 Candidate blocks are runs of sentences or lines with a word that license texts use; a plain regular expression leaves other documents out before any Python runs. Whole texts
-are read. Null and empty texts have no block. Ties of size reductions fall to the template's name. There is no shuffle, and equal texts give equal results.
+are read. Null and empty texts have no block. A license is reported once for a block, at the passage with the largest reduction; ties fall to the first template and place. Rights reserved in
+the heading of a license's text are reported beside it. There is no shuffle, and equal texts give equal results.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -20,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Share by which the best template must shrink a block to be looked at.
+#: Share by which a template must shrink its passage.
 LEAST_REDUCTION = 0.25
-#: Templates that are confirmed for a block, at most; a ranking's length, not a cap on blocks.
-RANKED = 5
-#: Share of a template's words that must stand in the block, in order.
+#: Share of a template's words that must stand in the passage, in order.
 LEAST_WORDING = 0.85
+#: Words a passage may have besides, as a share of the template's.
+MOST_ADDED = 0.3
 CUES = r"(?i)licen[cs]|copyright|permission|warrant|redistribut|spdx|liab|all rights reserved|public domain|creative commons|\bcc[ -](?:by|0)"
 SENTENCE = regex.compile(r"(?<=[.!?;:])[ \t]+|\n+")
 TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:\.\p{N}+)*")
@@ -80,16 +84,57 @@ TEMPLATES = {
 # Words that tell licenses apart; one in the template must be in the block, and the other way round within the aligned part.
 TELLING = frozenset("mit apache gnu lesser affero general mozilla bsd cc cc0 by sa nc nd sharealike noncommercial noderivatives spdx gpl lgpl agpl mpl".split())
 
+class Template:
+    def __init__(self, name: str, k: int, text: str):
+        self.name, self.k, self.words = name, k, TOKEN.findall(text)
+        self.bag = Counter(self.words)
+        self.telling = Counter({w: n for w, n in self.bag.items() if tells(w)})
+        self.least = next(n for n in range(len(self.words) + 1) if enough(n, len(self.words)))
+        self.reach = len(self.words) + int(MOST_ADDED * len(self.words))
+        self.own = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+    def windows(self, words: list[str], bag: Counter) -> list[int]:
+        """Where a passage can start: at a word of the template, with enough of its words and all its telling words within reach."""
+        if any(bag[w] < n for w, n in self.telling.items()) or sum(min(n, bag[w]) for w, n in self.bag.items()) < self.least:
+            return []
+        at = [i for i, w in enumerate(words) if w in self.bag]
+        have, common, told, end, out = Counter(), 0, 0, 0, []
+        for i in at:
+            while end < len(at) and at[end] < i + self.reach:
+                w = words[at[end]]
+                common += have[w] < self.bag[w]
+                told += have[w] < self.telling[w]
+                have[w] += 1
+                end += 1
+            if common >= self.least and told == self.telling.total():
+                out.append(i)
+            w = words[i]
+            have[w] -= 1
+            common -= have[w] < self.bag[w]
+            told -= have[w] < self.telling[w]
+        return out
+
+    def passages(self, words: list[str], bag: Counter) -> list[tuple[int, int, dict]]:
+        """First word, end and differences of each passage with the template's wording; of those that overlap, the one with the fewest differences."""
+        out, best = [], None
+        for i in self.windows(words, bag):
+            if best and i >= best[1]:
+                out.append(best)
+                best = None
+            if out and i < out[-1][1] or best and not best[2]["missing"] and not best[2]["added"]:
+                continue
+            if found := wording(self.words, words[i : i + self.reach]):
+                a, b, diff = found
+                if not best or (diff["matched"], -len(diff["added"])) > (best[2]["matched"], -len(best[2]["added"])):
+                    best = (i + a, i + b, diff)
+        return [*out, best] if best else out
+
 
 class Scanner:
     def __init__(self):
         self.cue = regex.compile(CUES)
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-        self.templates = []
-        for name in sorted(TEMPLATES):
-            for k, text in enumerate(TEMPLATES[name]):
-                own = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-                self.templates.append((name, k, TOKEN.findall(text), own))
+        self.templates = [Template(name, k, text) for name in sorted(TEMPLATES) for k, text in enumerate(TEMPLATES[name])]
 
     def blocks(self, text: str) -> list[tuple[int, str]]:
         """Offset and text of each run of sentences with a cue."""
@@ -108,34 +153,51 @@ class Scanner:
         return [*out, (run[0], text[run[0] : run[1]])] if run else out
 
     def scan(self, text: str) -> tuple[int, list[dict]]:
-        found, blocks = [], self.blocks(text) if text else []
-        for at, block in blocks:
-            raw = " ".join(block.lower().split()).encode()
-            alone = len(self.plain.compress(raw))
-            ranked = sorted(((1 - len(own.compress(raw)) / alone, name, k, words) for name, k, words, own in self.templates), key=lambda r: (-r[0], r[1], r[2]))
-            words = TOKEN.findall(raw.decode())
-            confirmed = {}
-            for gain, name, k, wanted in ranked[:RANKED]:
-                if gain >= LEAST_REDUCTION and name not in confirmed and (diff := wording(wanted, words)):
-                    confirmed[name] = {"license": name, "template": k, "offset": at, "length": len(block), "reduction": round(gain, 6), **diff}
-            found += confirmed.values()
-        return len(blocks), found
-
-
-def wording(wanted: list[str], words: list[str]) -> dict | None:
-    """How the template's wording differs inside the block; None if too little of it is there, or a telling word differs."""
+        blocks = self.blocks(text) if text else []
+        if not blocks:
+            return 0, []
+        spans = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+        words = [text[a:b].lower() for a, b in spans]
+        bag, places = Counter(words), []
+        for t in self.templates:
+            places += [(t, i, j, diff) for i, j, diff in t.passages(words, bag)]
+        starts, best = [at for at, _ in blocks], {}
+        for t, i, j, diff in places:
+            at, end = spans[i][0], spans[j - 1][1]
+            raw = " ".join(text[at:end].lower().split()).encode()
+            gain = 1 - len(t.own.compress(raw)) / len(self.plain.compress(raw))
+            if gain >= LEAST_REDUCTION:
+                # the first block that the passage reaches, or the last one before it
+                n = max(bisect_right(starts, at) - 1, 0)
+                n += n + 1 < len(blocks) and starts[n] + len(blocks[n][1]) <= at and starts[n + 1] < end
+                found = {"license": t.name, "template": t.k, "offset": at, "length": end - at, "reduction": round(gain, 6), **diff}
+                order = (-gain, t.k, at)
+                if (n, t.name) not in best or order < best[n, t.name][0]:
+                    best[n, t.name] = (order, found)
+        return len(blocks), [found for (n, _), (order, found) in sorted(best.items(), key=lambda x: (x[0][0], x[1][0][0], x[0][1]))]
+
+
+def tells(word: str) -> bool:
+    return word in TELLING or word[0].isdigit()
+
+
+def enough(kept: int, wanted: int) -> bool:
+    return kept >= LEAST_WORDING * wanted or wanted < 8 and wanted - kept <= 1
+
+
+def wording(wanted: list[str], words: list[str]) -> tuple[int, int, dict] | None:
+    """Where the template's wording is among the words, and how it differs; None if too little of it is there, or a telling word differs."""
     runs = [m for m in SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if m.size]
     if not runs:
         return None
     kept = {i for m in runs for i in range(m.a, m.a + m.size)}
-    inside = words[runs[0].b : runs[-1].b + runs[-1].size]
+    start, end = runs[0].b, runs[-1].b + runs[-1].size
     used = {i for m in runs for i in range(m.b, m.b + m.size)}
     missing = [w for i, w in enumerate(wanted) if i not in kept]
-    added = [w for i, w in enumerate(inside, runs[0].b) if i not in used]
-    tells = lambda ws: any(w in TELLING or w[0].isdigit() for w in ws)
-    if len(kept) < LEAST_WORDING * len(wanted) and not (len(wanted) < 8 and len(wanted) - len(kept) <= 1) or tells(missing) or tells(added) or len(added) > 0.3 * len(wanted):
+    added = [w for i, w in enumerate(words[start:end], start) if i not in used]
+    if not enough(len(kept), len(wanted)) or any(map(tells, missing)) or any(map(tells, added)) or len(added) > MOST_ADDED * len(wanted):
         return None
-    return {"matched": len(kept), "missing": missing, "added": added}
+    return start, end, {"matched": len(kept), "missing": missing, "added": added}
 
 
 _scanners: list[Scanner] = []

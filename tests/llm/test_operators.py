@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import math
 import random
 import re
@@ -238,6 +239,35 @@ def test_licenses(spark):
     assert all(got[i].licenses == "" for i in (8, 9, 10, 11)) and got[12].licenses == "proprietary"
 
 
+def test_licenses_among_many_notices(spark):
+    t = licenses.TEMPLATES
+    notices = "\n".join(f"part{i}: licensed under the MIT license" for i in range(300)) + "\nlast: licensed under the Apache License, Version 2.0"
+    run = "\n".join([*t["MIT"][:4], *t["Apache-2.0"][:4], *t["BSD-3-Clause"], *t["GPL-3.0"][:3], *t["ISC"]])
+    rng = random.Random(3)
+    line = f"{words(rng, 3000)} licensed under the mit license {words(rng, 3000)}"
+    wrapped = "\n".join(re.findall(r".{1,60}(?: |$)", t["MIT"][2]))
+    rows = licenses.scan_documents(docs(spark, [notices, run, line, wrapped])).collect()
+    got = {r.doc_id: r.licenses for r in rows}
+    assert got == {0: "Apache-2.0,MIT", 1: "Apache-2.0,BSD-3-Clause,GPL-3.0,ISC,MIT", 2: "MIT", 3: "MIT"}
+    at = {r.doc_id: json.loads(r.findings) for r in rows}
+    assert line[at[2][0]["offset"] :][: at[2][0]["length"]] == "licensed under the mit license"
+
+
+def test_license_windows_leave_no_passage_out():
+    """Words beside the passage, words left out and words added never hide what brute force over all stretches finds."""
+    rng = random.Random(5)
+    for t in licenses.Scanner().templates:
+        for _ in range(3):
+            own = list(t.words)
+            for _ in range(rng.randrange(4)):
+                own.insert(rng.randrange(1, len(own)), rng.choice(["old", "the", "license"]))
+            if rng.random() < 0.5:
+                del own[rng.randrange(len(own))]
+            text = [f"w{rng.randrange(9)}" for _ in range(20)] + own + rng.choices(t.words, k=3) + ["x"] * 9
+            brute = any(licenses.wording(t.words, text[i : i + t.reach]) for i in range(len(text)))
+            assert bool(t.passages(text, Counter(text))) == brute
+
+
 # -- 7: mixing ----------------------------------------------------------------------------------------------
 
 
