@@ -28,9 +28,17 @@ from .common import map_batches
 LEAST_REDUCTION = 0.25
 #: Share of a template's words that must stand in the passage, in order.
 LEAST_WORDING = 0.85
+#: Templates of fewer words may lack one.
+SHORT = 8
+#: Words of a notice at most; longer templates are texts.
+NOTICE = 16
 #: Words a passage may have besides, as a share of the template's.
 MOST_ADDED = 0.3
-CUES = r"(?i)licen[cs]|copyright|permission|warrant|redistribut|spdx|liab|all rights reserved|public domain|creative commons|\bcc[ -](?:by|0)"
+# Each template keeps a cue when one of its words is left out; separators are any that the wording may have, so that a line break in a cue hides nothing.
+CUES = (
+    r"(?i)licen[cs]|copyright|permission|warrant|redistribut|spdx|liab|all\W+rights|rights\W+reserved|unencumbered|public\W+domain|creative\W+commons"
+    r"|source\W+and\W+binary|\bcc\W*(?:by|0)|\b(?:gnu|apache|mozilla|eclipse|boost|bsd)\b|\bunder\W+(?:\w+\W+){0,2}mit\b"
+)
 SENTENCE = regex.compile(r"(?<=[.!?;:])[ \t]+|\n+")
 TOKEN = regex.compile(r"[\p{L}\p{N}]+(?:\.\p{N}+)*")
 
@@ -49,40 +57,120 @@ TEMPLATES = {
         "licensed under the apache license, version 2.0 (the \"license\"); you may not use this file except in compliance with the license. you may obtain a copy of the license at http://www.apache.org/licenses/license-2.0",
         "unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an \"as is\" basis, without warranties or conditions of any kind, either express or implied.",
         "spdx-license-identifier: apache-2.0",
+        "apache license version 2.0, january 2004 http://www.apache.org/licenses/",
+        "subject to the terms and conditions of this license, each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare derivative works of, publicly display, publicly perform, sublicense, and distribute the work and such derivative works in source or object form.",
     ],
     "GPL-3.0": [
         "this work is licensed under the gnu general public license, version 3.",
         "released under the gnu general public license version 3.",
         "this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version.",
         "spdx-license-identifier: gpl-3.0",
+        "gnu general public license version 3, 29 june 2007",
     ],
     "GPL-2.0": [
         "this work is licensed under the gnu general public license, version 2.",
         "this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation; either version 2 of the license, or (at your option) any later version.",
         "spdx-license-identifier: gpl-2.0",
+        "gnu general public license version 2, june 1991",
+    ],
+    "LGPL-3.0": [
+        "this library is licensed under the gnu lesser general public license, version 3.",
+        "spdx-license-identifier: lgpl-3.0",
+        "this program is free software: you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version.",
+        "gnu lesser general public license version 3, 29 june 2007",
+    ],
+    "LGPL-2.1": [
+        "this library is licensed under the gnu lesser general public license, version 2.1.",
+        "spdx-license-identifier: lgpl-2.1",
+        "this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation; either version 2.1 of the license, or (at your option) any later version.",
+        "gnu lesser general public license version 2.1, february 1999",
+    ],
+    "AGPL-3.0": [
+        "this program is licensed under the gnu affero general public license, version 3.",
+        "spdx-license-identifier: agpl-3.0",
+        "this program is free software: you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation, either version 3 of the license, or (at your option) any later version.",
+        "gnu affero general public license version 3, 19 november 2007",
     ],
-    "LGPL-3.0": ["this library is licensed under the gnu lesser general public license, version 3.", "spdx-license-identifier: lgpl-3.0"],
-    "AGPL-3.0": ["this program is licensed under the gnu affero general public license, version 3.", "spdx-license-identifier: agpl-3.0"],
     "MPL-2.0": [
         "this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with this file, you can obtain one at http://mozilla.org/mpl/2.0/.",
         "licensed under the mozilla public license, version 2.0.",
+        "mozilla public license version 2.0 1. definitions",
+        "spdx-license-identifier: mpl-2.0",
     ],
-    "BSD-3-Clause": [
+    "EPL-2.0": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "eclipse public license - v 2.0 the accompanying program is provided under the terms of this eclipse public license (\"agreement\"). any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement.",
+        "licensed under the eclipse public license, version 2.0.",
+        "spdx-license-identifier: epl-2.0",
+    ],
+    "BSL-1.0": [
+        "distributed under the boost software license, version 1.0.",
+        "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"software\") to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software, and to permit third-parties to whom the software is furnished to do so, all subject to the following:",
+        "spdx-license-identifier: bsl-1.0",
+    ],
+    "Zlib": [
+        "this software is provided 'as-is', without any express or implied warranty. in no event will the authors be held liable for any damages arising from the use of this software.",
+        "permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "spdx-license-identifier: zlib",
+    ],
+    # what all BSD licenses begin with; the clauses tell them apart
+    "BSD": [
         "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    ],
+    "BSD-2-Clause": [
+        "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. this software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties",
+        "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. this software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties",
+        "released under the bsd 2-clause license.",
+        "spdx-license-identifier: bsd-2-clause",
+    ],
+    "BSD-3-Clause": [
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "released under the bsd 3-clause license.",
+        "spdx-license-identifier: bsd-3-clause",
+    ],
+    "ISC": ["permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "spdx-license-identifier: isc"],
+    "Unlicense": ["this is free and unencumbered software released into the public domain.", "spdx-license-identifier: unlicense"],
+    "CC0-1.0": ["released under cc0 1.0.", "licensed under cc0 1.0 universal public domain dedication.", "spdx-license-identifier: cc0-1.0"],
+    "CC-BY-4.0": [
+        "licensed under cc by 4.0.",
+        "this work is licensed under the creative commons attribution 4.0 international license.",
+        "you accept and agree to be bound by the terms and conditions of this creative commons attribution 4.0 international public license",
+        "spdx-license-identifier: cc-by-4.0",
+    ],
+    "CC-BY-SA-4.0": [
+        "licensed under cc by-sa 4.0.",
+        "this work is licensed under the creative commons attribution-sharealike 4.0 international license.",
+        "you accept and agree to be bound by the terms and conditions of this creative commons attribution-sharealike 4.0 international public license",
+        "spdx-license-identifier: cc-by-sa-4.0",
+    ],
+    "CC-BY-NC-4.0": [
+        "licensed under cc by-nc 4.0.",
+        "this work is licensed under the creative commons attribution-noncommercial 4.0 international license.",
+        "you accept and agree to be bound by the terms and conditions of this creative commons attribution-noncommercial 4.0 international public license",
+        "spdx-license-identifier: cc-by-nc-4.0",
+    ],
+    "CC-BY-ND-4.0": [
+        "licensed under cc by-nd 4.0.",
+        "this work is licensed under the creative commons attribution-noderivatives 4.0 international license.",
+        "you accept and agree to be bound by the terms and conditions of this creative commons attribution-noderivatives 4.0 international public license",
+        "spdx-license-identifier: cc-by-nd-4.0",
+    ],
+    "CC-BY-NC-SA-4.0": [
+        "licensed under cc by-nc-sa 4.0.",
+        "this work is licensed under the creative commons attribution-noncommercial-sharealike 4.0 international license.",
+        "you accept and agree to be bound by the terms and conditions of this creative commons attribution-noncommercial-sharealike 4.0 international public license",
+        "spdx-license-identifier: cc-by-nc-sa-4.0",
+    ],
+    "CC-BY-NC-ND-4.0": [
+        "licensed under cc by-nc-nd 4.0.",
+        "this work is licensed under the creative commons attribution-noncommercial-noderivatives 4.0 international license.",
+        "you accept and agree to be bound by the terms and conditions of this creative commons attribution-noncommercial-noderivatives 4.0 international public license",
+        "spdx-license-identifier: cc-by-nc-nd-4.0",
     ],
-    "ISC": ["permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "Unlicense": ["this is free and unencumbered software released into the public domain."],
-    "CC0-1.0": ["released under cc0 1.0.", "licensed under cc0 1.0 universal public domain dedication."],
-    "CC-BY-4.0": ["licensed under cc by 4.0.", "this work is licensed under the creative commons attribution 4.0 international license."],
-    "CC-BY-SA-4.0": ["licensed under cc by-sa 4.0.", "this work is licensed under the creative commons attribution-sharealike 4.0 international license."],
-    "CC-BY-NC-4.0": ["licensed under cc by-nc 4.0.", "this work is licensed under the creative commons attribution-noncommercial 4.0 international license."],
-    "CC-BY-ND-4.0": ["licensed under cc by-nd 4.0.", "this work is licensed under the creative commons attribution-noderivatives 4.0 international license."],
     "proprietary": ["copyright. all rights reserved.", "all rights reserved. no part of this work may be reproduced without written permission."],
 }
 # Words that tell licenses apart; one in the template must be in the block, and the other way round within the aligned part.
-TELLING = frozenset("mit apache gnu lesser affero general mozilla bsd cc cc0 by sa nc nd sharealike noncommercial noderivatives spdx gpl lgpl agpl mpl".split())
+TELLING = frozenset("mit apache gnu lesser affero general mozilla bsd cc cc0 by sa nc nd sharealike noncommercial noderivatives spdx gpl lgpl agpl mpl eclipse epl boost bsl isc zlib unlicense".split())
 
 class Template:
     def __init__(self, name: str, k: int, text: str):
@@ -95,7 +183,7 @@ class Template:
 
     def windows(self, words: list[str], bag: Counter) -> list[int]:
         """Where a passage can start: at a word of the template, with enough of its words and all its telling words within reach."""
-        if any(bag[w] < n for w, n in self.telling.items()) or sum(min(n, bag[w]) for w, n in self.bag.items()) < self.least:
+        if any(bag.get(w, 0) < n for w, n in self.telling.items()) or sum(min(n, bag.get(w, 0)) for w, n in self.bag.items()) < self.least:
             return []
         at = [i for i, w in enumerate(words) if w in self.bag]
         have, common, told, end, out = Counter(), 0, 0, 0, []
@@ -123,7 +211,11 @@ class Template:
                 best = None
             if out and i < out[-1][1] or best and not best[2]["missing"] and not best[2]["added"]:
                 continue
-            if found := wording(self.words, words[i : i + self.reach]):
+            # what follows can draw a notice's words away from their place, so all ends are tried; the longest run of a text holds its place
+            for end in range(self.reach, self.least - 1, -1) if len(self.words) <= NOTICE else [self.reach]:
+                if found := wording(self.words, words[i : i + end]):
+                    break
+            if found:
                 a, b, diff = found
                 if not best or (diff["matched"], -len(diff["added"])) > (best[2]["matched"], -len(best[2]["added"])):
                     best = (i + a, i + b, diff)
@@ -143,9 +235,12 @@ class Scanner:
             spans.append((at, m.start()))
             at = m.end()
         spans.append((at, len(text)))
-        out, run = [], None
+        cues = [m.span() for m in self.cue.finditer(text)]
+        out, run, k = [], None, 0
         for a, b in spans:
-            if self.cue.search(text, a, b):
+            while k < len(cues) and cues[k][1] <= a:
+                k += 1
+            if k < len(cues) and cues[k][0] < b:
                 run = (run[0] if run else a, b)
             elif run:
                 out.append((run[0], text[run[0] : run[1]]))
@@ -182,22 +277,25 @@ def tells(word: str) -> bool:
 
 
 def enough(kept: int, wanted: int) -> bool:
-    return kept >= LEAST_WORDING * wanted or wanted < 8 and wanted - kept <= 1
+    return kept >= LEAST_WORDING * wanted or wanted < SHORT and wanted - kept <= 1
 
 
 def wording(wanted: list[str], words: list[str]) -> tuple[int, int, dict] | None:
     """Where the template's wording is among the words, and how it differs; None if too little of it is there, or a telling word differs."""
     runs = [m for m in SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if m.size]
-    if not runs:
-        return None
-    kept = {i for m in runs for i in range(m.a, m.a + m.size)}
-    start, end = runs[0].b, runs[-1].b + runs[-1].size
-    used = {i for m in runs for i in range(m.b, m.b + m.size)}
-    missing = [w for i, w in enumerate(wanted) if i not in kept]
-    added = [w for i, w in enumerate(words[start:end], start) if i not in used]
-    if not enough(len(kept), len(wanted)) or any(map(tells, missing)) or any(map(tells, added)) or len(added) > MOST_ADDED * len(wanted):
-        return None
-    return start, end, {"matched": len(kept), "missing": missing, "added": added}
+    # runs at either end may be words of a neighbour; the longest stretch of runs that is right counts
+    for first, last in sorted(((p, q) for p in range(len(runs)) for q in range(p, len(runs))), key=lambda x: x[0] - x[1]):
+        some = runs[first : last + 1]
+        if not enough(sum(m.size for m in some), len(wanted)):
+            continue
+        kept = {i for m in some for i in range(m.a, m.a + m.size)}
+        used = {i for m in some for i in range(m.b, m.b + m.size)}
+        start, end = some[0].b, some[-1].b + some[-1].size
+        missing = [w for i, w in enumerate(wanted) if i not in kept]
+        added = [w for i, w in enumerate(words[start:end], start) if i not in used]
+        if not any(map(tells, missing)) and not any(map(tells, added)) and len(added) <= MOST_ADDED * len(wanted):
+            return start, end, {"matched": len(kept), "missing": missing, "added": added}
+    return None
 
 
 _scanners: list[Scanner] = []

@@ -268,6 +268,28 @@ def test_license_windows_leave_no_passage_out():
             assert bool(t.passages(text, Counter(text))) == brute
 
 
+def test_every_license_template_is_found_alone(spark):
+    alone = [(name, k, text) for name, some in licenses.TEMPLATES.items() for k, text in enumerate(some)]
+    got = {r.doc_id: r.licenses for r in licenses.scan_documents(docs(spark, [text.capitalize() for _, _, text in alone])).collect()}
+    assert [(name, k) for i, (name, k, _) in enumerate(alone) if got[i] != name] == []
+    # a word left out or a line broken leaves a cue
+    cue = re.compile(licenses.CUES)
+    for _, _, text in alone:
+        for sep in (" ", "\n * "):
+            part = text.split()
+            assert all(cue.search(sep.join(part[:i] + part[i + 1 :])) for i in range(len(part)) if not licenses.tells(licenses.TOKEN.findall(part[i] + " x")[0]))
+
+
+def test_licenses_that_are_nearly_others(spark):
+    gnu = "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    t = licenses.TEMPLATES
+    head, (two, bullets, *_), neither = t["BSD"][0], t["BSD-2-Clause"], t["BSD-3-Clause"][0]
+    cut = two.index("this software is provided by")
+    texts = [gnu.format("Affero "), gnu.format("Lesser "), gnu.format(""), f"{head}\n1. {two}", f"{head}\n* {bullets}", f"{head}\n1. {two[:cut]}\n3. {neither}\n{two[cut:]}", "x\n/* Copyright (c) 2020. All rights\n * reserved. */", "SPDX-License-Identifier: FOO-BAR"]
+    got = {r.doc_id: r.licenses for r in licenses.scan_documents(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(8)] == ["AGPL-3.0", "LGPL-3.0", "GPL-3.0", "BSD,BSD-2-Clause", "BSD,BSD-2-Clause", "BSD,BSD-3-Clause", "proprietary", ""]
+
+
 # -- 7: mixing ----------------------------------------------------------------------------------------------
 
 
