@@ -236,6 +236,12 @@ def khop_neighbors(spark, sf):
     return graph.hops(e, e.filter("src like 'U%0'").select(F.col("src").alias("seed")).distinct())
 
 
+def khop_neighbors_all(spark, sf):
+    """Neighbourhood of every account that sends or receives; khop_neighbors is the share of it that its SQL checks."""
+    e = graph.edges(transactions(spark, sf))
+    return graph.hops(e, graph.sides(e).select(F.col("account").alias("seed")).distinct())
+
+
 # -- fusion, evaluation, serving ------------------------------------------------------------------------
 
 A = ["account_id", "fraud_type", "confidence", "source", "event_ms", "amount", "city"]
@@ -463,7 +469,7 @@ def queries() -> dict[str, Query]:
         "cdc_flatten", "parse_tx_json", "parse_event_time", "parse_amount", "mask_account", "valid_tx", "tx_adapter", "prior_risks", "cep_all", "sql_chain_abc", "sql_chain_cogroup", "sql_scatter_cashout", "tag_asof",
         "ml_input_anti", "sql_ip_gang", "sql_scatter_in", "tx_duplicate", "behavior_seq", "behavior_path", "seq_features", "suspicious_seq", "graph_features", "behavior_score", "ml_scores", "ml_alerts", "gnn_topk",
         "gnn_scores", "gnn_alerts", "api_detect", "graph_edges", "graph_degree", "graph_direction", "graph_neighbors", "graph_community", "graph_cycles_2_3", "graph_chain_depth", "graph_scatter", "graph_counts",
-        "graph_risk", "graph_alerts", "khop_neighbors", "alerts_union", "all_alerts", "alert_enrich", "alert_sink_projection", "normal_tx", "eval_metrics", "eval_detail", "validation_metrics", "validation_dedup",
+        "graph_risk", "graph_alerts", "khop_neighbors", "khop_neighbors_all", "alerts_union", "all_alerts", "alert_enrich", "alert_sink_projection", "normal_tx", "eval_metrics", "eval_detail", "validation_metrics", "validation_dedup",
         "ablation_real", "latency_percentiles", "throughput", "serve_totals", "serve_traffic", "serve_recent", "serve_search", "serve_kpis", "feedback_stats", "feedback_by_type", "feedback_keywords", "retrain_trigger",
         "review_queue_topk", "feedback_backfill", "ks_stat", "psi", "page_hinkley", "adwin", "drift_severity", "threshold_opt", "reservoir", "top_features", "triggered_rules", "explain_brief", "risk_composite",
         "pattern_registry", "alert_report", "latest_upsert", "retrain", "isolation", "sage_embedding",
