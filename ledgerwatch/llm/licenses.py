@@ -7,7 +7,8 @@ reduction ranks the templates of one license. What stands around a passage doesn
 
 Candidate blocks are runs of sentences or lines with a word that license texts use; a plain regular expression leaves other documents out before any Python runs. Whole texts
 are read. Null and empty texts have no block. A license is reported once for a block, at the passage with the largest reduction; ties fall to the first template and place. Rights reserved in
-the heading of a license's text are reported beside it. There is no shuffle, and equal texts give equal results.
+the heading of a license's text are reported beside it. There is no shuffle, and equal texts give equal results; repeated rows are rows of their own. Very long texts are scanned as wholes, in time that grows
+with the words that templates share with them. An empty table gives an empty result; columns other than the key and the text are ignored.
 """
 
 from __future__ import annotations

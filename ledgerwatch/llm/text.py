@@ -43,22 +43,45 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bytes that are hashed at a time; what a piece needs is some 60 times its size, whatever a text's length.
+PIECE = 1 << 18
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the offsets of each text's words."""
-    inside = ~_SPACE[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    start[firsts] = inside[firsts]  # a text's first byte starts a word whatever came before
-    at = np.flatnonzero(inside)
-    starts = np.flatnonzero(start[at])
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    lengths = np.diff(np.append(starts, len(at)))
-    place = np.arange(len(at)) - np.repeat(starts, lengths)
-    hashes = np.add.reduceat(_BYTES[data[at]] * powers(int(lengths.max()))[place], starts)
-    hashes = mix(hashes + lengths.astype(np.uint64) * _GOLDEN)
-    return hashes, np.searchsorted(at[starts], offsets)
+    """Hashes of all words, and the offsets of each text's words. Texts are hashed by pieces; a word that a piece's end cuts goes on in the next."""
+    sums, lengths, places, open_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for low in range(0, len(data), PIECE):
+        part = data[low : low + PIECE]
+        inside = ~_SPACE[part]
+        start = inside.copy()
+        start[1:] &= ~inside[:-1]
+        firsts = offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, low + len(part))] - low
+        start[firsts] = inside[firsts]  # a text's first byte starts a word whatever came before
+        at = np.flatnonzero(inside)
+        if not len(at):
+            open_ = 0
+            continue
+        starts = np.flatnonzero(start[at])
+        n = np.diff(np.append(starts, len(at)))
+        factors = powers(int(n.max()))[np.arange(len(at)) - np.repeat(starts, n)]
+        goes_on = open_ > 0 and bool(inside[0]) and not (len(firsts) and firsts[0] == 0)
+        if goes_on:
+            factors[: n[0]] *= np.uint64(pow(int(_MULTIPLIER), open_, 1 << 64))
+        sum_, place = np.add.reduceat(_BYTES[part[at]] * factors, starts), at[starts] + low
+        if goes_on:
+            with np.errstate(over="ignore"):
+                sums[-1][-1] += sum_[0]
+            lengths[-1][-1] += n[0]
+            open_ += int(n[0])
+        if len(n) > goes_on:
+            sums.append(sum_[int(goes_on) :])
+            lengths.append(n[int(goes_on) :])
+            places.append(place[int(goes_on) :])
+            open_ = int(n[-1])
+        if not inside[-1]:
+            open_ = 0
+    hashes = mix(np.concatenate(sums) + np.concatenate(lengths).astype(np.uint64) * _GOLDEN)
+    return hashes, np.searchsorted(np.concatenate(places), offsets)
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:

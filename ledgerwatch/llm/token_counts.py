@@ -7,7 +7,10 @@ for a token budget, or how many tokens a prefix has, is read from them, and noth
 
 A prefix that ends inside a word ends that word there (its last letter takes the word-end form), as if the truncated text were given to the tokenizer.
 Agreement of a pair of tokens is found once, by the merge rounds of ``bpe``, and remembered. Words repeat, so each task keeps a bounded
-table of pieces between white space. Nulls count as empty texts; there is no shuffle.
+table of pieces between white space. There is no shuffle.
+
+Nulls and empty texts have no bytes and no tokens and are never over the limit. Equal texts have equal counts; repeated rows are rows of their own. Very long texts are handled whole, one piece between
+white space at a time; a slice of a batch holds about 2 MB or one text. An empty table gives an empty result, other columns are ignored. There are no ties: a text has one encoding.
 """
 
 from __future__ import annotations
@@ -168,7 +171,9 @@ class PrefixCounter:
             for piece in found:
                 start = shown.index(piece, at)
                 if done + self.totals[piece] > limit:
-                    return shift + start + int(np.searchsorted(np.maximum.accumulate(self.prefix_counts(piece)), limit - done, "right"))
+                    # counts don't only grow: a longer prefix of a word may be one token where a shorter one is several
+                    within = np.flatnonzero(np.array(self.prefix_counts(piece)) <= limit - done)
+                    return shift + start + (int(within[-1]) + 1 if len(within) else 0)
                 done, at = done + self.totals[piece], start + len(piece)
             if special and done + 1 > limit:
                 return shift + len(shown)
@@ -213,7 +218,7 @@ def count_tokens(df: DataFrame, limit: int = LIMIT, path: str | None = None, tex
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(cuts, pa.int64())], [key, "n_bytes", "n_tokens", "cut_chars"])
 
     narrow = df.select(key, text, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    done = map_batches(narrow, lambda: partial(run, counter(file.value)), f"`{key}` {key_type}, n_bytes long, n_tokens long, cut_chars long")
+    done = map_batches(narrow, lambda: partial(run, counter(file.value)), f"`{key}` {key_type}, n_bytes long, n_tokens long, cut_chars long", max_bytes=2 << 20)
     return done.select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cut_chars")
 
 
