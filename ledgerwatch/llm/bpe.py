@@ -10,7 +10,11 @@ word-end suffix) is read on the driver and broadcast; it is a few MB whatever th
 * Decoding takes token strings by id and joins them with spaces (the file names no decoder).
 
 Nulls and empty texts give no ids and the empty string. Special strings inside a text become their special ids, as the library does by
-default. There is no shuffle: output partitions follow the input's.
+default. There is no shuffle: output partitions follow the input's. A pair's rank is one merge's alone; of equal pairs that overlap, the left one merges first.
+
+Very long texts are encoded whole. A slice of a batch holds about 2 MB or one text, whose pieces take some 15 times its size; a single word of a million letters takes a round for each rank that its
+pairs show, so its time grows faster than its length. Equal texts get equal ids, repeated rows are rows of their own, an empty table gives an empty result. Other columns are ignored; ``decode`` reads the
+key and the ids alone.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Pieces that a task remembers before it starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 100_000
 NO_RANK = np.int64(1 << 40)
 
 
@@ -255,7 +259,7 @@ def round_trip(df: DataFrame, path: str | None = None, text: str = "text", key:
 
         return run
 
-    return map_batches(df.select(key, text), setup, f"`{key}` {key_type}, ids array<int>, decoded string")
+    return map_batches(df.select(key, text), setup, f"`{key}` {key_type}, ids array<int>, decoded string", max_bytes=2 << 20)
 
 
 def decode(df: DataFrame, path: str | None = None, ids: str = "ids", key: str = "doc_id") -> DataFrame:
