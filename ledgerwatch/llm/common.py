@@ -122,7 +122,7 @@ def fits_broadcast(df: DataFrame, rows: int, at_most: int = 200_000) -> DataFram
 
 
 #: Rows of one key beyond which a join deals them over several tasks, and keys that are dealt so at most: those with the most rows. A key beyond these holds less than 1 / HOT_KEYS of all rows.
-SPLIT = 1_000
+SPLIT = 200
 HOT_KEYS = 100_000
 
 
