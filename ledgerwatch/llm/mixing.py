@@ -190,7 +190,7 @@ def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``. The texts are shuffled once."""
     sized = stored(with_sizes(docs.select(F.col(key).alias("key"), "source", "text", row_hash(docs, docs.columns))).select("key", "source", "size", "tie"))
     name = F.xxhash64("key", "source", "tie").alias("name")
-    taken = stored(assignments(sized, "key").select(name, "n", F.expr("copies * n + more").alias("times")).filter("times > 0"))
+    taken = stored(assignments(sized, "key").select(name, "n", F.expr("if(size > 0, copies * n + more, 0L)").alias("times")).filter("times > 0"))
     packed = docs.select(F.col(key).alias("key"), F.col("source").alias("source"), row_hash(docs, docs.columns), F.struct(*docs.columns).alias("row"))  # no column's name can clash
     rows = salted_join(packed.select(name, "row"), taken, "name", counts=taken.select("name", "n"))
     one = rows.filter("n = 1").select("row", "times")
