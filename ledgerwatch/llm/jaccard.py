@@ -383,25 +383,34 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` without those of a group but one: that of the smallest doc_id (null last), and of rows with one doc_id that of the smallest text hash; rows with one doc_id and one text are
     one document, of which the row that is first as JSON stays. Rows without words stay, as do rows whose doc_id another text has.
 
-    Most rows are alone in their group. A bounded bit map tells nearly all of them, and they stay where they are; only the others are shuffled and decided exactly.
+    Texts stay where they are, but for few: a bounded bit map tells nearly all rows that surely stay, and a second one, of what the first takes for dropped by mistake, nearly all that surely go. Only rows
+    that both maps name, and kept rows that repeat, are shuffled and decided exactly.
     """
     table, first, joined = grouped_sets(docs, threshold)
     component = salted_join(table.filter("n > 0"), joined.withColumnsRenamed({"node": "sid"}), "sid", how="left", counts=first.select("sid", F.col("copies").alias("n")))
     members = stored(component.select("doc_id", "t", F.coalesce("component", "sid").alias("g")))
     best = members.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("best"), F.count("*").alias("n")).filter("n > 1")
     several = salted_join(members, best.drop("n"), "g", counts=best.drop("best")).groupBy("doc_id", "t").agg(F.count("*").alias("n"), F.max(F.expr("doc_id <=> best.doc_id and t = best.t")).alias("wins"))
-    several = stored(several.withColumn("h", F.xxhash64("doc_id", "t")))
-    words, bits = bit_map(several.select(F.col("h").alias("v")), several.count())
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    several = stored(several.filter("n > 1 or not wins").select(F.xxhash64("doc_id", "t").alias("h"), "wins"))
+    context, gone = docs.sparkSession.sparkContext, several.filter("not wins").select("h")
+
+    def named_by(values: DataFrame):
+        words, bits = bit_map(values.select(F.col("h").alias("v")), values.count())
+        shared = context.broadcast(words)
+
+        @F.pandas_udf("boolean")
+        def named(h: pd.Series) -> pd.Series:
+            return pd.Series(hits(shared.value, bits, h.to_numpy().view(np.uint64)))
+
+        return named
 
-    @F.pandas_udf("boolean")
-    def suspect(h: pd.Series) -> pd.Series:
-        return pd.Series(hits(shared.value, bits, h.to_numpy().view(np.uint64)))
+    suspect = named_by(several)
+    rows = table.select(F.xxhash64("doc_id", "t").alias("h")).filter(suspect("h")).groupBy("h").agg(F.count("*").alias("n"))
+    stay = stored(rows.join(gone, "h", "left_anti").join(several.filter("wins"), "h", "left").select("h", "n", F.coalesce("wins", F.lit(False)).alias("one")))
+    doubtful = named_by(stay)
 
     # the row travels packed, so that no column's name can clash
-    marked = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", text_key()).alias("h")).withColumn("suspect", suspect("h"))
-    known = several.select("h", "wins", F.lit(True).alias("known"))
-    decided = salted_join(marked.filter("suspect").drop("suspect"), known, "h", how="left", counts=several.select("h", "n"))
-    alone = decided.filter("known is null").select("row.*")
-    firsts = decided.filter("wins").groupBy("h").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
-    return marked.filter("not suspect").select("row.*").unionByName(alone).unionByName(firsts)
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", text_key()).alias("h")).withColumns({"suspect": suspect("h"), "doubtful": doubtful("h")})
+    decided = salted_join(marked.filter("suspect and doubtful").select("h", "row"), stay.select("h", "one"), "h", counts=stay.select("h", "n"))
+    firsts = decided.filter("one").groupBy("h").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    return marked.filter("not suspect").select("row.*").unionByName(decided.filter("not one").select("row.*")).unionByName(firsts)

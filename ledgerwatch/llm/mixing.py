@@ -192,7 +192,8 @@ def mixed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     name = F.xxhash64("key", "source", "tie").alias("name")
     taken = stored(assignments(sized, "key").select(name, "n", F.expr("if(size > 0, copies * n + more, 0L)").alias("times")).filter("times > 0"))
     packed = docs.select(F.col(key).alias("key"), F.col("source").alias("source"), row_hash(docs, docs.columns), F.struct(*docs.columns).alias("row"))  # no column's name can clash
-    rows = salted_join(packed.select(name, "row"), taken, "name", counts=taken.select("name", "n"))
+    # the same plan at every size: ``taken`` grows with the documents and is never broadcast
+    rows = salted_join(packed.select(name, "row"), taken.hint("merge"), "name", counts=taken.select("name", "n"))
     one = rows.filter("n = 1").select("row", "times")
     many = rows.filter("n > 1").groupBy("name").agg(F.first("row").alias("row"), F.first("times").alias("times")).select("row", "times")  # equal rows
     return each_of(one.unionByName(many), "times", "i").select("row.*")
