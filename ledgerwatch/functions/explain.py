@@ -67,6 +67,24 @@ def pattern_family(fraud_type):
     return out
 
 
+#: The registry of known patterns, in order, and how grave each is.
+PATTERNS = [
+    ("小额试探大额转出", "极高"), ("多层链式洗钱", "极高"), ("异地跨设备突发大额", "高"), ("分散转入集中提现", "高"), ("多渠道轮番转账", "高"), ("凌晨分批掏空", "极高"), ("小额掩护大额跑路", "极高"), ("团伙同IP批量作案", "极高"),
+    ("多层链式洗钱(SQL)", "极高"), ("团伙同IP批量作案(SQL)", "极高"), ("分散转入集中提现(SQL)", "极高"),
+]
+UNKNOWN_SEVERITY = "中"
+
+
+def described(types: DataFrame) -> DataFrame:
+    """``types(fraud_type, ...)`` with ``pattern`` and ``severity`` of the registry: the entry of that name, else the first whose name contains the type's without its parentheses, or is contained in it."""
+    registry = types.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(PATTERNS)], "place int, pattern string, severity string")
+    plain = F.trim(F.regexp_replace("fraud_type", r"\(.*\)", ""))
+    fits = (F.col("fraud_type") == F.col("pattern")) | F.col("pattern").contains(plain) | plain.contains(F.col("pattern"))
+    names = types.select("fraud_type").distinct()
+    best = names.join(F.broadcast(registry), fits).groupBy("fraud_type").agg(F.min(F.struct((F.col("fraud_type") != F.col("pattern")).alias("fuzzy"), "place", "pattern", "severity")).alias("best"))
+    return types.join(best.select("fraud_type", "best.pattern", "best.severity"), "fraud_type", "left").fillna({"severity": UNKNOWN_SEVERITY})
+
+
 def report(alerts: DataFrame) -> DataFrame:
     """A sentence for each alert, and its fields as JSON."""
     from .scalar import amount_words, confidence_words

@@ -92,6 +92,35 @@ def thresholds(scored: DataFrame) -> DataFrame:
     return m.withColumn("value", F.expr("if(fpr > 0.10, f1 * greatest(0.0D, 1.0D - 5.0D * (fpr - 0.10D)), f1)"))
 
 
+def best_threshold(tries: DataFrame, conservative: bool = False, default: float = 0.55) -> DataFrame:
+    """The threshold of the largest value, the lower one of equals; ``conservative``: only .25 to .55, and none with a false-positive rate above .05 counts. If nothing is above 0, the default."""
+    t = tries.select("t", F.expr("if(fpr <= 0.05, f1, 0.0D)").alias("value")).filter("t between 25 and 55") if conservative else tries.select("t", "value")
+    best = t.agg(F.max(F.struct("value", (-F.col("t")).alias("minus"))).alias("best"))
+    return best.select(F.expr(f"if(best.value > 0, -best.minus / 100.0D, {default}D)").alias("threshold"), F.expr("coalesce(best.value, 0.0D)").alias("value"))
+
+
+def newest_frauds(rows: DataFrame, k: int = 2000) -> DataFrame:
+    """The buffer of fraud samples: the last ``k``."""
+    return rows.filter("is_fraud = 1").orderBy(F.col("event_ms").desc(), F.col("tx_id").desc()).limit(k)
+
+
+def oversampled(rows: DataFrame, normal: int, frauds: int, most: int = 5) -> DataFrame:
+    """Fraud rows repeated until they are as many as the normal ones, ``most`` times at most."""
+    times = max(1, min(most, normal // max(1, frauds)))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("is_fraud") == 1, times).otherwise(1))))
+
+
+def vote(samples: DataFrame) -> DataFrame:
+    """``samples(feature, tx_id, x, recent, baseline)``: how many features drift by adaptive windows and by Page-Hinkley, the largest KS and PSI, and what follows from all four."""
+    series = samples.select(F.col("feature").alias("series"), F.col("tx_id").alias("at"), "x")
+    scaled = series.join(series.groupBy("series").agg(F.max(F.abs("x")).alias("top")), "series").withColumn("x", F.expr("if(top > 0, x / top, 0.0D)"))
+    a = adwin(scaled.select("series", "at", "x")).agg(F.count(F.when(F.col("cuts") > 0, 1)).alias("adwin"), F.count("*").alias("features"))
+    p = page_hinkley(scaled.select("series", "at", "x")).groupBy("series").agg(F.max(F.col("drift").cast("int")).alias("d")).agg(F.coalesce(F.sum("d"), F.lit(0)).alias("ph"))
+    checks = a.join(F.broadcast(p)).join(F.broadcast(ks(samples).agg(F.max("ks").alias("ks")))).join(F.broadcast(psi(samples).agg(F.max("psi").alias("psi"))))
+    s = checks.withColumn("score", F.expr("if(ks > 0.15, 0.25D, 0.0D) + if(psi > 0.2, 0.25D, 0.0D) + 0.5D * if(features > 0, (adwin + ph) / (2.0D * features), 0.0D)"))
+    return s.withColumn("severity", F.expr("case when score >= 0.7 or adwin >= features * 0.6D then 'CRITICAL' when score >= 0.5 or adwin >= features * 0.4D then 'SEVERE' when score >= 0.3 or adwin >= features * 0.2D then 'MODERATE' when score >= 0.15 or adwin > 0 or ph > 0 then 'MINOR' else 'NONE' end"))
+
+
 def bottom_k(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """A uniform sample of ``k`` rows that is the same in every run: those of lowest seeded hash."""
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)

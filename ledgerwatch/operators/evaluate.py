@@ -33,6 +33,17 @@ def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return m.withColumn("f1", F.expr("if(precision + recall > 0, 2 * precision * recall / (precision + recall), 0.0D)"))
 
 
+def history(scored: DataFrame, every_ms: int = 3_600_000, threshold: float = 0.5) -> DataFrame:
+    """``scored(account_id, n, probability, label, end_ms)``: confusion counts of all sequences up to the end of each interval, and their ratios. Sequences are counted by interval first, so only a row an interval is summed up in order."""
+    rows = scored.filter(~F.col("account_id").isin(SHARED_ACCOUNTS) & (F.col("n") >= 2)).withColumn("hit", F.col("probability") >= threshold)
+    c = lambda hit, label: F.count(F.when((F.col("hit") == hit) & (F.col("label") == label), 1))
+    each = rows.groupBy(F.expr(f"end_ms div {every_ms}").alias("sample_id")).agg(c(True, 1).alias("tp"), c(True, 0).alias("fp"), c(False, 0).alias("tn"), c(False, 1).alias("fn"))
+    upto = Window.orderBy("sample_id").rowsBetween(Window.unboundedPreceding, 0)
+    m = each.select("sample_id", *[F.sum(k).over(upto).alias(k) for k in ("tp", "fp", "tn", "fn")])
+    m = m.withColumns({"total_samples": F.expr("tp + fp + tn + fn"), "fraud_samples": F.expr("tp + fn"), "normal_samples": F.expr("fp + tn"), "precision": F.expr("if(tp + fp > 0, tp / (tp + fp), 0.0D)"), "recall": F.expr("if(tp + fn > 0, tp / (tp + fn), 0.0D)"), "accuracy": F.expr("(tp + tn) / (tp + fp + tn + fn)")})
+    return m.withColumn("f1", F.expr("if(precision + recall > 0, 2 * precision * recall / (precision + recall), 0.0D)"))
+
+
 def mark_repeats(alerts: DataFrame) -> DataFrame:
     """Whether an alert is its account's first of a type, in order of time; nothing is dropped."""
     order = Window.partitionBy("account_id", "fraud_type").orderBy("event_ms", "alert_id")

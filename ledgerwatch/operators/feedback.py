@@ -22,6 +22,22 @@ def suggestions(by_type: DataFrame, threshold: float = 0.55) -> DataFrame:
     return by_type.withColumn("suggested", F.when((F.col("total") >= 10) & (F.col("fpr") > 0.2), F.least(F.lit(0.95), F.lit(threshold + 0.05))).otherwise(F.lit(threshold)))
 
 
+def false_positive_profile(feedback: DataFrame) -> DataFrame:
+    """``feedback(fraud_type, feedback_type, transaction_hour, reviewer_id)``: of each type's false positives the share at night (hours 0 to 5) and the number of reviewers."""
+    wrong = feedback.filter("feedback_type = 'FALSE_POSITIVE'")
+    return wrong.groupBy("fraud_type").agg(F.count("*").alias("false_positive"), F.avg(F.expr("if(transaction_hour >= 0 and transaction_hour < 6, 1.0D, 0.0D)")).alias("night_share"), F.count_distinct("reviewer_id").alias("reviewers"))
+
+
+def written(feedback: DataFrame, path: str) -> None:
+    """Append reviews to the tables of confirmed frauds and of false positives, one folder for each kind."""
+    feedback.filter("feedback_type in ('CONFIRMED_FRAUD', 'FALSE_POSITIVE')").write.partitionBy("feedback_type").mode("append").parquet(path)
+
+
+def newest(feedback: DataFrame, kind: str, limit: int = 30) -> DataFrame:
+    """The last reviews of a kind."""
+    return feedback.filter(F.col("feedback_type") == kind).orderBy(F.col("event_ms").desc(), "alert_id").limit(limit)
+
+
 def review_queue(alerts: DataFrame, k: int = 100) -> DataFrame:
     """The most urgent alerts: weight of the risk times confidence."""
     weight = F.expr("case when confidence >= 0.90 then 4 when confidence >= 0.75 then 3 when confidence >= 0.50 then 2 else 1 end")

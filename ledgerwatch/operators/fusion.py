@@ -61,6 +61,19 @@ def sink_rows(alerts: DataFrame) -> DataFrame:
     )
 
 
+def sink_json(alerts: DataFrame, explanations: DataFrame | None = None) -> DataFrame:
+    """``alert_id`` and the row's 23 keys as JSON. ``explanations(alert_id, explanation_summary, top_features, graph_path)`` may lack alerts; these have blanks."""
+    rows = sink_rows(alerts)
+    if explanations is None:
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("explanation_summary", "top_features", "graph_path")})
+    else:
+        rows = rows.join(explanations, "alert_id", "left")
+    keys = ["alert_id", "account_id", "fraud_type", "confidence", "source", "behavior_path", "alert_time", "details", "risk_level", "explanation_summary", "amount", "city", "name_orig", "name_dest", "type", "device_id", "ip_segment", "transaction_hour", "is_abroad", "device_risk_level", "top_features", "graph_path"]
+    blank = {"explanation_summary": "UNKNOWN", "top_features": "", "graph_path": ""}
+    columns = [F.coalesce(c, F.lit(blank[c])).alias(c) if c in blank else F.col(c) for c in keys]
+    return rows.select("alert_id", F.to_json(F.struct(*columns, F.col("alert_time").alias("dt"))).alias("json"))
+
+
 def time_of_day(ms: str):
     """``HH:mm:ss.SSS`` in Asia/Shanghai, eight hours ahead of UTC the whole year; zeros if the time isn't positive."""
     shifted = f"({ms} + 28800000) % 86400000"

@@ -76,6 +76,18 @@ def cycles(e: DataFrame, longest: int = 3) -> DataFrame:
     return found.select("account", F.col("length").cast("long").alias("length"), "cycles")
 
 
+def shortest_rings(e: DataFrame, longest: int = 6) -> DataFrame:
+    """Edges of the shortest ring through each account, 2 to ``longest``. Accounts are walked from together, distinct ends only; who has come round, or can't, drops out, so most stop after two steps."""
+    p = pairs(e)
+    front, found = p.select(F.col("src").alias("account"), F.col("dst").alias("at")), None
+    for k in range(2, longest + 1):
+        front = front.join(p, front["at"] == p["src"]).select("account", F.col("dst").alias("at")).distinct()
+        closed = front.filter("account = at").select("account", F.lit(k).cast("long").alias("length"))
+        found = closed if found is None else found.unionByName(closed)
+        front = front.join(closed.select("account"), "account", "left_anti")
+    return found
+
+
 def chain_depth(e: DataFrame, deepest: int = 3) -> DataFrame:
     """Edges of the longest simple path that starts at an account, up to ``deepest``."""
     p = pairs(e)
@@ -126,10 +138,10 @@ GRAPH_TYPES = [
 ]
 
 
-def accounts(tx: DataFrame, longest: int = 3, deepest: int = 2) -> DataFrame:
+def accounts(tx: DataFrame, longest: int = 6, deepest: int = 2) -> DataFrame:
     """Degrees, community, cycle flag and chain depth of every account."""
     e = edges(tx)
-    looped = cycles(e, longest).select("account").distinct().withColumn("has_cycle", F.lit(True))
+    looped = shortest_rings(e, longest).select("account", F.lit(True).alias("has_cycle"))
     joined = degrees(e).join(communities(tx), "account", "left").join(looped, "account", "left").join(chain_depth(e, deepest), "account", "left")
     return joined.fillna({"community": 1, "has_cycle": False, "depth": 0})
 
@@ -162,7 +174,7 @@ def alerts(a: DataFrame) -> DataFrame:
 
 def sequence_stats(tx: DataFrame) -> DataFrame:
     """The graph features of each account, named as in the vector. Community counts distinct out-neighbours, as the vector defines it."""
-    a = degrees(edges(tx)).join(neighbors(edges(tx)), "account").join(cycles(edges(tx)).select("account").distinct().withColumn("loop", F.lit(1.0)), "account", "left").join(chain_depth(edges(tx), 2), "account", "left")
+    a = degrees(edges(tx)).join(neighbors(edges(tx)), "account").join(shortest_rings(edges(tx)).select("account", F.lit(1.0).alias("loop")), "account", "left").join(chain_depth(edges(tx), 2), "account", "left")
     return a.select(
         F.col("account").alias("account_id"), F.coalesce("loop", F.lit(0.0)).alias("graph_cycle"), F.coalesce("depth", F.lit(0)).cast("double").alias("graph_chain_depth"), F.col("out_neighbors").cast("double").alias("graph_community"),
         F.col("in_amount").alias("graph_in_amount"), F.col("out_amount").alias("graph_out_amount"), F.expr("if(in_amount > 0, out_amount / in_amount, 0.0D)").alias("graph_flow_balance"), F.expr("cast(out_degree + in_degree as double)").alias("graph_degree"),

@@ -70,6 +70,43 @@ def search(alerts: DataFrame, account: str = "", fraud_type: str = "", source: s
     return a.orderBy(F.col("event_ms").desc(), "alert_id").offset(offset).limit(limit)
 
 
+def by_id(alerts: DataFrame, alert_id: str) -> DataFrame:
+    """One alert; where an id repeats, the newest."""
+    return recent(alerts.filter(F.col("alert_id") == alert_id), 1)
+
+
+def between(alerts: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """Alerts of a range of dates, both ends included."""
+    return alerts.filter(F.col("event_ms").between(start_ms, end_ms))
+
+
+def until_now(alert_rows: DataFrame, normal_rows: DataFrame, now: str) -> DataFrame:
+    """Rows of both tables up to a time of the day, ``HH:mm:ss``."""
+    a = alert_rows.filter(F.col("alert_time") <= now).agg(F.count("*").alias("fraud_count"))
+    n = normal_rows.filter(F.col("tx_time") <= now).agg(F.count("*").alias("normal_count"))
+    return n.join(F.broadcast(a)).withColumn("total_count", F.expr("normal_count + fraud_count"))
+
+
+def count_like(alerts: DataFrame, prefix: str = "ML") -> DataFrame:
+    return alerts.filter(F.col("source").startswith(prefix)).agg(F.count("*").alias("cnt"))
+
+
+def newest(rows: DataFrame, by: str, limit: int = 30) -> DataFrame:
+    """The last rows of a history by a numeric key: metrics, validations, drift events."""
+    return rows.orderBy(F.col(by).desc()).limit(limit)
+
+
+def training_history(validations: DataFrame, limit: int = 100) -> DataFrame:
+    """How the scores changed as samples came in."""
+    return validations.orderBy("total_samples").limit(limit)
+
+
+def enabled(alerts: DataFrame, categories: DataFrame) -> DataFrame:
+    """Alerts whose source starts with the prefix of an enabled category; ``categories(prefix, enabled)`` is a table of a handful of rows, and if none is enabled nothing is filtered."""
+    on = [r["prefix"] for r in categories.filter("enabled").select("prefix").limit(100).collect()]
+    return alerts.filter(F.expr(" or ".join(f"startswith(source, '{p}')" for p in on))) if on else alerts
+
+
 def second_of_day(column: str):
     return F.expr(f"cast(substring({column}, 1, 2) as int) * 3600 + cast(substring({column}, 4, 2) as int) * 60 + cast(substring({column}, 7, 2) as int)")
 

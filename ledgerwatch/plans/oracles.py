@@ -294,4 +294,37 @@ def oracle_sql() -> dict[str, str]:
         "serve_types": al + "SELECT DISTINCT fraud_type FROM alerts",
         "serve_before_hour": al + "SELECT count(*) AS cnt FROM alerts WHERE transaction_hour <= 8",
     }
+    out |= later(out, tx, al, seqs)
     return out
+
+
+def later(out: dict[str, str], tx: str, al: str, seqs: str) -> dict[str, str]:
+    """SQL whose predicates and constants are written out here, not taken from the plans."""
+    # rank 0: a name of its own in the registry; else the first name that contains the type or lies in it
+    known = """(VALUES (1, '小额试探大额转出', '极高'), (2, '多层链式洗钱', '极高'), (3, '异地跨设备突发大额', '高'), (4, '分散转入集中提现', '高'), (5, '多渠道轮番转账', '高'), (6, '凌晨分批掏空', '极高'),
+        (7, '小额掩护大额跑路', '极高'), (8, '团伙同IP批量作案', '极高'), (9, '多层链式洗钱(SQL)', '极高'), (10, '团伙同IP批量作案(SQL)', '极高'), (11, '分散转入集中提现(SQL)', '极高')) k(i, pattern, severity)"""
+    runs = seqs + f""", v AS (SELECT hi // 3600000 AS sample_id, {points(scores.BEHAVIOR)} >= 0.5 AS hit, label FROM f), d AS (SELECT DISTINCT sample_id FROM v),
+        m AS (SELECT d.sample_id, count(*) FILTER (hit AND label = 1) AS tp, count(*) FILTER (hit AND label = 0) AS fp, count(*) FILTER (NOT hit AND label = 0) AS tn, count(*) FILTER (NOT hit AND label = 1) AS fn FROM d JOIN v ON v.sample_id <= d.sample_id GROUP BY 1),
+        h AS (SELECT *, tp + fp + tn + fn AS total_samples, tp + fn AS fraud_samples, fp + tn AS normal_samples, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, (tp + tn) / (tp + fp + tn + fn) AS a FROM m),
+        q AS (SELECT *, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(p, 6) AS "precision", round(r, 6) AS recall, round(a, 6) AS accuracy FROM h) """
+    fb = al.rstrip() + ",\n" + FEEDBACK + " "
+    steps = ", ".join(f"r{k} AS (SELECT DISTINCT r.account, p.dst AS node FROM r{k - 1} r JOIN p ON r.node = p.src)" for k in range(2, 7))
+    rings = " UNION ALL ".join(f"SELECT account, {k} AS length FROM r{k} WHERE account = node" for k in range(2, 7))
+    return {
+        "pattern_described": al + f"""SELECT fraud_type, arg_min(pattern, rank) AS pattern, coalesce(arg_min(severity, rank), '中') AS severity, any_value(n) AS n
+            FROM (SELECT t.*, pattern, severity, CASE WHEN fraud_type = pattern THEN 0 ELSE i END AS rank FROM (SELECT fraud_type, split_part(fraud_type, '(', 1) AS plain, count(*) AS n FROM alerts GROUP BY ALL) t LEFT JOIN {known} ON fraud_type = pattern OR contains(pattern, plain) OR contains(plain, pattern)) GROUP BY 1""",
+        "serve_by_id": al + "SELECT alert_id, account_id, fraud_type, round(confidence, 6) AS confidence, round(amount, 6) AS amount FROM alerts WHERE alert_id = (SELECT min(alert_id) FROM alerts) LIMIT 1",
+        "serve_until_now": al + f"SELECT *, normal_count + fraud_count AS total_count FROM (SELECT (SELECT count(*) FROM tx WHERE is_fraud = 0 AND {TIME} <= '12:00:00') AS normal_count, (SELECT count(*) FROM alerts WHERE {TIME} <= '12:00:00') AS fraud_count)",
+        "serve_ml_count": f"SELECT count(*) AS cnt FROM ({out['ml_alerts']})",
+        "serve_enabled": al + "SELECT alert_id, account_id, round(confidence, 6) AS confidence, event_ms FROM alerts WHERE source LIKE 'SQL%' ORDER BY event_ms DESC, alert_id LIMIT 200",
+        "serve_between": al + "SELECT alert_id, account_id, round(confidence, 6) AS confidence, event_ms FROM alerts WHERE event_ms >= 1704074400000 AND event_ms <= 1704081600000 ORDER BY event_ms DESC, alert_id LIMIT 100",
+        "serve_feedback_totals": fb + "SELECT c + w AS total_feedback, c AS confirmed_fraud, w AS false_positive, round(CASE WHEN c + w > 0 THEN w / (c + w) ELSE 0 END, 6) AS false_positive_rate FROM (SELECT count(*) FILTER (feedback_type = 'CONFIRMED_FRAUD') AS c, count(*) FILTER (feedback_type = 'FALSE_POSITIVE') AS w FROM fb)",
+        "serve_training_history": runs + 'SELECT total_samples, f1, "precision", recall, accuracy, fraud_samples, normal_samples FROM q ORDER BY total_samples LIMIT 100',
+        "serve_drift_history": runs + 'SELECT sample_id, f1, "precision", recall, accuracy, total_samples, fraud_samples FROM q ORDER BY sample_id DESC LIMIT 30',
+        "serve_validation_latest": runs + "SELECT sample_id, tp, fp, tn, fn, f1 FROM q ORDER BY sample_id DESC LIMIT 1",
+        "feedback_profile": fb + "SELECT fraud_type, count(*) AS false_positive, round(avg(CASE WHEN transaction_hour BETWEEN 0 AND 5 THEN 1.0 ELSE 0 END), 6) AS night_share, count(DISTINCT alert_id[3:3]) AS reviewers FROM fb WHERE feedback_type = 'FALSE_POSITIVE' GROUP BY 1",
+        "feedback_recent": fb + "SELECT alert_id, fraud_type, event_ms, 'R' || alert_id[3:3] AS reviewer_id FROM fb WHERE feedback_type = 'FALSE_POSITIVE' ORDER BY event_ms DESC, alert_id LIMIT 30",
+        "threshold_best": f"WITH tries AS ({out['threshold_opt']}), n AS (SELECT t, \"value\" AS v FROM tries), c AS (SELECT t, CASE WHEN fpr <= 0.05 THEN f1 ELSE 0 END AS v FROM tries WHERE t BETWEEN 25 AND 55) SELECT 'normal' AS mode, CAST(CASE WHEN max(v) > 0 THEN (SELECT min(t) FROM n WHERE v = (SELECT max(v) FROM n)) / 100.0 ELSE 0.55 END AS DOUBLE) AS threshold, max(v) AS \"value\" FROM n UNION ALL SELECT 'conservative', CAST(CASE WHEN max(v) > 0 THEN (SELECT min(t) FROM c WHERE v = (SELECT max(v) FROM c)) / 100.0 ELSE 0.55 END AS DOUBLE), max(v) FROM c",
+        "fraud_buffer": tx + "SELECT tx_id, round(amount, 6) AS amount, fraud_type FROM tx WHERE is_fraud = 1 ORDER BY event_ms DESC, tx_id DESC LIMIT 200",
+        "graph_shortest_ring": tx.rstrip() + f", p AS (SELECT DISTINCT name_orig AS src, name_dest AS dst FROM tx WHERE name_orig <> name_dest), r1 AS (SELECT src AS account, dst AS node FROM p), {steps} SELECT account, CAST(min(length) AS BIGINT) AS length FROM ({rings}) GROUP BY 1",
+    }

@@ -437,6 +437,95 @@ def alert_report(spark, sf):
     return explain.report(detect.rule_alerts(transactions(spark, sf)).filter("source not like 'CEP%'")).select("alert_id", "report")
 
 
+def pattern_described(spark, sf):
+    a = detect.rule_alerts(transactions(spark, sf)).groupBy("fraud_type").agg(F.count("*").alias("n"))
+    return explain.described(a).select("fraud_type", "pattern", "severity", "n")
+
+
+def serve_by_id(spark, sf):
+    a = detect.rule_alerts(transactions(spark, sf))
+    return rounded(serving.by_id(a, a.agg(F.min("alert_id")).first()[0]).select("alert_id", "account_id", "fraud_type", "confidence", "amount"))
+
+
+def serve_until_now(spark, sf):
+    tx = transactions(spark, sf)
+    return serving.until_now(fusion.sink_rows(detect.rule_alerts(tx)), fusion.normal_rows(tx), "12:00:00")
+
+
+def serve_ml_count(spark, sf):
+    tx = transactions(spark, sf)
+    return serving.count_like(detect.rule_alerts(tx).unionByName(detect.ml(tx)))
+
+
+def serve_enabled(spark, sf):
+    toggles = spark.createDataFrame([("CEP", False), ("SQL", True), ("GRAPH", False)], "prefix string, enabled boolean")
+    return rounded(serving.recent(serving.enabled(detect.rule_alerts(transactions(spark, sf)), toggles)).select("alert_id", "account_id", "confidence", "event_ms"))
+
+
+def serve_between(spark, sf):
+    a = serving.between(detect.rule_alerts(transactions(spark, sf)), 1704074400000, 1704081600000)
+    return rounded(serving.search(a, limit=100).select("alert_id", "account_id", "confidence", "event_ms"))
+
+
+def serve_feedback_totals(spark, sf):
+    f = feedback_rows(spark, sf)
+    return rounded(serving.feedback_totals(f.filter("feedback_type = 'CONFIRMED_FRAUD'"), f.filter("feedback_type = 'FALSE_POSITIVE'")))
+
+
+def validations(spark, sf):
+    seq = scores.behavior_score(features.with_features(windows.sequences(transactions(spark, sf))))
+    return evaluate.history(seq.select("account_id", "n", "end_ms", F.col("behavior_score").alias("probability"), F.expr("array_max(transform(txs, x -> x.is_fraud))").alias("label")))
+
+
+def serve_training_history(spark, sf):
+    return rounded(serving.training_history(validations(spark, sf)).select("total_samples", "f1", "precision", "recall", "accuracy", "fraud_samples", "normal_samples"))
+
+
+def serve_drift_history(spark, sf):
+    return rounded(serving.newest(validations(spark, sf), "sample_id").select("sample_id", "f1", "precision", "recall", "accuracy", "total_samples", "fraud_samples"))
+
+
+def serve_validation_latest(spark, sf):
+    return rounded(serving.newest(validations(spark, sf), "sample_id", 1).select("sample_id", "tp", "fp", "tn", "fn", "f1"))
+
+
+def reviews(spark, sf):
+    """Feedback with the alert's hour and time, and a reviewer."""
+    a = detect.rule_alerts(transactions(spark, sf))
+    kind = F.expr("case conv(substring(alert_id, 1, 2), 16, 10) % 5 when 0 then 'FALSE_POSITIVE' when 1 then 'INCORRECT_TYPE' else 'CONFIRMED_FRAUD' end")
+    return a.select("alert_id", "fraud_type", "transaction_hour", "event_ms", kind.alias("feedback_type"), F.concat(F.lit("R"), F.substring("alert_id", 3, 1)).alias("reviewer_id"))
+
+
+def feedback_profile(spark, sf):
+    return rounded(feedback.false_positive_profile(reviews(spark, sf)))
+
+
+def feedback_recent(spark, sf):
+    return feedback.newest(reviews(spark, sf), "FALSE_POSITIVE").select("alert_id", "fraud_type", "event_ms", "reviewer_id")
+
+
+def threshold_best(spark, sf):
+    t = drift.thresholds(api.detect(transactions(spark, sf)).select(F.round("fraud_probability", 6).alias("score"), F.col("is_fraud").alias("label")))
+    both = drift.best_threshold(t).withColumn("mode", F.lit("normal")).unionByName(drift.best_threshold(t, conservative=True).withColumn("mode", F.lit("conservative")))
+    return rounded(both)
+
+
+def fraud_buffer(spark, sf):
+    return rounded(drift.newest_frauds(transactions(spark, sf), 200).select("tx_id", "amount", "fraud_type"))
+
+
+def drift_vote(spark, sf):
+    return rounded(drift.vote(samples(spark, sf)), 6)
+
+
+def graph_shortest_ring(spark, sf):
+    return graph.shortest_rings(graph.edges(transactions(spark, sf)))
+
+
+def alert_json(spark, sf):
+    return fusion.sink_json(detect.rule_alerts(transactions(spark, sf)))
+
+
 def latest_upsert(spark, sf):
     rows = transactions(spark, sf).select(F.col("name_orig").alias("k"), "tx_id", "amount", "city")
     return sinks.latest(rows, ["k"], "tx_id")
@@ -473,6 +562,8 @@ def queries() -> dict[str, Query]:
         "ablation_real", "latency_percentiles", "throughput", "serve_totals", "serve_traffic", "serve_recent", "serve_search", "serve_kpis", "feedback_stats", "feedback_by_type", "feedback_keywords", "retrain_trigger",
         "review_queue_topk", "feedback_backfill", "ks_stat", "psi", "page_hinkley", "adwin", "drift_severity", "threshold_opt", "reservoir", "top_features", "triggered_rules", "explain_brief", "risk_composite",
         "pattern_registry", "alert_report", "latest_upsert", "retrain", "isolation", "sage_embedding",
+        "pattern_described", "serve_by_id", "serve_until_now", "serve_ml_count", "serve_enabled", "serve_between", "serve_feedback_totals", "serve_training_history", "serve_drift_history", "serve_validation_latest",
+        "feedback_profile", "feedback_recent", "threshold_best", "fraud_buffer", "drift_vote", "graph_shortest_ring", "alert_json",
     ]
     out: dict[str, Query] = {f"cep_{p.name}": one_pattern(p) for p in patterns.PATTERNS}
     out |= {name: here[name] for name in plain}
