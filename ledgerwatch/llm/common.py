@@ -137,9 +137,11 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, also: tuple[str, ...
     if not found:
         return big.join(small, [key, *also], how)
     many = F.broadcast(big.sparkSession.createDataFrame(found, f"`{key}` {big.schema[key].dataType.simpleString()}, salts int"))
-    dealt = big.join(many, key, "left").withColumn("salt", F.floor(F.rand(17) * F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    copied = small.join(many, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return dealt.join(copied, [key, *also, "salt"], how).drop("salt")
+    # other keys are joined as ever, on partitions that are there already; only the frequent keys' rows are dealt
+    plain = big.join(many, key, "left_anti").join(small, [key, *also], how)
+    dealt = big.join(many, key).withColumn("salt", F.floor(F.rand(17) * F.col("salts")).cast("int")).drop("salts")
+    copied = small.join(many, key).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("salts")
+    return plain.unionByName(dealt.join(copied, [key, *also, "salt"], how).drop("salt"))
 
 
 def each_of(rows: DataFrame, count: str, number: str) -> DataFrame:
