@@ -313,7 +313,7 @@ def later(out: dict[str, str], tx: str, al: str, seqs: str) -> dict[str, str]:
     return {
         "pattern_described": al + f"""SELECT fraud_type, arg_min(pattern, rank) AS pattern, coalesce(arg_min(severity, rank), '中') AS severity, any_value(n) AS n
             FROM (SELECT t.*, pattern, severity, CASE WHEN fraud_type = pattern THEN 0 ELSE i END AS rank FROM (SELECT fraud_type, split_part(fraud_type, '(', 1) AS plain, count(*) AS n FROM alerts GROUP BY ALL) t LEFT JOIN {known} ON fraud_type = pattern OR contains(pattern, plain) OR contains(plain, pattern)) GROUP BY 1""",
-        "serve_by_id": al + "SELECT alert_id, account_id, fraud_type, round(confidence, 6) AS confidence, round(amount, 6) AS amount FROM alerts WHERE alert_id = (SELECT min(alert_id) FROM alerts) LIMIT 1",
+        "serve_by_id": al + "SELECT alert_id, account_id, fraud_type, round(confidence, 6) AS confidence, round(amount, 6) AS amount FROM alerts ORDER BY alert_id, event_ms DESC LIMIT 1",
         "serve_until_now": al + f"SELECT *, normal_count + fraud_count AS total_count FROM (SELECT (SELECT count(*) FROM tx WHERE is_fraud = 0 AND {TIME} <= '12:00:00') AS normal_count, (SELECT count(*) FROM alerts WHERE {TIME} <= '12:00:00') AS fraud_count)",
         "serve_ml_count": f"SELECT count(*) AS cnt FROM ({out['ml_alerts']})",
         "serve_enabled": al + "SELECT alert_id, account_id, round(confidence, 6) AS confidence, event_ms FROM alerts WHERE source LIKE 'SQL%' ORDER BY event_ms DESC, alert_id LIMIT 200",
