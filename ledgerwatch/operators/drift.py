@@ -133,3 +133,27 @@ def repair(events: DataFrame, threshold: float) -> DataFrame:
         F.expr("case severity when 'MINOR' then 'RAISE_THRESHOLD' when 'MODERATE' then 'RETRAIN_RECENT' when 'SEVERE' then 'RETRAIN_AND_THRESHOLD' when 'CRITICAL' then 'RULES_ONLY' else 'NONE' end").alias("action"),
         F.when(F.col("severity") == "MINOR", F.least(F.lit(0.70), F.lit(threshold * 1.05))).otherwise(F.lit(threshold)).alias("threshold"),
     )
+
+
+def mean_shift(values: DataFrame, window: int = 500, every: int = 200, alpha: float = 0.1, limit: float = 0.3) -> DataFrame:
+    """``values(feature, at, x)`` with ``at`` gapless from 0: at the end of each window of rows, how far the features' means lie from the baseline, in its deviations (3 at most), averaged over the features.
+
+    The baseline is the window before, moved by ``alpha`` towards the present window after every ``every`` rows of it; the first window makes its own. Windows of fewer than 50 rows have no score. A null or
+    infinite value counts as 0. A window's score needs two windows only, so they are groups joined by number, and no feature is one task.
+    """
+    x = F.when(F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf")), 0.0).otherwise(F.col("x"))
+    v = values.select("feature", F.floor(F.col("at") / window).alias("w"), (F.col("at") % window).alias("i"), x.alias("x"))
+    marks = list(range(every, window, every))
+    first = lambda k: F.when(F.col("i") < k, F.col("x"))
+    stats = v.groupBy("feature", "w").agg(
+        F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("*")).alias("m2"),
+        *[F.avg(first(k)).alias(f"mean_{k}") for k in marks], *[(F.var_pop(first(k)) * F.count(first(k))).alias(f"m2_{k}") for k in marks],
+    )
+    before = stats.select("feature", (F.col("w") + 1).alias("w"), F.col("mean").alias("base_mean"), F.col("m2").alias("base_m2"))
+    s = stats.join(before, ["feature", "w"], "left").withColumn("seen", F.col("w") * window)
+    for k in marks:
+        moved = lambda c: F.when(F.col("n") >= k, F.coalesce(alpha * F.col(f"{c}_{k}") + (1 - alpha) * F.col(f"base_{c}"), F.col(f"{c}_{k}"))).otherwise(F.col(f"base_{c}"))  # noqa: B023, E731
+        s = s.withColumns({"base_mean": moved("mean"), "base_m2": moved("m2"), "seen": F.when(F.col("n") >= k, F.col("w") * window + k).otherwise(F.col("seen"))})
+    shift = F.expr("least(3.0D, abs(mean - base_mean) / sqrt(greatest(base_m2 / greatest(1, seen - 1), 1e-6D)))")
+    scored = s.filter("n >= 50 and base_mean is not null").groupBy("w").agg(F.avg(shift).alias("score"))
+    return scored.withColumn("drift", F.col("score") > limit)

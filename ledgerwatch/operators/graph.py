@@ -99,6 +99,40 @@ def chain_depth(e: DataFrame, deepest: int = 3) -> DataFrame:
     return out.groupBy("account").agg(F.max("depth").cast("long").alias("depth"))
 
 
+def fund_chains(e: DataFrame, deepest: int = 3) -> DataFrame:
+    """Fund chains from every account over distinct links, no account twice: ``account``, ``path``, ``edges``, ``ending`` and ``back``.
+
+    A chain is recorded where it has ``deepest`` edges (``depth``), where no link leads on (``leaf``), and once for each link that would lead back to an account on it (``revisit``, with that account in ``back``).
+    The number of chains grows with the power ``deepest`` of the degrees.
+    """
+    p = pairs(e).select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    row = lambda w, ending, back: w.select("account", "path", (F.size("path") - 1).cast("long").alias("edges"), ending.alias("ending"), back.alias("back"))
+    walk, found = p.select(F.col("at").alias("account"), F.array("at", "next").alias("path")), []
+    for _ in range(1, deepest):
+        ahead = walk.join(p, F.element_at("path", -1) == F.col("at"), "left")
+        again = F.coalesce(F.array_contains("path", F.col("next")), F.lit(True))
+        found.append(row(ahead.filter(again), F.when(F.col("next").isNull(), "leaf").otherwise("revisit"), F.coalesce("next", F.lit(""))))
+        walk = ahead.filter(~again).select("account", F.concat("path", F.array("next")).alias("path"))
+    out = row(walk, F.lit("depth"), F.lit(""))
+    for f in found:
+        out = out.unionByName(f)
+    return out
+
+
+def path_texts(e: DataFrame, rings: DataFrame, most: int = 50, shown: int = 3) -> DataFrame:
+    """Each account's links as a text: its out-edges, then its in-edges (of the newest ``most`` the oldest first; of more than ``shown`` the first alone), then a mark if it is in ``rings(account)``. Ids are cut to eight letters."""
+    text = F.concat(F.substring("src", 1, 8), F.lit("→"), F.substring("dst", 1, 8), F.lit("("), F.round("amount").cast("long").cast("string"), F.lit(")"))
+
+    def side(own: str, name: str) -> DataFrame:
+        order = Window.partitionBy(own).orderBy(F.col("event_ms").desc(), F.col("tx_id").desc())
+        kept = e.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+        lists = kept.groupBy(F.col(own).alias("account")).agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("k"), text.alias("text")))).alias("l"))
+        return lists.select("account", F.when(F.size("l") > shown, F.concat(F.col("l")[0]["text"], F.lit("..."))).otherwise(F.array_join("l.text", "")).alias(name))
+
+    both = side("src", "outs").join(side("dst", "ins"), "account", "full").join(rings.select("account", F.lit("CYCLE detected").alias("ring")), "account", "left")
+    return both.select("account", F.concat_ws(" | ", F.concat_ws(" ", "outs", "ins"), "ring").alias("path"))
+
+
 def hops(e: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
     """Accounts within ``k`` undirected hops of each seed, with the least number of hops."""
     p = pairs(e)

@@ -303,6 +303,7 @@ def later(out: dict[str, str], tx: str, al: str, seqs: str) -> dict[str, str]:
     # rank 0: a name of its own in the registry; else the first name that contains the type or lies in it
     known = """(VALUES (1, '小额试探大额转出', '极高'), (2, '多层链式洗钱', '极高'), (3, '异地跨设备突发大额', '高'), (4, '分散转入集中提现', '高'), (5, '多渠道轮番转账', '高'), (6, '凌晨分批掏空', '极高'),
         (7, '小额掩护大额跑路', '极高'), (8, '团伙同IP批量作案', '极高'), (9, '多层链式洗钱(SQL)', '极高'), (10, '团伙同IP批量作案(SQL)', '极高'), (11, '分散转入集中提现(SQL)', '极高')) k(i, pattern, severity)"""
+    links = tx.rstrip() + ", p AS (SELECT DISTINCT name_orig AS src, name_dest AS dst FROM tx WHERE name_orig <> name_dest)"
     runs = seqs + f""", v AS (SELECT hi // 3600000 AS sample_id, {points(scores.BEHAVIOR)} >= 0.5 AS hit, label FROM f), d AS (SELECT DISTINCT sample_id FROM v),
         m AS (SELECT d.sample_id, count(*) FILTER (hit AND label = 1) AS tp, count(*) FILTER (hit AND label = 0) AS fp, count(*) FILTER (NOT hit AND label = 0) AS tn, count(*) FILTER (NOT hit AND label = 1) AS fn FROM d JOIN v ON v.sample_id <= d.sample_id GROUP BY 1),
         h AS (SELECT *, tp + fp + tn + fn AS total_samples, tp + fn AS fraud_samples, fp + tn AS normal_samples, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, (tp + tn) / (tp + fp + tn + fn) AS a FROM m),
@@ -326,5 +327,16 @@ def later(out: dict[str, str], tx: str, al: str, seqs: str) -> dict[str, str]:
         "feedback_recent": fb + "SELECT alert_id, fraud_type, event_ms, 'R' || alert_id[3:3] AS reviewer_id FROM fb WHERE feedback_type = 'FALSE_POSITIVE' ORDER BY event_ms DESC, alert_id LIMIT 30",
         "threshold_best": f"WITH tries AS ({out['threshold_opt']}), n AS (SELECT t, \"value\" AS v FROM tries), c AS (SELECT t, CASE WHEN fpr <= 0.05 THEN f1 ELSE 0 END AS v FROM tries WHERE t BETWEEN 25 AND 55) SELECT 'normal' AS mode, CAST(CASE WHEN max(v) > 0 THEN (SELECT min(t) FROM n WHERE v = (SELECT max(v) FROM n)) / 100.0 ELSE 0.55 END AS DOUBLE) AS threshold, max(v) AS \"value\" FROM n UNION ALL SELECT 'conservative', CAST(CASE WHEN max(v) > 0 THEN (SELECT min(t) FROM c WHERE v = (SELECT max(v) FROM c)) / 100.0 ELSE 0.55 END AS DOUBLE), max(v) FROM c",
         "fraud_buffer": tx + "SELECT tx_id, round(amount, 6) AS amount, fraud_type FROM tx WHERE is_fraud = 1 ORDER BY event_ms DESC, tx_id DESC LIMIT 200",
-        "graph_shortest_ring": tx.rstrip() + f", p AS (SELECT DISTINCT name_orig AS src, name_dest AS dst FROM tx WHERE name_orig <> name_dest), r1 AS (SELECT src AS account, dst AS node FROM p), {steps} SELECT account, CAST(min(length) AS BIGINT) AS length FROM ({rings}) GROUP BY 1",
+        "drift_mean_shift": with_(TX, SAMPLES).rstrip() + """, o AS (SELECT feature, x, tx_id - (SELECT min(tx_id) FROM tx) AS spot FROM sm), s AS (SELECT feature, spot // 500 AS w, count(*) AS n, avg(x) AS m, sum(x * x) - count(*) * avg(x) ^ 2 AS v, avg(x) FILTER (spot % 500 < 200) AS m2, avg(x) FILTER (spot % 500 < 400) AS m4,
+            sum(x * x) FILTER (spot % 500 < 200) - 200 * (avg(x) FILTER (spot % 500 < 200)) ^ 2 AS v2, sum(x * x) FILTER (spot % 500 < 400) - 400 * (avg(x) FILTER (spot % 500 < 400)) ^ 2 AS v4 FROM o GROUP BY ALL),
+            b0 AS (SELECT *, lag(m) OVER l AS bm, lag(v) OVER l AS bv FROM s WINDOW l AS (PARTITION BY feature ORDER BY w)),
+            b1 AS (SELECT * REPLACE (CASE WHEN n < 200 THEN bm WHEN bm IS NULL THEN m2 ELSE 0.1 * m2 + 0.9 * bm END AS bm, CASE WHEN n < 200 THEN bv WHEN bv IS NULL THEN v2 ELSE 0.1 * v2 + 0.9 * bv END AS bv) FROM b0),
+            b2 AS (SELECT * REPLACE (CASE WHEN n < 400 THEN bm ELSE 0.1 * m4 + 0.9 * bm END AS bm, CASE WHEN n < 400 THEN bv ELSE 0.1 * v4 + 0.9 * bv END AS bv), 500 * w + CASE WHEN n >= 400 THEN 400 WHEN n >= 200 THEN 200 ELSE 0 END AS seen FROM b1),
+            r AS (SELECT w, avg(least(3.0, abs(m - bm) / sqrt(greatest(bv / greatest(1, seen - 1), 0.000001)))) AS score FROM b2 WHERE n >= 50 AND bm IS NOT NULL GROUP BY w) SELECT w, round(score, 6) AS score, score > 0.3 AS drift FROM r""",
+        "graph_fund_chains": links + """ SELECT src AS account, src || '->' || dst AS path, CAST(1 AS BIGINT) AS edges, 'leaf' AS ending, '' AS back FROM p WHERE dst NOT IN (SELECT src FROM p)
+            UNION ALL SELECT a.src, a.src || '->' || a.dst, 1, 'revisit', a.src FROM p a JOIN p b ON a.dst = b.src AND a.src = b.dst UNION ALL SELECT a.src, a.src || '->' || a.dst || '->' || b.dst, 2, 'depth', '' FROM p a JOIN p b ON a.dst = b.src AND a.src <> b.dst""",
+        "graph_path": with_(TX, GRAPH).rstrip() + """, t0 AS (SELECT *, substr(src, 1, 8) || '→' || substr(dst, 1, 8) || '(' || CAST(round(amount) AS BIGINT) || ')' AS t FROM ge), t1 AS (SELECT src AS account, 1 AS side, event_ms, tx_id, t FROM t0 UNION ALL SELECT dst, 2, event_ms, tx_id, t FROM t0),
+            t2 AS (SELECT *, row_number() OVER (PARTITION BY account, side ORDER BY event_ms DESC, tx_id DESC) AS rn FROM t1), t3 AS (SELECT account, side, CASE WHEN count(*) > 3 THEN max_by(t, rn) || '...' ELSE string_agg(t, '' ORDER BY rn DESC) END AS t FROM t2 WHERE rn <= 50 GROUP BY 1, 2)
+            SELECT account, string_agg(t, ' ' ORDER BY side) || CASE WHEN account IN (SELECT account FROM gc) THEN ' | CYCLE detected' ELSE '' END AS path FROM t3 GROUP BY account""",
+        "graph_shortest_ring": links + f", r1 AS (SELECT src AS account, dst AS node FROM p), {steps} SELECT account, CAST(min(length) AS BIGINT) AS length FROM ({rings}) GROUP BY 1",
     }

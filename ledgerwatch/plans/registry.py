@@ -214,6 +214,16 @@ def graph_chain_depth(spark, sf):
     return graph.chain_depth(graph.edges(transactions(spark, sf)), 2)
 
 
+def graph_fund_chains(spark, sf):
+    chains = graph.fund_chains(graph.edges(transactions(spark, sf)), 2)
+    return chains.withColumn("path", F.array_join("path", "->"))
+
+
+def graph_path(spark, sf):
+    e = graph.edges(transactions(spark, sf))
+    return graph.path_texts(e, graph.shortest_rings(e))
+
+
 def graph_scatter(spark, sf):
     return rounded(graph.scatter(graph.edges(transactions(spark, sf))))
 
@@ -518,6 +528,12 @@ def drift_vote(spark, sf):
     return rounded(drift.vote(samples(spark, sf)), 6)
 
 
+def drift_mean_shift(spark, sf):
+    s = samples(spark, sf)
+    first = s.agg(F.min("tx_id").alias("first"))
+    return rounded(drift.mean_shift(s.join(F.broadcast(first)).select("feature", (F.col("tx_id") - F.col("first")).alias("at"), "x")))
+
+
 def graph_shortest_ring(spark, sf):
     return graph.shortest_rings(graph.edges(transactions(spark, sf)))
 
@@ -563,7 +579,7 @@ def queries() -> dict[str, Query]:
         "review_queue_topk", "feedback_backfill", "ks_stat", "psi", "page_hinkley", "adwin", "drift_severity", "threshold_opt", "reservoir", "top_features", "triggered_rules", "explain_brief", "risk_composite",
         "pattern_registry", "alert_report", "latest_upsert", "retrain", "isolation", "sage_embedding",
         "pattern_described", "serve_by_id", "serve_until_now", "serve_ml_count", "serve_enabled", "serve_between", "serve_feedback_totals", "serve_training_history", "serve_drift_history", "serve_validation_latest",
-        "feedback_profile", "feedback_recent", "threshold_best", "fraud_buffer", "drift_vote", "graph_shortest_ring", "alert_json",
+        "feedback_profile", "feedback_recent", "threshold_best", "fraud_buffer", "drift_vote", "graph_shortest_ring", "alert_json", "drift_mean_shift", "graph_fund_chains", "graph_path",
     ]
     out: dict[str, Query] = {f"cep_{p.name}": one_pattern(p) for p in patterns.PATTERNS}
     out |= {name: here[name] for name in plain}

@@ -26,3 +26,37 @@ def test_khop_neighbors_of_accounts_that_only_receive(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e")], "src string, dst string")
     seeds = graph.sides(e.selectExpr("*", "1.0D amount", "0L event_ms")).selectExpr("account as seed").distinct()
     assert {(r.seed, r.account, r.hops) for r in graph.hops(e, seeds).collect() if r.seed in "ce"} == {("c", "c", 0), ("c", "b", 1), ("c", "a", 2), ("e", "e", 0), ("e", "d", 1)}
+
+
+def chains_by_hand(links, deepest):
+    nexts = {a: sorted(y for x, y in links if x == a) for a, _ in links}
+    todo, out = [[a, b] for a, b in links], []
+    while todo:
+        path = todo.pop()
+        ahead = nexts.get(path[-1], [])
+        if len(path) > deepest:
+            out.append((path[0], tuple(path), "depth", ""))
+        elif not ahead:
+            out.append((path[0], tuple(path), "leaf", ""))
+        else:
+            out += [(path[0], tuple(path), "revisit", n) for n in ahead if n in path]
+            todo += [[*path, n] for n in ahead if n not in path]
+    return sorted(out)
+
+
+def test_fund_chains(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("b", "a"), ("d", "b")]
+    e = spark.createDataFrame([*links, ("a", "b")], "src string, dst string")
+    for deepest in (1, 2, 3, 4):
+        got = sorted((r.account, tuple(r.path), r.ending, r.back) for r in graph.fund_chains(e, deepest).collect())
+        assert got == chains_by_hand(links, deepest)
+    assert graph.fund_chains(e.limit(0)).count() == 0
+
+
+def test_path_texts(spark):
+    rows = [("abcdefghij", f"t{i}", 10.5 * i, i, i) for i in range(5)] + [("t1", "x", 7.0, 9, 9), ("x", "t1", 8.0, 10, 10)]
+    e = spark.createDataFrame(rows, "src string, dst string, amount double, event_ms long, tx_id long")
+    got = {r.account: r.path for r in graph.path_texts(e, spark.createDataFrame([("x",), ("t1",)], "account string")).collect()}
+    assert got["abcdefghij"] == "abcdefgh→t0(0)..." and got["t2"] == "abcdefgh→t2(21)"
+    assert got["t1"] == "t1→x(7) abcdefgh→t1(11)x→t1(8) | CYCLE detected" and got["x"] == "x→t1(8) t1→x(7) | CYCLE detected"
+    assert graph.path_texts(e, e.select("src").limit(0).withColumnRenamed("src", "account"), most=2).filter("account = 'abcdefghij'").first().path == "abcdefgh→t3(32)abcdefgh→t4(42)"
