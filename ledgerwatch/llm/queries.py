@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, jaccard, langid, licenses, media, mixing, sharding, token_counts, warc
+from . import bpe, clustering, fingerprints, jaccard, langid, licenses, linededup, media, mixing, sharding, token_counts, warc, whitening
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,22 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(embeddings(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(documents(spark, sf_dir))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -64,11 +80,14 @@ def queries() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_fingerprints": op9_fingerprints,
         "op10_shards": op10_shards,
+        "op11_clusters": op11_clusters,
+        "op12_whitening": op12_whitening,
+        "op13_line_dedup": op13_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": WARC_SQL}
+    return {"op8_warc": WARC_SQL, "op11_clusters": clustering.oracle(), "op13_line_dedup": LINES_SQL}
 
 
 WARC_SQL = """
@@ -80,3 +99,12 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM d LEFT JOIN f ON payload_digest = g
 """
+
+LINES_SQL = """
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id
+"""
