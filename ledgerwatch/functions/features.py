@@ -22,8 +22,12 @@ def count_of(condition: str) -> str:
     return f"size(filter(txs, x -> {condition}))"
 
 
+#: Places 1 to n - 1; none where n is 1.
+STEPS = "slice(sequence(0, n - 1), 2, n)"
+
+
 def changes(field: str) -> str:
-    return f"size(filter(sequence(1, n - 1), i -> not (txs[i].{field} <=> txs[i - 1].{field})))"
+    return f"size(filter({STEPS}, i -> not (txs[i].{field} <=> txs[i - 1].{field})))"
 
 
 def distinct(field: str) -> str:
@@ -54,7 +58,7 @@ def with_features(seq: DataFrame) -> DataFrame:
             "balance_ratio": e("greatest(0.0D, array_max(transform(txs, x -> if(x.oldbalance_org > 0, x.amount / x.oldbalance_org, 0.0D))))"),
             "cash_out_ratio": e(f"{count_of(MOVE)} / n"),
             "velocity": e("n / greatest(greatest(end_ms - start_ms, 1) / 60000.0D, 0.1D)"),
-            "gaps": e("transform(sequence(1, n - 1), i -> greatest((txs[i].event_ms - txs[i - 1].event_ms) / 1000.0D, 0.1D))"),
+            "gaps": e(f"transform({STEPS}, i -> greatest((txs[i].event_ms - txs[i - 1].event_ms) / 1000.0D, 0.1D))"),
             "xy": e("aggregate(transform(txs, (x, i) -> i * x.amount), 0.0D, (s, v) -> s + v)"),
             "mid": e("n div 2"),
             "out_degree": e(distinct("name_dest")),
@@ -64,15 +68,15 @@ def with_features(seq: DataFrame) -> DataFrame:
     seq = seq.withColumns(
         {
             "std_amount": e("sqrt(greatest(sq / n - avg_amount * avg_amount, 0.0D))"),
-            "interval_mean": e("aggregate(gaps, 0.0D, (s, v) -> s + v) / (n - 1)"),
-            "amount_slope": e("(n * xy - (n * (n - 1) / 2.0D) * total_amount) / (n * ((n - 1) * n * (2 * n - 1) / 6.0D) - pow(n * (n - 1) / 2.0D, 2))"),
-            "freq_acceleration": e("((n - mid) * 1000.0D / greatest(end_ms - txs[mid].event_ms, 1)) / (mid * 1000.0D / greatest(txs[mid - 1].event_ms - start_ms, 1))"),
+            "interval_mean": e("aggregate(gaps, 0.0D, (s, v) -> s + v) / greatest(n - 1, 1)"),
+            "amount_slope": e("(n * xy - (n * (n - 1) / 2.0D) * total_amount) / nullif(n * ((n - 1) * n * (2 * n - 1) / 6.0D) - pow(n * (n - 1) / 2.0D, 2), 0.0D)"),
+            "freq_acceleration": e("((n - mid) * 1000.0D / greatest(end_ms - txs[mid].event_ms, 1)) / nullif(mid * 1000.0D / greatest(get(txs, mid - 1).event_ms - start_ms, 1), 0.0D)"),
             "max_single_ratio": e("if(total_amount > 0, max_single / total_amount, 0.0D)"),
             "distinct_dests": F.col("out_degree"),
             "behavior_path": behavior_path(),
         }
     )
-    return seq.withColumn("interval_variance", e("aggregate(gaps, 0.0D, (s, v) -> s + (v - interval_mean) * (v - interval_mean)) / (n - 1)")).drop("sq", "gaps", "xy", "mid", "max_single")
+    return seq.withColumn("interval_variance", e("aggregate(gaps, 0.0D, (s, v) -> s + (v - interval_mean) * (v - interval_mean)) / greatest(n - 1, 1)")).drop("sq", "gaps", "xy", "mid", "max_single")
 
 
 def behavior_path():

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import FEATURES
+from .features import FEATURES, STEPS
 
 #: Fixed values: (condition, points) of the behaviour score.
 BEHAVIOR = [
@@ -160,9 +160,9 @@ def gnn_scores(seq: DataFrame) -> DataFrame:
             "n_edges": e("size(edges)"),
             "max_total": e("coalesce(array_max(transform(totals, d -> d.amount)), 0.0D)"),
             "variance": e("coalesce(greatest(aggregate(totals, 0.0D, (s, d) -> s + d.amount * d.amount) / nullif(size(totals), 0) - pow(aggregate(totals, 0.0D, (s, d) -> s + d.amount) / nullif(size(totals), 0), 2), 0.0D), 0.0D)"),
-            "chain_share": e("size(filter(sequence(1, greatest(n - 2, 1)), i -> n >= 3 and txs[i - 1].type = 'TRANSFER' and txs[i].type = 'TRANSFER' and get(txs, i + 1).type = 'TRANSFER')) / greatest(n - 2, 1)"),
-            "ups": e("size(filter(sequence(1, n - 1), i -> txs[i].amount > txs[i - 1].amount))"),
-            "downs": e("size(filter(sequence(1, n - 1), i -> txs[i].amount < txs[i - 1].amount))"),
+            "chain_share": e("size(filter(sequence(1, greatest(n - 2, 1)), i -> n >= 3 and get(txs, i - 1).type = 'TRANSFER' and get(txs, i).type = 'TRANSFER' and get(txs, i + 1).type = 'TRANSFER')) / greatest(n - 2, 1)"),
+            "ups": e(f"size(filter({STEPS}, i -> txs[i].amount > txs[i - 1].amount))"),
+            "downs": e(f"size(filter({STEPS}, i -> txs[i].amount < txs[i - 1].amount))"),
             "debit": e("aggregate(filter(txs, x -> x.type = 'DEBIT'), 0.0D, (s, x) -> s + x.amount)"),
             "cash": e("aggregate(filter(txs, x -> x.type = 'CASH_OUT'), 0.0D, (s, x) -> s + x.amount)"),
             "cashes": e("size(filter(txs, x -> x.type = 'CASH_OUT'))"),

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 
 def edges(tx: DataFrame) -> DataFrame:
     return tx.filter("name_orig <> name_dest").select("tx_id", F.col("name_orig").alias("src"), F.col("name_dest").alias("dst"), "amount", "event_ms", "type", "ip_segment", "device_id")
@@ -48,15 +50,23 @@ def pairs(e: DataFrame) -> DataFrame:
 
 
 def communities(tx: DataFrame) -> DataFrame:
-    """Size of an account's community: itself, those that share an ip segment or a device, and the direct neighbours of all these."""
-    # what a shared ip segment or device reaches is found once for the segment or device, not once for each of its accounts
+    """Size of an account's community: itself, those that share an ip segment or a device, and the direct neighbours of all these.
+
+    What a single account uses reaches nothing that its other segments and devices don't reach. The shared ones of an account form a set; the reach of each set is counted once, and accounts refer to their set, so the accounts
+    behind one address are not multiplied by what the address reaches.
+    """
     shared = F.explode(F.array(F.concat(F.lit("ip:"), "ip_segment"), F.concat(F.lit("device:"), "device_id")))
     belongs = tx.select(F.col("name_orig").alias("account"), shared.alias("by")).filter("by is not null").distinct()
+    common = belongs.groupBy("by").agg(F.count("*").alias("n")).filter("n >= 2").select("by")
+    belongs = stored(belongs.groupBy("account").agg(F.collect_set("by").alias("bys")).select("account", F.explode("bys").alias("by")).join(common.withColumn("common", F.lit(True)), "by", "left"))
+    sets = stored(belongs.groupBy("account").agg(F.array_sort(F.collect_list(F.when(F.col("common"), F.col("by")))).alias("bys")))
     p = pairs(edges(tx))
     touching = p.unionByName(p.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    around = belongs.join(touching, belongs["account"] == touching["src"]).select("by", F.col("dst").alias("member"))
-    reach = belongs.select("by", F.col("account").alias("member")).unionByName(around).distinct()
-    return belongs.join(reach, "by").groupBy("account").agg(F.count_distinct("member").alias("community"))
+    near = stored(belongs.filter("common").join(touching, F.col("account") == F.col("src")).select("by", F.col("dst").alias("member")).unionByName(belongs.filter("common").select("by", F.col("account").alias("member"))).distinct())
+    each = sets.filter("size(bys) > 0").select("bys").distinct().withColumn("by", F.explode("bys"))
+    counted = each.join(near, "by").groupBy("bys").agg(F.count_distinct("member").alias("community"))
+    alone = sets.filter("size(bys) = 0").join(touching, F.col("account") == F.col("src"), "left").groupBy("account").agg((F.count_distinct("dst") + 1).alias("community"))
+    return sets.join(counted, "bys").select("account", "community").unionByName(alone)
 
 
 def cycles(e: DataFrame, longest: int = 3) -> DataFrame:
@@ -76,27 +86,137 @@ def cycles(e: DataFrame, longest: int = 3) -> DataFrame:
     return found.select("account", F.col("length").cast("long").alias("length"), "cycles")
 
 
+def looping(p: DataFrame) -> DataFrame:
+    """Links between accounts that both send and receive: no other link is on a cycle."""
+    ends = p.select(F.col("src").alias("account")).intersect(p.select(F.col("dst").alias("account")))
+    return p.join(ends.withColumnRenamed("account", "src"), "src", "left_semi").join(ends.withColumnRenamed("account", "dst"), "dst", "left_semi").select("src", "dst")
+
+
 def shortest_rings(e: DataFrame, longest: int = 6) -> DataFrame:
-    """Edges of the shortest ring through each account, 2 to ``longest``. Accounts are walked from together, distinct ends only; who has come round, or can't, drops out, so most stop after two steps."""
-    p = pairs(e)
-    front, found = p.select(F.col("src").alias("account"), F.col("dst").alias("at")), None
+    """Edges of the shortest ring through each account, 2 to ``longest``.
+
+    Walks meet in the middle: where an account leads to in half the edges, and what leads to it in the other half. Only accounts without a ring so far are walked from, distinct ends only, and each step is a table, so every
+    step is made once; when all have come round, or none can, the rest isn't made.
+    """
+    p = stored(looping(pairs(e)))
+    ahead, behind, found = p.select(F.col("src").alias("account"), F.col("dst").alias("at")), p.select(F.col("dst").alias("account"), F.col("src").alias("at")), None
     for k in range(2, longest + 1):
-        front = front.join(p, front["at"] == p["src"]).select("account", F.col("dst").alias("at")).distinct()
-        closed = front.filter("account = at").select("account", F.lit(k).cast("long").alias("length"))
-        found = closed if found is None else found.unionByName(closed)
-        front = front.join(closed.select("account"), "account", "left_anti")
+        if k > 2:
+            left = found.select("account")
+            ahead, behind = ahead.join(left, "account", "left_anti"), behind.join(left, "account", "left_anti")
+            if k % 2:
+                ahead = stored(ahead.join(p, F.col("at") == F.col("src")).select("account", F.col("dst").alias("at")).distinct())
+            else:
+                behind = stored(behind.join(p, F.col("at") == F.col("dst")).select("account", F.col("src").alias("at")).distinct())
+            if (ahead if k % 2 else behind).isEmpty():
+                break
+        closed = ahead.join(behind, ["account", "at"], "left_semi").select("account").distinct().withColumn("length", F.lit(k).cast("long"))
+        found = stored(closed if found is None else found.unionByName(closed))
     return found
 
 
-def chain_depth(e: DataFrame, deepest: int = 3) -> DataFrame:
-    """Edges of the longest simple path that starts at an account, up to ``deepest``."""
+def cycle_counts(e: DataFrame) -> DataFrame:
+    """Simple cycles of 2 to 6 edges through each account, counted by length: ``account``, ``length``, ``cycles``. No cycle is ever listed.
+
+    A cycle of r falls into a walk from r to some m and one from m back to r, of 3 edges at most and with other accounts between them. Walks are counted, by their ends and by each account between; pairs of walks that meet
+    between the ends are taken out by inclusion and exclusion: less the pairs that share an account, plus those that share two. The last is a count of triangles over one link, or of paths of mutual links.
+    """
     p = pairs(e)
-    walk = p.select(F.col("src").alias("account"), F.array("src", "dst").alias("path"))
-    out = walk.select("account", F.lit(1).alias("depth"))
+    links = looping(p)
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("mutual"))
+    links = stored(links.join(back, ["src", "dst"], "left").fillna(0, subset=["mutual"]))
+    link = lambda a, b, *more: links.select(F.col("src").alias(a), F.col("dst").alias(b), *more)
+    # walks of two edges, r to v to m
+    two = stored(link("r", "v").join(link("v", "m"), "v").filter("r <> m").groupBy("r", "m").agg(F.count("*").alias("two")))
+    # walks of three edges, by the account v on first and on second place; less those that come through an end
+    first = link("r", "v", "mutual").join(two.withColumnRenamed("r", "v"), "v").filter("r <> m").select("r", "m", "v", "two", "mutual", F.lit(1).alias("first"))
+    second = link("v", "m", "mutual").join(two.withColumnRenamed("m", "v"), "v").filter("r <> m").select("r", "m", "v", "two", "mutual", F.lit(0).alias("first"))
+    walks = first.unionByName(second).join(link("r", "m", F.lit(1).alias("direct")), ["r", "m"], "left").withColumn("n", F.expr("two - mutual * coalesce(direct, 0)"))
+    by = stored(walks.groupBy("r", "m", "v").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("first")).alias("starts")).filter("n > 0"))
+    three = stored(by.groupBy("r", "m").agg(F.sum("starts").alias("three")))
+    turned = lambda t, name: t.select(F.col("r").alias("m"), F.col("m").alias("r"), *[F.col(c).alias(name if c in ("two", "three", "n") else c) for c in t.columns if c not in ("r", "m", "starts")])
+    row = lambda t, length, n: t.groupBy(F.col("r").alias("account")).agg(F.sum(n).alias("cycles")).withColumn("length", F.lit(length))
+    mutual = link("r", "v", "mutual").filter("mutual = 1").drop("mutual")
+    degree = mutual.groupBy("r").agg(F.count("*").alias("d"))
+    out = row(mutual, 2, F.lit(1))
+    out = out.unionByName(row(two.join(link("m", "r"), ["m", "r"]), 3, F.col("two")))
+    out = out.unionByName(row(two.join(turned(two, "other"), ["r", "m"]), 4, F.expr("two * other")))
+    out = out.unionByName(row(mutual.join(degree.withColumnRenamed("r", "v"), "v"), 4, F.expr("1 - d")))
+    out = out.unionByName(row(three.join(turned(two, "other"), ["r", "m"]), 5, F.expr("three * other")))
+    out = out.unionByName(row(by.join(link("m", "v"), ["m", "v"]).join(link("v", "r"), ["v", "r"]), 5, -F.col("n")))
+    out = out.unionByName(row(three.join(turned(three, "other"), ["r", "m"]), 6, F.expr("three * other")))
+    out = out.unionByName(row(by.join(turned(by, "other"), ["r", "m", "v"]), 6, F.expr("-n * other")))
+    # pairs of walks over one link u to v both ways round: the other corners of the link's triangles
+    corners = link("u", "v").join(link("v", "r"), "v").join(link("r", "u"), ["r", "u"])
+    per = corners.groupBy("u", "v").agg(F.count("*").alias("t"))
+    out = out.unionByName(row(corners.join(per, ["u", "v"]), 6, F.expr("t - 1")))
+    # and over mutual links, r to u to v to m
+    inner = mutual.withColumnRenamed("v", "u").join(mutual.withColumnRenamed("r", "u"), "u").filter("r <> v").join(degree.withColumnRenamed("r", "v"), "v")
+    out = out.unionByName(row(inner.join(mutual.withColumn("closes", F.lit(1)), ["r", "v"], "left"), 6, F.expr("d - 1 - coalesce(closes, 0)")))
+    return out.groupBy("account", "length").agg(F.sum("cycles").alias("cycles")).filter("cycles > 0").select("account", F.col("length").cast("long").alias("length"), "cycles")
+
+
+def chain_steps(e: DataFrame, deepest: int = 10) -> DataFrame:
+    """``account``, ``depth``, ``leave_ms``, ``tx_id``, ``next``: the latest transaction with which a chain of ``depth`` transactions, each later than the one before, can leave an account, and where it leads.
+
+    Whether a transaction starts a chain of k follows from when one of k - 1 can leave its receiver at the latest, so each depth is one join of the edges with a row an account: edges times depth in all, whatever the degrees.
+    """
+    rows = stored(e.select("src", "dst", "event_ms", "tx_id"))
+    latest = F.max(F.struct("event_ms", (-F.col("tx_id")).alias("minus"), "dst")).alias("s")
+    step = lambda t, k: t.groupBy(F.col("src").alias("account")).agg(latest).select("account", F.lit(k).cast("long").alias("depth"), F.col("s.event_ms").alias("leave_ms"), (-F.col("s.minus")).alias("tx_id"), F.col("s.dst").alias("next"))
+    now = stored(step(rows, 1))
+    out = now
     for k in range(2, deepest + 1):
-        walk = walk.join(p, F.element_at("path", -1) == p["src"]).filter(~F.array_contains("path", F.col("dst"))).select("account", F.concat("path", F.array("dst")).alias("path"))
-        out = out.unionByName(walk.select("account", F.lit(k).alias("depth")).distinct())
-    return out.groupBy("account").agg(F.max("depth").cast("long").alias("depth"))
+        then = now.select(F.col("account").alias("dst"), "leave_ms")
+        now = stored(step(rows.join(then, "dst").filter("event_ms < leave_ms"), k))
+        if now.isEmpty():
+            break
+        out = out.unionByName(now)
+    return out
+
+
+def chain_depth(e: DataFrame, deepest: int = 10) -> DataFrame:
+    """Transactions of the longest chain in order of time that starts at an account, up to ``deepest``. A chain may pass an account again."""
+    return chain_steps(e, deepest).groupBy("account").agg(F.max("depth").alias("depth"))
+
+
+def chain_paths(e: DataFrame, deepest: int = 10) -> DataFrame:
+    """The longest chain of each account, read out by its steps: ``account``, ``depth``, ``path`` (accounts) and ``ids`` (transactions)."""
+    steps = stored(chain_steps(e, deepest))
+    most = F.max("depth").over(Window.partitionBy("account"))
+    walk = steps.withColumn("most", most).filter("depth = most").select("account", "depth", F.array("account", "next").alias("path"), F.array("tx_id").alias("ids"), (F.col("depth") - 1).alias("left"))
+    done = []
+    for _ in range(1, deepest):
+        done.append(walk.filter("left = 0"))
+        on = steps.select(F.col("account").alias("at"), F.col("depth").alias("left"), F.col("next").alias("then"), F.col("tx_id").alias("id"))
+        walk = walk.withColumn("at", F.element_at("path", -1)).join(on, ["at", "left"]).select("account", "depth", F.concat("path", F.array("then")).alias("path"), F.concat("ids", F.array("id")).alias("ids"), (F.col("left") - 1).alias("left"))
+    for d in done:
+        walk = walk.unionByName(d)
+    return walk.drop("left")
+
+
+def triangles(e: DataFrame) -> DataFrame:
+    """``account``, ``degree`` and ``triangles`` of the undirected graph of distinct links.
+
+    Links point from the end of lower degree to the other (ties by name), wedges are made at their lower end only, so each triangle is found once and a hub's list is never crossed with itself: no account has more than the
+    square root of twice the links ahead of it.
+    """
+    p = pairs(e)
+    u = p.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    degree = u.select(F.explode(F.array("a", "b")).alias("account")).groupBy("account").agg(F.count("*").alias("degree"))
+    d = lambda c: degree.select(F.col("account").alias(c), F.col("degree").alias(f"d{c}"))
+    turn = F.expr("da > db or (da = db and a > b)")
+    up = stored(u.join(d("a"), "a").join(d("b"), "b").select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("low"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("high"), F.greatest("da", "db").alias("dh")))
+    one, other = up.select("low", F.col("high").alias("x"), F.col("dh").alias("dx")), up.select("low", F.col("high").alias("y"), F.col("dh").alias("dy"))
+    wedges = one.join(other, "low").filter("dx < dy or (dx = dy and x < y)")
+    closed = wedges.join(up.select(F.col("low").alias("x"), F.col("high").alias("y")), ["x", "y"])
+    counts = closed.select(F.explode(F.array("low", "x", "y")).alias("account")).groupBy("account").agg(F.count("*").alias("triangles"))
+    return degree.join(counts, "account", "left").fillna(0, subset=["triangles"])
+
+
+def clustering(e: DataFrame) -> DataFrame:
+    """Share of an account's pairs of neighbours that are linked themselves."""
+    return triangles(e).withColumn("clustering", F.expr("if(degree < 2, 0.0D, 2.0D * triangles / (degree * (degree - 1)))"))
 
 
 def fund_chains(e: DataFrame, deepest: int = 3) -> DataFrame:
@@ -145,6 +265,12 @@ def hops(e: DataFrame, seeds: DataFrame, k: int = 2) -> DataFrame:
     return reached.groupBy("seed", "account").agg(F.min("hops").cast("long").alias("hops"))
 
 
+def hop_counts(e: DataFrame, k: int = 2) -> DataFrame:
+    """How many accounts each account reaches in 1 to ``k`` undirected hops at least: ``seed``, ``hops``, ``accounts``. Pairs are aggregated and not returned; ``hops`` gives those of chosen seeds."""
+    seeds = sides(e).select(F.col("account").alias("seed")).distinct()
+    return hops(e, seeds, k).groupBy("seed", "hops").agg(F.count("*").alias("accounts"))
+
+
 def scatter(e: DataFrame) -> DataFrame:
     """Accounts with at least two edges to, or from, at least two others."""
     s = sides(e).groupBy("account", "is_out").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"), F.sum("amount").alias("amount"))
@@ -157,6 +283,7 @@ RISK = [
     ("in_amount > 0 and out_amount > 0 and out_amount > 0.9 * in_amount and out_amount < 1.1 * in_amount", 0.10), ("has_cycle", 0.20), ("community >= 3", 0.10), ("community >= 5", 0.10),
 ]
 
+#: The first condition that holds names the fraud.
 GRAPH_TYPES = [
     ("has_cycle and out_degree >= 1", "图分析-洗钱环路"),
     ("chain_node and depth >= 2 and cash_heavy", "图分析-链式洗钱网络"),
@@ -172,7 +299,7 @@ GRAPH_TYPES = [
 ]
 
 
-def accounts(tx: DataFrame, longest: int = 6, deepest: int = 2) -> DataFrame:
+def accounts(tx: DataFrame, longest: int = 6, deepest: int = 10) -> DataFrame:
     """Degrees, community, cycle flag and chain depth of every account."""
     e = edges(tx)
     looped = shortest_rings(e, longest).select("account", F.lit(True).alias("has_cycle"))
@@ -208,7 +335,7 @@ def alerts(a: DataFrame) -> DataFrame:
 
 def sequence_stats(tx: DataFrame) -> DataFrame:
     """The graph features of each account, named as in the vector. Community counts distinct out-neighbours, as the vector defines it."""
-    a = degrees(edges(tx)).join(neighbors(edges(tx)), "account").join(shortest_rings(edges(tx)).select("account", F.lit(1.0).alias("loop")), "account", "left").join(chain_depth(edges(tx), 2), "account", "left")
+    a = degrees(edges(tx)).join(neighbors(edges(tx)), "account").join(shortest_rings(edges(tx)).select("account", F.lit(1.0).alias("loop")), "account", "left").join(chain_depth(edges(tx)), "account", "left")
     return a.select(
         F.col("account").alias("account_id"), F.coalesce("loop", F.lit(0.0)).alias("graph_cycle"), F.coalesce("depth", F.lit(0)).cast("double").alias("graph_chain_depth"), F.col("out_neighbors").cast("double").alias("graph_community"),
         F.col("in_amount").alias("graph_in_amount"), F.col("out_amount").alias("graph_out_amount"), F.expr("if(in_amount > 0, out_amount / in_amount, 0.0D)").alias("graph_flow_balance"), F.expr("cast(out_degree + in_degree as double)").alias("graph_degree"),

@@ -76,11 +76,16 @@ def scatter_cashout(tx: DataFrame) -> DataFrame:
 TAG_MS = 300_000
 
 
-def tag_as_of(tx: DataFrame, tags: DataFrame) -> DataFrame:
-    """Each transaction with the newest tag (``account_id``, ``rule``, ``tag_ms``) of its sender at or before it, matched if at most five minutes old."""
-    rows = tx.select(F.col("name_orig").alias("k"), F.col("event_ms").alias("t"), F.lit(1).alias("side"), F.col("tx_id").alias("id"), F.struct(*tx.columns).alias("row"), F.lit(None).cast("struct<tag_ms:bigint,rule:string>").alias("tag"))
-    marks = tags.select(F.col("account_id").alias("k"), F.col("tag_ms").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.struct("tag_ms", "rule").alias("tag"))
-    before = Window.partitionBy("k").orderBy("t", "side", F.col("tag.rule"), "id").rowsBetween(Window.unboundedPreceding, 0)
+def tag_as_of(tx: DataFrame, tags: DataFrame, slice_ms: int = HOUR) -> DataFrame:
+    """Each transaction with the newest tag (``account_id``, ``rule``, ``tag_ms``) of its sender at or before it, matched if at most five minutes old; of tags at one time the greatest rule's.
+
+    A tag reaches five minutes ahead, so an account's rows are cut into slices of time, and a tag goes to the slice it lies in and, near its end, to the next one too.
+    """
+    cut = lambda ms: F.expr(f"{ms} div {slice_ms}")
+    rows = tx.select(F.col("name_orig").alias("k"), cut("event_ms").alias("slice"), F.col("event_ms").alias("t"), F.lit(1).alias("side"), F.col("tx_id").alias("id"), F.struct(*tx.columns).alias("row"), F.lit(None).cast("struct<tag_ms:bigint,rule:string>").alias("tag"))
+    both = F.explode(F.array_distinct(F.array(cut("tag_ms"), cut(f"(tag_ms + {TAG_MS})")))).alias("slice")
+    marks = tags.select(F.col("account_id").alias("k"), both, F.col("tag_ms").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(rows.schema["row"].dataType).alias("row"), F.struct("tag_ms", "rule").alias("tag"))
+    before = Window.partitionBy("k", "slice").orderBy("t", "side", F.col("tag.rule"), "id").rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.unionByName(marks).withColumn("tag", F.last("tag", ignorenulls=True).over(before)).filter("side = 1")
     matched = F.expr(f"coalesce(t - tag.tag_ms <= {TAG_MS}, false)")
     return joined.select("row.*", matched.alias("is_cep_matched"), F.when(matched, F.col("tag.rule")).otherwise("NONE").alias("cep_rule_name"))

@@ -41,23 +41,29 @@ def duplicated(tx: DataFrame) -> DataFrame:
 SEQ_FIELDS = ["event_ms", "tx_id", "amount", "type", "name_orig", "name_dest", "city", "device_id", "pay_channel", "transaction_hour", "device_risk_level", "is_abroad", "oldbalance_org", "ip_segment", "is_fraud", "fraud_type"]
 
 
-def sequences(tx: DataFrame, gap_ms: int = 60_000, longest: int = 10, emit_once: bool = True) -> DataFrame:
-    """Behaviour sequences: sessions of a tracked account without a gap above ``gap_ms``, at least two transactions, the last ``longest`` of them in order.
+def sequences(tx: DataFrame, gap_ms: int = 60_000, longest: int = 10, slice_ms: int = HOUR) -> DataFrame:
+    """Behaviour sequences: every session of a tracked account without a gap above ``gap_ms``, at least two transactions, the last ``longest`` of them in order.
 
-    Sessions are cut by a window over each account; only a session's last rows are collected, so an account that never pauses stays bounded.
+    An account's rows are cut into slices of time, each a window of its own, so that a busy account is spread over as many tasks as it has slices. What is open at a slice's ends is stitched from one summary row a
+    slice: its first and last time and the sessions that begin inside. Of a session only its last rows in each slice go on to be collected, so an account that never pauses stays bounded.
     """
-    rows = duplicated(tx)
-    order = Window.partitionBy("tracking_account").orderBy("event_ms", "tx_id")
-    rows = rows.withColumn("new", F.coalesce((F.col("event_ms") - F.lag("event_ms").over(order) > gap_ms).cast("int"), F.lit(1)))
-    rows = rows.withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    if emit_once:  # the account's first session of two or more
-        again = Window.partitionBy("tracking_account", "session")
-        rows = rows.withColumn("size", F.count("*").over(again)).filter("size >= 2")
-        rows = rows.withColumn("first_session", F.min("session").over(Window.partitionBy("tracking_account"))).filter("session = first_session")
-    back = Window.partitionBy("tracking_account", "session").orderBy(F.col("event_ms").desc(), F.col("tx_id").desc())
-    rows = rows.withColumn("back", F.row_number().over(back)).filter(F.col("back") <= longest)
-    grouped = rows.groupBy(F.col("tracking_account").alias("account_id"), "session").agg(F.array_sort(F.collect_list(F.struct(*SEQ_FIELDS))).alias("txs"))
-    return grouped.filter(F.size("txs") >= 2)
+    account, cut = F.col("tracking_account"), ["tracking_account", "slice"]
+    rows = duplicated(tx).select("tracking_account", *SEQ_FIELDS).withColumn("slice", F.expr(f"event_ms div {slice_ms}"))
+    order = Window.partitionBy(*cut).orderBy("event_ms", "tx_id")
+    rows = rows.withColumn("new", F.coalesce((F.col("event_ms") - F.lag("event_ms").over(order) > gap_ms).cast("long"), F.lit(0)))
+    rows = rows.withColumn("inner", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(*cut).agg(F.min("event_ms").alias("lo"), F.max("event_ms").alias("hi"), F.max("inner").alias("begun"))
+    over = Window.partitionBy("tracking_account").orderBy("slice")
+    opens = F.coalesce((F.col("lo") - F.lag("hi").over(over) > gap_ms).cast("long"), F.lit(1))
+    ends = ends.withColumn("opens", opens).withColumn("before", F.sum(F.col("opens") + F.col("begun")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("begun"))
+    rows = rows.join(ends.select(*cut, "before"), cut).withColumn("session", F.col("before") + F.col("inner"))
+    newest = [F.col("event_ms").desc(), F.col("tx_id").desc()]
+    last = F.row_number().over(Window.partitionBy(*cut, "session").orderBy(*newest))
+    rows = rows.withColumn("back", last).filter(F.col("back") <= max(2, longest))
+    whole = Window.partitionBy("tracking_account", "session")
+    # counted before rows are collected, so that nothing is ever computed of a single transaction
+    rows = rows.withColumn("size", F.count("*").over(whole)).filter("size >= 2").withColumn("back", F.row_number().over(whole.orderBy(*newest))).filter(F.col("back") <= longest)
+    return rows.groupBy(account.alias("account_id"), "session").agg(F.array_sort(F.collect_list(F.struct(*SEQ_FIELDS))).alias("txs"))
 
 
 def throughput(tx: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import features, scores
 from ..operators import graph, joins, windows
 from ..schemas import ALERT, CONTEXT
+from ..tables import stored
 from . import patterns
 
 
@@ -66,8 +67,8 @@ def rule_alerts(tx: DataFrame) -> DataFrame:
 def scored_sequences(tx: DataFrame, gap_ms: int = 60_000) -> DataFrame:
     """Sequences with all 36 features and the component scores that need no training (boosted trees and isolation forest count 0 until a model exists)."""
     seq = features.with_graph(features.with_features(windows.sequences(tx, gap_ms)), graph.sequence_stats(tx))
-    # three aggregates and the scores read these rows: they are kept once, in memory or on disk (a lost part is computed again)
-    seq = seq.withColumn("features", features.vector()).persist()
+    # three aggregates and the scores read these rows
+    seq = stored(seq.withColumn("features", features.vector()))
     seq = scores.stat_scores(scores.path_scores(scores.lr_score(scores.behavior_score(seq))))
     return seq.withColumns({"gbdt_score": F.lit(0.0), "isolation_score": F.lit(0.0)})
 

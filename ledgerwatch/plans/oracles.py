@@ -81,11 +81,11 @@ def with_(*ctes: str) -> str:
 SEQ = """d0 AS (SELECT name_orig AS account_id, * FROM tx UNION ALL SELECT name_dest AS account_id, * FROM tx),
 d1 AS (SELECT *, CASE WHEN event_ms - lag(event_ms) OVER w <= 60000 THEN 0 ELSE 1 END AS new FROM d0 WINDOW w AS (PARTITION BY account_id ORDER BY event_ms, tx_id)),
 d2 AS (SELECT *, sum(new) OVER (PARTITION BY account_id ORDER BY event_ms, tx_id ROWS UNBOUNDED PRECEDING) AS session FROM d1),
-d3 AS (SELECT account_id, min(session) AS session FROM (SELECT account_id, session FROM d2 GROUP BY ALL HAVING count(*) >= 2) GROUP BY account_id),
+d3 AS (SELECT account_id, session FROM d2 GROUP BY ALL HAVING count(*) >= 2),
 d4 AS (SELECT d2.*, row_number() OVER (PARTITION BY account_id, session ORDER BY event_ms DESC, tx_id DESC) AS back FROM d2 JOIN d3 USING (account_id, session)),
-sq AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY account_id) AS n, lag(city) OVER w AS p_city, lag(device_id) OVER w AS p_dev, lag(pay_channel) OVER w AS p_ch, lead(city) OVER w AS n_city, lead(device_id) OVER w AS n_dev, lead(pay_channel) OVER w AS n_ch,
-  lag(event_ms) OVER w AS p_ms, lag(amount) OVER w AS p_amount, lag(type) OVER w AS p_type, lead(type) OVER w AS n_type FROM d4 WHERE back <= 10 WINDOW w AS (PARTITION BY account_id ORDER BY event_ms, tx_id))"""
-FEAT = """f0 AS (SELECT account_id, max(n) AS n, avg(amount) AS avg_amount, max(amount) AS max_amount, sum(amount) AS total_amount, sum(amount * amount) AS sq_amount,
+sq AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY account_id, session) AS n, lag(city) OVER w AS p_city, lag(device_id) OVER w AS p_dev, lag(pay_channel) OVER w AS p_ch, lead(city) OVER w AS n_city, lead(device_id) OVER w AS n_dev, lead(pay_channel) OVER w AS n_ch,
+  lag(event_ms) OVER w AS p_ms, lag(amount) OVER w AS p_amount, lag(type) OVER w AS p_type, lead(type) OVER w AS n_type FROM d4 WHERE back <= 10 WINDOW w AS (PARTITION BY account_id, session ORDER BY event_ms, tx_id))"""
+FEAT = """f0 AS (SELECT account_id, session, max(n) AS n, avg(amount) AS avg_amount, max(amount) AS max_amount, sum(amount) AS total_amount, sum(amount * amount) AS sq_amount,
   count(*) FILTER (i > 0 AND city <> p_city) AS city_changes, count(*) FILTER (i > 0 AND device_id <> p_dev) AS device_changes, count(*) FILTER (i > 0 AND pay_channel <> p_ch) AS channel_changes,
   count(*) FILTER (transaction_hour >= 22 OR transaction_hour <= 6) AS night_count, count(*) FILTER (device_risk_level = 'HIGH') AS high_risk_count, count(*) FILTER (is_abroad = 'ABROAD') AS abroad_count,
   count(DISTINCT city) AS distinct_cities, count(DISTINCT device_id) AS distinct_devices, count(DISTINCT pay_channel) AS distinct_channels, max(CASE WHEN oldbalance_org > 0 THEN amount / oldbalance_org ELSE 0 END) AS balance_ratio,
@@ -94,10 +94,10 @@ FEAT = """f0 AS (SELECT account_id, max(n) AS n, avg(amount) AS avg_amount, max(
   regr_slope(amount, i) AS amount_slope, max(event_ms) FILTER (i = n // 2 - 1) AS mid_end, max(event_ms) FILTER (i = n // 2) AS mid_start, max(transaction_hour) FILTER (i = n - 1) AS last_hour, max(is_fraud) AS label,
   least(avg(CASE WHEN transaction_hour BETWEEN 0 AND 4 THEN 1.0 WHEN transaction_hour IN (22, 23, 5, 6) THEN 0.6 WHEN transaction_hour IN (20, 21, 7, 8) THEN 0.3 ELSE 0 END), 1.0) AS hour_risk,
   string_agg(CASE type WHEN 'TRANSFER' THEN 'T' WHEN 'CASH_OUT' THEN 'C' WHEN 'PAYMENT' THEN 'P' ELSE '?' END || CASE WHEN city <> n_city THEN '[CITY]' ELSE '' END || CASE WHEN device_id <> n_dev THEN '[DEV]' ELSE '' END || CASE WHEN pay_channel <> n_ch THEN '[CH]' ELSE '' END, '->' ORDER BY i) AS behavior_path
-  FROM sq GROUP BY account_id),
-f1 AS (SELECT account_id, count(*) FILTER (hi - event_ms <= 300000) / count(*) FILTER (hi - event_ms <= 1800000) AS time_density FROM sq JOIN f0 USING (account_id) GROUP BY account_id),
+  FROM sq GROUP BY account_id, session),
+f1 AS (SELECT account_id, session, count(*) FILTER (hi - event_ms <= 300000) / count(*) FILTER (hi - event_ms <= 1800000) AS time_density FROM sq JOIN f0 USING (account_id, session) GROUP BY account_id, session),
 f AS (SELECT f0.*, time_density, sqrt(greatest(sq_amount / n - avg_amount * avg_amount, 0)) AS std_amount, moves / n AS cash_out_ratio, n / greatest(greatest(hi - lo, 1) / 60000.0, 0.1) AS velocity, max_single / total_amount AS max_single_ratio, out_degree AS distinct_dests,
-  ((n - n // 2) * 1000.0 / greatest(hi - mid_start, 1)) / ((n // 2) * 1000.0 / greatest(mid_end - lo, 1)) AS freq_acceleration FROM f0 JOIN f1 USING (account_id))"""
+  ((n - n // 2) * 1000.0 / greatest(hi - mid_start, 1)) / ((n // 2) * 1000.0 / greatest(mid_end - lo, 1)) AS freq_acceleration FROM f0 JOIN f1 USING (account_id, session))"""
 GRAPH = """ge AS (SELECT tx_id, name_orig AS src, name_dest AS dst, amount, event_ms FROM tx WHERE name_orig <> name_dest),
 go AS (SELECT src AS account, count(*) AS od, sum(amount) AS oa, count(DISTINCT dst) AS onb, min(event_ms) AS lo, max(event_ms) AS hi FROM ge GROUP BY 1),
 gi AS (SELECT dst AS account, count(*) AS idg, sum(amount) AS ia, count(DISTINCT src) AS inb, min(event_ms) AS lo, max(event_ms) AS hi FROM ge GROUP BY 1),
@@ -107,13 +107,29 @@ gx AS (SELECT *, CASE WHEN in_amount + out_amount <= 0 THEN 0 ELSE abs(in_amount
 gp AS (SELECT DISTINCT src, dst FROM ge),
 gc AS (SELECT a.src AS account, 2 AS length, count(*) AS cycles FROM gp a JOIN gp b ON a.dst = b.src AND b.dst = a.src GROUP BY 1
   UNION ALL SELECT a.src, 3, count(*) FROM gp a JOIN gp b ON a.dst = b.src JOIN gp c ON b.dst = c.src AND c.dst = a.src WHERE b.dst <> a.src GROUP BY 1),
-gh AS (SELECT src AS account, CASE WHEN EXISTS (SELECT 1 FROM gp a JOIN gp b ON a.dst = b.src WHERE a.src = q.src AND b.dst <> a.src) THEN 2 ELSE 1 END AS depth FROM (SELECT DISTINCT src FROM gp) q)"""
+rg AS (WITH RECURSIVE w(account, node, k) AS (SELECT src, dst, 1 FROM gp UNION SELECT account, dst, k + 1 FROM w JOIN gp ON node = src WHERE k < 6) SELECT account, min(k) AS length FROM w WHERE node = account GROUP BY 1),
+l1 AS MATERIALIZED (SELECT src, dst, event_ms FROM ge),
+""" + "".join(f"l{k} AS MATERIALIZED (SELECT a.src, a.dst, a.event_ms FROM l1 a WHERE EXISTS (SELECT 1 FROM l{k - 1} b WHERE b.src = a.dst AND b.event_ms > a.event_ms)),\n" for k in range(2, 11)) + "gh AS (SELECT account, max(k) AS depth FROM (" + " UNION ALL ".join(f"SELECT src AS account, {k} AS k FROM l{k}" for k in range(1, 11)) + """) GROUP BY 1)"""
+#: Walks of three edges are listed, with their accounts; pairs of them that close a cycle are counted by what they share.
+CYCLES = """gl AS MATERIALIZED (SELECT src AS s, dst AS d FROM gp WHERE src IN (SELECT dst FROM gp) AND dst IN (SELECT src FROM gp)),
+y2 AS MATERIALIZED (SELECT a.s AS r, b.d AS m, count(*) AS n FROM gl a JOIN gl b ON b.s = a.d WHERE a.s <> b.d GROUP BY 1, 2),
+y3 AS MATERIALIZED (SELECT a.s AS r, a.d AS x, b.d AS y, c.d AS m FROM gl a JOIN gl b ON b.s = a.d JOIN gl c ON c.s = b.d WHERE b.d <> a.s AND c.d <> a.s AND c.d <> a.d),
+yn AS MATERIALIZED (SELECT r, m, count(*) AS n FROM y3 GROUP BY 1, 2),
+yv AS MATERIALIZED (SELECT r, m, v, count(*) AS n FROM (SELECT r, m, x AS v FROM y3 UNION ALL SELECT r, m, y FROM y3) GROUP BY 1, 2, 3),
+yu AS MATERIALIZED (SELECT r, m, least(x, y) AS u, greatest(x, y) AS v, count(*) AS n FROM y3 GROUP BY 1, 2, 3, 4),
+cy AS (SELECT account, length, cycles AS n FROM gc
+  UNION ALL SELECT a.s, 4, count(*) FROM gl a JOIN gl b ON b.s = a.d JOIN gl c ON c.s = b.d JOIN gl e ON e.s = c.d AND e.d = a.s WHERE b.d <> a.s AND c.d <> a.d GROUP BY 1
+  UNION ALL SELECT f.r, 5, sum(f.n * g.n) FROM yn f JOIN y2 g ON g.r = f.m AND g.m = f.r GROUP BY 1
+  UNION ALL SELECT f.r, 5, -sum(f.n) FROM yv f JOIN gl a ON a.s = f.m AND a.d = f.v JOIN gl b ON b.s = f.v AND b.d = f.r GROUP BY 1
+  UNION ALL SELECT f.r, 6, sum(f.n * g.n) FROM yn f JOIN yn g ON g.r = f.m AND g.m = f.r GROUP BY 1
+  UNION ALL SELECT f.r, 6, -sum(f.n * g.n) FROM yv f JOIN yv g ON g.r = f.m AND g.m = f.r AND g.v = f.v GROUP BY 1
+  UNION ALL SELECT f.r, 6, sum(f.n * g.n) FROM yu f JOIN yu g ON g.r = f.m AND g.m = f.r AND g.u = f.u AND g.v = f.v GROUP BY 1)"""
 COMMUNITY = """um AS (SELECT DISTINCT a.name_orig AS account, b.name_orig AS member FROM (SELECT DISTINCT name_orig, ip_segment FROM tx) a JOIN (SELECT DISTINCT name_orig, ip_segment FROM tx) b USING (ip_segment)
   UNION SELECT a.name_orig, b.name_orig FROM (SELECT DISTINCT name_orig, device_id FROM tx) a JOIN (SELECT DISTINCT name_orig, device_id FROM tx) b USING (device_id)),
 gu AS (SELECT src, dst FROM gp UNION SELECT dst, src FROM gp),
 cm AS (SELECT account, count(DISTINCT m) AS community FROM (SELECT account, member AS m FROM um UNION SELECT account, dst FROM um JOIN gu ON member = src) GROUP BY 1)"""
-ACCOUNTS = """ac AS (SELECT gx.*, coalesce(community, 1) AS community, account IN (SELECT account FROM gc) AS has_cycle, coalesce(depth, 0) AS depth FROM gx LEFT JOIN cm USING (account) LEFT JOIN gh USING (account))"""
-STATS = """gs AS (SELECT account AS account_id, CAST(account IN (SELECT account FROM gc) AS INTEGER) AS graph_cycle, coalesce(depth, 0) AS graph_chain_depth, out_neighbors AS graph_community, in_amount AS graph_in_amount, out_amount AS graph_out_amount,
+ACCOUNTS = """ac AS (SELECT gx.*, coalesce(community, 1) AS community, account IN (SELECT account FROM rg) AS has_cycle, coalesce(depth, 0) AS depth FROM gx LEFT JOIN cm USING (account) LEFT JOIN gh USING (account))"""
+STATS = """gs AS (SELECT account AS account_id, CAST(account IN (SELECT account FROM rg) AS INTEGER) AS graph_cycle, coalesce(depth, 0) AS graph_chain_depth, out_neighbors AS graph_community, in_amount AS graph_in_amount, out_amount AS graph_out_amount,
   CASE WHEN in_amount > 0 THEN out_amount / in_amount ELSE 0 END AS graph_flow_balance, out_degree + in_degree AS graph_degree, asymmetry AS direction_asymmetry, freq_ratio AS in_out_freq_ratio, net_flow AS net_flow_asymmetry, time_concentration FROM gx LEFT JOIN gh USING (account)),
 fg AS (SELECT f.*, """ + ", ".join(f"coalesce({c}, 0) AS {c}" for c in features.GRAPH) + """ FROM f LEFT JOIN gs USING (account_id))"""
 
@@ -171,17 +187,17 @@ bc AS (SELECT feature, coalesce(first_b - 1, 9) AS bucket, count(*) AS c FROM bk
 bn AS (SELECT feature, count(*) AS n FROM sm WHERE recent GROUP BY 1 HAVING count(*) >= 100),
 bs AS (SELECT n.feature, greatest(coalesce(c, 0) / n.n, 0.0001) AS share FROM bn n CROSS JOIN range(0, 10) r(bucket) LEFT JOIN bc ON bc.feature = n.feature AND bc.bucket = r.bucket),
 psi AS (SELECT feature, abs(sum((share - 0.1) * ln(share / 0.1))) AS psi FROM bs GROUP BY 1)"""
-TAG = """tg AS (SELECT account_id, event_ms AS tag_ms, 'p05' AS rule FROM p_p05 JOIN tx USING (tx_id)),
+TAG = """tg AS (SELECT account_id, event_ms AS tag_ms, max(pattern) AS rule FROM cep JOIN tx USING (tx_id) GROUP BY 1, 2),
 ta AS (SELECT t.tx_id, t.name_orig, t.amount, coalesce(t.event_ms - g.tag_ms <= 300000, false) AS is_cep_matched, CASE WHEN t.event_ms - g.tag_ms <= 300000 THEN rule ELSE 'NONE' END AS cep_rule_name FROM tx t ASOF LEFT JOIN tg g ON t.name_orig = g.account_id AND t.event_ms >= g.tag_ms)"""
-GNN = f"""n0 AS (SELECT account_id, i, name_dest AS dest, amount, type, ln(1 + amount) / ln(100001.0) AS w, row_number() OVER (PARTITION BY account_id ORDER BY amount DESC, i) - 1 AS pos FROM sq WHERE name_dest <> account_id),
-nt AS (SELECT account_id, dest, sum(amount) AS amount, count(*) AS met FROM n0 GROUP BY ALL),
-h1 AS (SELECT account_id, sum(w * ln(1 + amount) / 15) / sum(w) AS h_norm, sum(w * CASE WHEN amount > 20000 THEN 1 ELSE 0 END) / sum(w) AS h_big FROM n0 WHERE pos < 8 GROUP BY 1),
-h2 AS (SELECT p.account_id, sum(ln(1 + t.amount) / ln(100001.0) * 0.25 * ln(1 + t.amount) / 15) / sum(ln(1 + t.amount) / ln(100001.0) * 0.25) AS g_norm FROM n0 p JOIN nt t USING (account_id) WHERE p.pos < 8 AND NOT EXISTS (SELECT 1 FROM n0 q WHERE q.account_id = p.account_id AND q.pos <= p.pos AND q.dest = t.dest) GROUP BY 1),
-nr AS (SELECT account_id, sum(w * (CASE WHEN amount > 50000 THEN 0.3 WHEN amount > 20000 THEN 0.2 WHEN amount > 10000 THEN 0.1 ELSE 0 END + CASE type WHEN 'CASH_OUT' THEN 0.15 WHEN 'TRANSFER' THEN 0.05 ELSE 0 END)) / sum(w) AS neighbor_risk, count(*) AS n_edges FROM n0 GROUP BY 1),
-nv AS (SELECT account_id, max(amount) AS max_total, greatest(avg(amount * amount) - pow(avg(amount), 2), 0) AS variance, max(met) AS most_met FROM nt GROUP BY 1),
-nq AS (SELECT account_id, count(*) FILTER (i > 0 AND i < n - 1 AND p_type = 'TRANSFER' AND type = 'TRANSFER' AND n_type = 'TRANSFER') AS chains, count(*) FILTER (amount > p_amount) AS ups, count(*) FILTER (amount < p_amount) AS downs FROM sq GROUP BY 1),
+GNN = f"""n0 AS (SELECT account_id, session, i, name_dest AS dest, amount, type, ln(1 + amount) / ln(100001.0) AS w, row_number() OVER (PARTITION BY account_id, session ORDER BY amount DESC, i) - 1 AS pos FROM sq WHERE name_dest <> account_id),
+nt AS (SELECT account_id, session, dest, sum(amount) AS amount, count(*) AS met FROM n0 GROUP BY ALL),
+h1 AS (SELECT account_id, session, sum(w * ln(1 + amount) / 15) / sum(w) AS h_norm, sum(w * CASE WHEN amount > 20000 THEN 1 ELSE 0 END) / sum(w) AS h_big FROM n0 WHERE pos < 8 GROUP BY 1, 2),
+h2 AS (SELECT p.account_id, p.session, sum(ln(1 + t.amount) / ln(100001.0) * 0.25 * ln(1 + t.amount) / 15) / sum(ln(1 + t.amount) / ln(100001.0) * 0.25) AS g_norm FROM n0 p JOIN nt t USING (account_id, session) WHERE p.pos < 8 AND NOT EXISTS (SELECT 1 FROM n0 q WHERE q.account_id = p.account_id AND q.session = p.session AND q.pos <= p.pos AND q.dest = t.dest) GROUP BY 1, 2),
+nr AS (SELECT account_id, session, sum(w * (CASE WHEN amount > 50000 THEN 0.3 WHEN amount > 20000 THEN 0.2 WHEN amount > 10000 THEN 0.1 ELSE 0 END + CASE type WHEN 'CASH_OUT' THEN 0.15 WHEN 'TRANSFER' THEN 0.05 ELSE 0 END)) / sum(w) AS neighbor_risk, count(*) AS n_edges FROM n0 GROUP BY 1, 2),
+nv AS (SELECT account_id, session, max(amount) AS max_total, greatest(avg(amount * amount) - pow(avg(amount), 2), 0) AS variance, max(met) AS most_met FROM nt GROUP BY 1, 2),
+nq AS (SELECT account_id, session, count(*) FILTER (i > 0 AND i < n - 1 AND p_type = 'TRANSFER' AND type = 'TRANSFER' AND n_type = 'TRANSFER') AS chains, count(*) FILTER (amount > p_amount) AS ups, count(*) FILTER (amount < p_amount) AS downs FROM sq GROUP BY 1, 2),
 nf AS (SELECT f.*, coalesce(neighbor_risk, 0) AS neighbor_risk, coalesce(n_edges, 0) AS n_edges, coalesce(max_total, 0) AS max_total, coalesce(variance, 0) AS variance, coalesce(most_met, 0) AS most_met, chains, ups, downs, h_norm, h_big, coalesce(g_norm, 0) AS g_norm, {points(scores.NODE_RISK)} AS node_risk
-  FROM f LEFT JOIN nr USING (account_id) LEFT JOIN nv USING (account_id) LEFT JOIN nq USING (account_id) LEFT JOIN h1 USING (account_id) LEFT JOIN h2 USING (account_id)),
+  FROM f LEFT JOIN nr USING (account_id, session) LEFT JOIN nv USING (account_id, session) LEFT JOIN nq USING (account_id, session) LEFT JOIN h1 USING (account_id, session) LEFT JOIN h2 USING (account_id, session)),
 ng AS (SELECT *, least(1.0, ({' + '.join(f"least(1.0, abs(CASE WHEN h_norm IS NULL THEN {features.FEATURES[i]} ELSE 0.4 * {features.FEATURES[i]} + {dict([(0, '0.35 * h_norm + 0.25 * g_norm * 0.5'), (2, '0.35 * h_norm * 1.5'), (3, '0.35 * h_norm * 5 + 0.25 * g_norm * 2.5'), (7, '0.35 * h_big')]).get(i, '0')} END - {u}) / {s} * 0.1)" for i, (u, s) in scores.USUAL.items())}) / 36) AS deviation,
   least(1.0, CASE WHEN n_edges >= 5 THEN 0.25 WHEN n_edges >= 3 THEN 0.15 WHEN n_edges >= 2 THEN 0.05 ELSE 0 END + CASE WHEN max_total > 0 AND variance / max_total < 0.1 AND n_edges >= 3 THEN 0.15 ELSE 0 END
   + CASE WHEN n < 3 THEN 0 ELSE least(1.0, chains / greatest(n - 2, 1) * 0.5 + CASE WHEN ups + downs = 0 THEN 0 ELSE greatest(ups, downs) / (ups + downs) END * 0.5) END * 0.20 + CASE WHEN most_met >= 5 THEN 0.6 WHEN most_met >= 3 THEN 0.3 ELSE 0 END * 0.15) AS structure FROM nf),
@@ -219,12 +235,12 @@ def oracle_sql() -> dict[str, str]:
             WHERE l.type = 'TRANSFER' AND r.type = 'TRANSFER' AND l.amount > 10000 AND r.amount > 10000 AND l.name_orig <> r.name_dest AND l.name_orig <> l.name_dest AND r.name_orig <> r.name_dest)
             SELECT l_tx_id, r_tx_id, l_window_ms, round(CAST({CHAIN_SCORE} AS DOUBLE), 6) AS confidence FROM c WHERE rn = 1 AND {CHAIN_SCORE} > 0.7""",
         "sql_scatter_cashout": with_(TX, CASHOUT) + f"SELECT account_id, l_tx_id, r_tx_id, round(td, 6) AS time_diff, {rnd('total_in ratio confidence')} FROM cashout WHERE confidence > 0.5",
-        "tag_asof": with_(TX, one(patterns.PATTERNS[4]), TAG) + "SELECT tx_id, is_cep_matched, cep_rule_name FROM ta",
-        "ml_input_anti": with_(TX, one(patterns.PATTERNS[4]), TAG) + "SELECT tx_id, name_orig, amount FROM ta WHERE NOT is_cep_matched",
+        "tag_asof": with_(TX, CEP, TAG) + "SELECT tx_id, is_cep_matched, cep_rule_name FROM ta",
+        "ml_input_anti": with_(TX, CEP, TAG) + "SELECT tx_id, name_orig, amount FROM ta WHERE NOT is_cep_matched",
         "sql_ip_gang": with_(TX, GANG) + f"SELECT * REPLACE ({rnd('total_amount confidence')}) FROM gang WHERE confidence > 0.6",
         "sql_scatter_in": with_(TX, INTO) + f"SELECT * REPLACE ({rnd('total_amount max_sender confidence')}) FROM into_ WHERE confidence > 0.5",
         "tx_duplicate": tx + "SELECT tx_id, name_orig AS tracking_account, amount FROM tx UNION ALL SELECT tx_id, name_dest, amount FROM tx",
-        "behavior_seq": with_(TX, SEQ) + "SELECT account_id, count(*) AS n, string_agg('' || tx_id, ',' ORDER BY i) AS ids FROM sq GROUP BY 1",
+        "behavior_seq": with_(TX, SEQ) + "SELECT account_id, count(*) AS n, string_agg('' || tx_id, ',' ORDER BY i) AS ids FROM sq GROUP BY account_id, session",
         "behavior_path": seqs + "SELECT account_id, behavior_path FROM f",
         "seq_features": seqs + "SELECT account_id, " + rnd("avg_amount std_amount max_amount total_amount balance_ratio cash_out_ratio velocity interval_mean interval_variance amount_slope freq_acceleration max_single_ratio", 4) + ", " + big("city_changes device_changes channel_changes night_count high_risk_count abroad_count distinct_cities distinct_devices distinct_channels out_degree distinct_dests") + " FROM f",
         "suspicious_seq": seqs + "SELECT account_id, " + " OR ".join(f"({c})" for c in features.SUSPICIOUS) + " AS suspicious FROM f",
@@ -233,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
         "ml_scores": with_(FULL) + "SELECT account_id, " + rnd("lr_score path_score stat_score behavior_score", 4) + " FROM sc",
         "ml_alerts": with_(FULL, ML) + "SELECT account_id, fraud_type, " + rnd("probability confidence", 4) + " FROM ma WHERE fraud_type IS NOT NULL",
         "gnn_topk": with_(SEQS, GNN) + "SELECT account_id, CAST(pos AS BIGINT) AS pos, dest, round(amount, 6) AS amount FROM n0 WHERE pos < 8",
-        "gnn_scores": with_(SEQS, GNN) + "SELECT account_id, " + rnd("node_risk neighbor_risk deviation structure gnn_score", 4) + " FROM gn",
+        "gnn_scores": with_(SEQS, GNN) + "SELECT account_id, " + rnd("node_risk neighbor_risk deviation structure gnn_score") + " FROM gn",
         "gnn_alerts": with_(SEQS, GNN) + f"SELECT account_id, {first_of(scores.GNN_TYPES)} AS fraud_type, " + rnd("gnn_score", 4) + " FROM gn WHERE gnn_score >= 0.40",
         "api_detect": with_(TX, API) + f"SELECT tx_id, {rnd('behavior_score fraud_probability')}, is_suspect, {first_of(api.TYPES)} AS detected_type, CASE WHEN fraud_probability >= 0.85 THEN 'CRITICAL' WHEN fraud_probability >= 0.65 THEN 'HIGH' WHEN fraud_probability >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, CASE WHEN rule_confidence > 0 THEN 'CEP_RULE' ELSE 'ML_ENSEMBLE' END AS source FROM a5",
         "graph_edges": with_(TX, GRAPH) + "SELECT tx_id, src, dst, amount, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY event_ms DESC, tx_id DESC) AS rank FROM ge) WHERE rank <= 50",
@@ -242,6 +258,12 @@ def oracle_sql() -> dict[str, str]:
         "graph_neighbors": with_(TX, GRAPH) + "SELECT account, out_neighbors, in_neighbors FROM gd",
         "graph_community": with_(TX, GRAPH, COMMUNITY) + "SELECT account, community FROM cm",
         "graph_cycles_2_3": with_(TX, GRAPH) + "SELECT account, CAST(length AS BIGINT) AS length, cycles FROM gc",
+        "graph_cycles": with_(TX, GRAPH, CYCLES) + "SELECT account, CAST(length AS BIGINT) AS length, CAST(sum(n) AS BIGINT) AS cycles FROM cy GROUP BY 1, 2 HAVING sum(n) > 0",
+        "graph_clustering": with_(TX, GRAPH) + """, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM gp), n AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), d AS (SELECT a AS account, count(*) AS degree FROM n GROUP BY 1),
+            t AS (SELECT x.a AS account, count(*) // 2 AS triangles FROM n x JOIN n y ON y.a = x.b JOIN n z ON z.a = y.b AND z.b = x.a GROUP BY 1)
+            SELECT account, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) END, 6) AS clustering FROM d LEFT JOIN t USING (account)""",
+        "khop_counts": with_(TX, GRAPH) + """, u AS (SELECT src, dst FROM gp UNION SELECT dst, src FROM gp), h AS (SELECT DISTINCT src AS seed, src AS account, 0 AS hops FROM u UNION ALL SELECT src, dst, 1 FROM u UNION ALL SELECT DISTINCT a.src, b.dst, 2 FROM u a JOIN u b ON a.dst = b.src),
+            m AS (SELECT seed, account, min(hops) AS hops FROM h GROUP BY 1, 2) SELECT seed, CAST(hops AS BIGINT) AS hops, count(*) AS accounts FROM m GROUP BY 1, 2""",
         "graph_chain_depth": with_(TX, GRAPH) + "SELECT account, CAST(depth AS BIGINT) AS depth FROM gh",
         "graph_scatter": with_(TX, GRAPH) + "SELECT src AS account, 'out' AS direction, count(*) AS n, count(DISTINCT dst) AS others, round(sum(amount), 6) AS amount FROM ge GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT dst) >= 2 UNION ALL SELECT dst, 'in', count(*), count(DISTINCT src), round(sum(amount), 6) FROM ge GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT src) >= 2",
         "graph_counts": with_(TX, GRAPH) + "SELECT (SELECT count(*) FROM gd) AS nodes, (SELECT count(*) FROM ge) AS edges",
@@ -258,14 +280,14 @@ def oracle_sql() -> dict[str, str]:
         "eval_detail": al + ", q AS (SELECT fraud_type, count(*) AS alert_count, avg(confidence) AS avg_confidence FROM alerts GROUP BY 1), v AS (SELECT fraud_type, count(*) AS real_count FROM tx WHERE is_fraud = 1 GROUP BY 1), b AS (SELECT q.*, coalesce(real_count, 0) AS real_count FROM q LEFT JOIN v USING (fraud_type)), c AS (SELECT *, least(1.0, real_count / alert_count) AS type_precision, CASE WHEN real_count > 0 THEN least(1.0, alert_count / real_count) ELSE 0 END AS type_recall FROM b) SELECT fraud_type, alert_count, real_count, " + rnd("avg_confidence type_precision type_recall") + ", round(CASE WHEN type_precision + type_recall > 0 THEN 2 * type_precision * type_recall / (type_precision + type_recall) ELSE 0 END, 6) AS type_f1 FROM c",
         "validation_metrics": seqs + f", v AS (SELECT {points(scores.BEHAVIOR)} >= 0.5 AS hit, label FROM f), m AS (SELECT count(*) FILTER (hit AND label = 1) AS tp, count(*) FILTER (hit AND label = 0) AS fp, count(*) FILTER (NOT hit AND label = 0) AS tn, count(*) FILTER (NOT hit AND label = 1) AS fn FROM v) SELECT tp, fp, tn, fn, round(tp / (tp + fp), 6) AS \"precision\", round(tp / (tp + fn), 6) AS recall, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM m",
         "validation_dedup": al + ", v AS (SELECT account_id, fraud_type, count(*) AS c FROM alerts GROUP BY 1, 2) SELECT fraud_type, 'pass_first' AS dedup, count(*) AS n FROM v GROUP BY 1 UNION ALL SELECT fraud_type, 'pass_duplicate', CAST(sum(c - 1) AS BIGINT) FROM v WHERE c > 1 GROUP BY 1",
-        "ablation_real": with_(ALERTS, GRAPH, COMMUNITY, ACCOUNTS, GRAPH_ALERT) + """, la AS (SELECT name_orig AS account_id, CAST(sum(is_fraud) >= 4 AS INTEGER) AS label FROM tx GROUP BY 1), hb AS (SELECT account_id, max(CASE WHEN source LIKE 'CEP%' THEN 1 ELSE 0 END) AS c1, max(CASE WHEN source LIKE 'SQL%' THEN 1 ELSE 0 END) AS c2 FROM alerts GROUP BY 1),
-            v AS (SELECT label, coalesce(c1, 0) + 2 * coalesce(c2, 0) + CASE WHEN account_id IN (SELECT account FROM ga) THEN 4 ELSE 0 END AS bits FROM la LEFT JOIN hb USING (account_id))
+        "ablation_real": with_(ALERTS, SEQ, FEAT, GRAPH, STATS, SCORED, ML, COMMUNITY, ACCOUNTS, GRAPH_ALERT) + """, la AS (SELECT name_orig AS account_id, CAST(sum(is_fraud) >= 4 AS INTEGER) AS label FROM tx GROUP BY 1), hb AS (SELECT account_id, max(CASE WHEN source LIKE 'CEP%' THEN 1 ELSE 0 END) AS c1, max(CASE WHEN source LIKE 'SQL%' THEN 1 ELSE 0 END) AS c2 FROM alerts GROUP BY 1),
+            v AS (SELECT label, coalesce(c1, 0) + 2 * coalesce(c2, 0) + CASE WHEN account_id IN (SELECT account FROM ga) THEN 4 ELSE 0 END + CASE WHEN account_id IN (SELECT account_id FROM ma WHERE fraud_type IS NOT NULL) THEN 8 ELSE 0 END AS bits FROM la LEFT JOIN hb USING (account_id))
             SELECT layers, count(*) FILTER (bits & layers <> 0 AND label = 1) AS tp, count(*) FILTER (bits & layers <> 0 AND label = 0) AS fp, count(*) FILTER (bits & layers = 0 AND label = 0) AS tn, count(*) FILTER (bits & layers = 0 AND label = 1) AS fn FROM v, range(1, 16) r(layers) GROUP BY 1""",
         "latency_percentiles": "WITH v AS (SELECT l_returnflag, list(CAST(l_quantity * 10 AS BIGINT) ORDER BY CAST(l_quantity * 10 AS BIGINT)) AS x, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_returnflag, n, x[1] AS least, x[-1] AS most, round(list_avg(x), 6) AS mean, " + ", ".join(f"x[least(CAST(floor(n * {p}) AS BIGINT), n - 1) + 1] AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + " FROM v",
         "throughput": tx + ", m AS (SELECT event_ms // 60000 * 60000 AS minute_ms, count(*) AS n FROM tx GROUP BY 1) SELECT minute_ms, n AS per_1m, (SELECT CAST(sum(n) AS BIGINT) FROM m b WHERE b.minute_ms BETWEEN a.minute_ms - 240000 AND a.minute_ms) AS per_5m, (SELECT CAST(sum(n) AS BIGINT) FROM m b WHERE b.minute_ms BETWEEN a.minute_ms - 840000 AND a.minute_ms) AS per_15m FROM m a",
         "serve_totals": al + "SELECT round(a, 2) AS fraud_total, round(b, 2) AS normal_total, round(a + b, 2) AS grand_total FROM (SELECT (SELECT sum(amount) FROM alerts) AS a, (SELECT sum(amount) FROM tx WHERE is_fraud = 0) AS b)",
         "serve_traffic": al + "SELECT slot, CAST((60 - (119 - slot) + 86400) % 86400 AS BIGINT) AS second, (SELECT count(*) FROM tx WHERE is_fraud = 0 AND (event_ms + 28800000) // 1000 % 86400 = (60 - (119 - slot) + 86400) % 86400) AS normal, (SELECT count(*) FROM alerts WHERE (event_ms + 28800000) // 1000 % 86400 = (60 - (119 - slot) + 86400) % 86400) AS fraud FROM range(0, 120) r(slot)",
-        "serve_recent": al + "SELECT alert_id, account_id, round(confidence, 6) AS confidence, event_ms FROM alerts WHERE source NOT LIKE 'CEP%' ORDER BY event_ms DESC, alert_id LIMIT 200",
+        "serve_recent": al + "SELECT alert_id, account_id, round(confidence, 6) AS confidence, event_ms FROM alerts ORDER BY event_ms DESC, alert_id LIMIT 200",
         "serve_search": al + "SELECT alert_id, account_id, round(confidence, 6) AS confidence FROM alerts WHERE fraud_type LIKE '%链式%' AND source LIKE '%SQL%' AND confidence BETWEEN 0.7 AND 1 ORDER BY event_ms DESC, alert_id LIMIT 50 OFFSET 20",
         "serve_kpis": al + "SELECT (SELECT count(*) FROM tx) AS transactions, (SELECT count(*) FROM tx WHERE is_fraud = 1) AS labelled, count(*) AS alerts, count(DISTINCT account_id) AS accounts, count(*) FILTER (confidence >= 0.9) AS high_risk, round(count(*) / (SELECT count(*) FROM tx), 6) AS alert_rate FROM alerts",
         "feedback_stats": with_(ALERTS, FEEDBACK) + f"SELECT {RATES} FROM fb",
@@ -279,7 +301,7 @@ def oracle_sql() -> dict[str, str]:
         "page_hinkley": tx + ", a AS (SELECT type AS series, tx_id, amount / 1000 AS x FROM tx), b AS (SELECT *, x - avg(x) OVER w - 0.005 AS dev FROM a WINDOW w AS (PARTITION BY series ORDER BY tx_id ROWS UNBOUNDED PRECEDING)), c AS (SELECT *, sum(dev) OVER w AS s FROM b WINDOW w AS (PARTITION BY series ORDER BY tx_id ROWS UNBOUNDED PRECEDING)), d AS (SELECT *, s - min(s) OVER w AS excess FROM c WINDOW w AS (PARTITION BY series ORDER BY tx_id ROWS UNBOUNDED PRECEDING)) SELECT series, count(*) AS n, round(max(excess), 3) AS excess, count(*) FILTER (excess > 50) AS drifts FROM d GROUP BY 1",
         "drift_severity": with_(TX, SAMPLES, KS, PSI) + ", k AS (SELECT (SELECT avg(ks) FROM ks) AS ks, (SELECT avg(psi) FROM psi) AS psi, (SELECT avg(CASE WHEN psi > 0.2 THEN 1.0 ELSE 0 END) FROM psi) AS ratio), s AS (SELECT *, CASE WHEN ks > 0.15 THEN 0.25 ELSE 0 END + CASE WHEN psi > 0.2 THEN 0.25 ELSE 0 END + 0.5 * ratio AS score FROM k), v AS (SELECT *, CASE WHEN score >= 0.7 OR ratio >= 0.6 THEN 'CRITICAL' WHEN score >= 0.5 OR ratio >= 0.4 THEN 'SEVERE' WHEN score >= 0.3 OR ratio >= 0.2 THEN 'MODERATE' WHEN score >= 0.15 OR ratio > 0 THEN 'MINOR' ELSE 'NONE' END AS severity FROM s) SELECT " + rnd("ks psi ratio score", 4) + ", severity, CASE severity WHEN 'MINOR' THEN 'RAISE_THRESHOLD' WHEN 'MODERATE' THEN 'RETRAIN_RECENT' WHEN 'SEVERE' THEN 'RETRAIN_AND_THRESHOLD' WHEN 'CRITICAL' THEN 'RULES_ONLY' ELSE 'NONE' END AS action, CAST(CASE WHEN severity = 'MINOR' THEN 0.5775 ELSE 0.55 END AS DOUBLE) AS threshold FROM v",
         "threshold_opt": with_(TX, API) + ", q AS (SELECT round(fraud_probability, 6) AS s, is_fraud AS label FROM a5), m AS (SELECT t, count(*) FILTER (round(s * 100, 9) >= t AND label = 1) AS tp, count(*) FILTER (round(s * 100, 9) >= t AND label = 0) AS fp, count(*) FILTER (round(s * 100, 9) < t AND label = 0) AS tn, count(*) FILTER (round(s * 100, 9) < t AND label = 1) AS fn FROM q, range(15, 66) r(t) GROUP BY 1), v AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, fp / (fp + tn) AS fpr FROM m) SELECT t, tp, fp, tn, fn, " + rnd("f1 fpr") + ", round(CASE WHEN fpr > 0.10 THEN f1 * greatest(0, 1 - 5 * (fpr - 0.10)) ELSE f1 END, 6) AS value FROM v",
-        "top_features": with_(FULL) + ", c AS (" + " UNION ALL ".join(f"SELECT account_id, {i} AS i, '{c}' AS feature, greatest(-3.0, least(3.0, {c} / {s})) / 3.0 * {w} AS contribution FROM fg" for i, (c, s, w) in enumerate(zip(features.FEATURES[:30], explain.STDS, scores.LR_WEIGHTS[:30], strict=True))) + "), o AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY abs(contribution) DESC, i) - 1 AS pos FROM c) SELECT account_id, CAST(pos AS BIGINT) AS pos, feature, round(contribution, 4) AS contribution FROM o WHERE pos < 3",
+        "top_features": with_(FULL) + ", c AS (" + " UNION ALL ".join(f"SELECT account_id, session, {i} AS i, '{c}' AS feature, greatest(-3.0, least(3.0, {c} / {s})) / 3.0 * {w} AS contribution FROM fg" for i, (c, s, w) in enumerate(zip(features.FEATURES[:30], explain.STDS, scores.LR_WEIGHTS[:30], strict=True))) + "), o AS (SELECT *, row_number() OVER (PARTITION BY account_id, session ORDER BY abs(contribution) DESC, i) - 1 AS pos FROM c) SELECT account_id, CAST(pos AS BIGINT) AS pos, feature, round(contribution, 4) AS contribution FROM o WHERE pos < 3",
         "triggered_rules": seqs + "SELECT account_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in explain.RULES) + "], lambda x: x IS NOT NULL), ';') AS rules FROM f",
         "risk_composite": with_(TX, API) + ", c AS (SELECT tx_id, round(least(1.0, greatest(0.0, fraud_probability)) * 0.40 + least((tx_id % 7) / 5.0, 1.0) * 0.20 + (tx_id % 10) / 10.0 * 0.15 + CASE WHEN amount < 5000 THEN 0.1 WHEN amount < 20000 THEN 0.4 WHEN amount < 100000 THEN 0.7 ELSE 1 END * 0.15 + CASE WHEN transaction_hour <= 3 THEN 1.0 WHEN transaction_hour <= 5 THEN 0.8 WHEN transaction_hour <= 7 THEN 0.3 WHEN transaction_hour >= 22 THEN 0.5 ELSE 0.1 END * 0.10, 9) AS composite FROM a5) SELECT tx_id, round(CAST(composite AS DOUBLE), 4) AS composite, CASE WHEN composite >= 0.90 THEN 'CRITICAL' WHEN composite >= 0.75 THEN 'HIGH' WHEN composite >= 0.50 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM c",
         "pattern_registry": al + "SELECT CASE " + " ".join(f"WHEN fraud_type LIKE '%{p}%' THEN '{f}'" for p, f in explain.PATTERN_FAMILIES) + " ELSE '其他' END AS family, count(*) AS n FROM alerts GROUP BY 1",
@@ -309,8 +331,6 @@ def later(out: dict[str, str], tx: str, al: str, seqs: str) -> dict[str, str]:
         h AS (SELECT *, tp + fp + tn + fn AS total_samples, tp + fn AS fraud_samples, fp + tn AS normal_samples, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, (tp + tn) / (tp + fp + tn + fn) AS a FROM m),
         q AS (SELECT *, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(p, 6) AS "precision", round(r, 6) AS recall, round(a, 6) AS accuracy FROM h) """
     fb = al.rstrip() + ",\n" + FEEDBACK + " "
-    steps = ", ".join(f"r{k} AS (SELECT DISTINCT r.account, p.dst AS node FROM r{k - 1} r JOIN p ON r.node = p.src)" for k in range(2, 7))
-    rings = " UNION ALL ".join(f"SELECT account, {k} AS length FROM r{k} WHERE account = node" for k in range(2, 7))
     return {
         "pattern_described": al + f"""SELECT fraud_type, arg_min(pattern, rank) AS pattern, coalesce(arg_min(severity, rank), '中') AS severity, any_value(n) AS n
             FROM (SELECT t.*, pattern, severity, CASE WHEN fraud_type = pattern THEN 0 ELSE i END AS rank FROM (SELECT fraud_type, split_part(fraud_type, '(', 1) AS plain, count(*) AS n FROM alerts GROUP BY ALL) t LEFT JOIN {known} ON fraud_type = pattern OR contains(pattern, plain) OR contains(plain, pattern)) GROUP BY 1""",
@@ -337,6 +357,6 @@ def later(out: dict[str, str], tx: str, al: str, seqs: str) -> dict[str, str]:
             UNION ALL SELECT a.src, a.src || '->' || a.dst, 1, 'revisit', a.src FROM p a JOIN p b ON a.dst = b.src AND a.src = b.dst UNION ALL SELECT a.src, a.src || '->' || a.dst || '->' || b.dst, 2, 'depth', '' FROM p a JOIN p b ON a.dst = b.src AND a.src <> b.dst""",
         "graph_path": with_(TX, GRAPH).rstrip() + """, t0 AS (SELECT *, substr(src, 1, 8) || '→' || substr(dst, 1, 8) || '(' || CAST(round(amount) AS BIGINT) || ')' AS t FROM ge), t1 AS (SELECT src AS account, 1 AS side, event_ms, tx_id, t FROM t0 UNION ALL SELECT dst, 2, event_ms, tx_id, t FROM t0),
             t2 AS (SELECT *, row_number() OVER (PARTITION BY account, side ORDER BY event_ms DESC, tx_id DESC) AS rn FROM t1), t3 AS (SELECT account, side, CASE WHEN count(*) > 3 THEN max_by(t, rn) || '...' ELSE string_agg(t, '' ORDER BY rn DESC) END AS t FROM t2 WHERE rn <= 50 GROUP BY 1, 2)
-            SELECT account, string_agg(t, ' ' ORDER BY side) || CASE WHEN account IN (SELECT account FROM gc) THEN ' | CYCLE detected' ELSE '' END AS path FROM t3 GROUP BY account""",
-        "graph_shortest_ring": links + f", r1 AS (SELECT src AS account, dst AS node FROM p), {steps} SELECT account, CAST(min(length) AS BIGINT) AS length FROM ({rings}) GROUP BY 1",
+            SELECT account, string_agg(t, ' ' ORDER BY side) || CASE WHEN account IN (SELECT account FROM rg) THEN ' | CYCLE detected' ELSE '' END AS path FROM t3 GROUP BY account""",
+        "graph_shortest_ring": with_(TX, GRAPH) + "SELECT account, CAST(length AS BIGINT) AS length FROM rg",
     }

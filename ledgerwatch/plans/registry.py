@@ -108,12 +108,12 @@ def tags(tx):
 
 def tag_asof(spark, sf):
     tx = transactions(spark, sf)
-    return joins.tag_as_of(tx, tags(tx).filter("rule = 'p05'")).select("tx_id", "is_cep_matched", "cep_rule_name")
+    return joins.tag_as_of(tx, tags(tx)).select("tx_id", "is_cep_matched", "cep_rule_name")
 
 
 def ml_input_anti(spark, sf):
     tx = transactions(spark, sf)
-    return joins.tag_as_of(tx, tags(tx).filter("rule = 'p05'")).filter("not is_cep_matched").select("tx_id", "name_orig", "amount")
+    return joins.tag_as_of(tx, tags(tx)).filter("not is_cep_matched").select("tx_id", "name_orig", "amount")
 
 
 def sql_ip_gang(spark, sf):
@@ -172,7 +172,7 @@ def gnn_topk(spark, sf):
 
 
 def gnn_scores(spark, sf):
-    return rounded(scores.gnn_scores(features.with_features(windows.sequences(transactions(spark, sf)))).select("account_id", "node_risk", "neighbor_risk", "deviation", "structure", "gnn_score"), 4)
+    return rounded(scores.gnn_scores(features.with_features(windows.sequences(transactions(spark, sf)))).select("account_id", "node_risk", "neighbor_risk", "deviation", "structure", "gnn_score"))
 
 
 def gnn_alerts(spark, sf):
@@ -211,7 +211,24 @@ def graph_cycles_2_3(spark, sf):
 
 
 def graph_chain_depth(spark, sf):
-    return graph.chain_depth(graph.edges(transactions(spark, sf)), 2)
+    return graph.chain_depth(graph.edges(transactions(spark, sf)))
+
+
+def graph_chain_paths(spark, sf):
+    paths = graph.chain_paths(graph.edges(transactions(spark, sf)))
+    return paths.select("account", "depth", F.array_join("path", "->").alias("path"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+def graph_cycles(spark, sf):
+    return graph.cycle_counts(graph.edges(transactions(spark, sf)))
+
+
+def graph_clustering(spark, sf):
+    return rounded(graph.clustering(graph.edges(transactions(spark, sf))))
+
+
+def khop_counts(spark, sf):
+    return graph.hop_counts(graph.edges(transactions(spark, sf)))
 
 
 def graph_fund_chains(spark, sf):
@@ -303,7 +320,7 @@ def validation_dedup(spark, sf):
 def ablation_real(spark, sf):
     tx = transactions(spark, sf)
     labels = tx.groupBy(F.col("name_orig").alias("account_id")).agg(F.expr("cast(count_if(is_fraud = 1) >= 4 as int)").alias("label"))
-    found = detect.rule_alerts(tx).unionByName(detect.graph_layer(tx))
+    found = detect.rule_alerts(tx).unionByName(detect.graph_layer(tx)).unionByName(detect.ml(tx))
     return rounded(evaluate.layer_subsets(labels, found))
 
 
@@ -331,7 +348,7 @@ def serve_traffic(spark, sf):
 
 
 def serve_recent(spark, sf):
-    return rounded(serving.recent(detect.rule_alerts(transactions(spark, sf)).filter("source not like 'CEP%'")).select("alert_id", "account_id", "confidence", "event_ms"))
+    return rounded(serving.recent(detect.rule_alerts(transactions(spark, sf))).select("alert_id", "account_id", "confidence", "event_ms"))
 
 
 def serve_search(spark, sf):
@@ -444,7 +461,7 @@ def pattern_registry(spark, sf):
 
 
 def alert_report(spark, sf):
-    return explain.report(detect.rule_alerts(transactions(spark, sf)).filter("source not like 'CEP%'")).select("alert_id", "report")
+    return explain.report(detect.rule_alerts(transactions(spark, sf))).select("alert_id", "report")
 
 
 def pattern_described(spark, sf):
@@ -580,6 +597,7 @@ def queries() -> dict[str, Query]:
         "pattern_registry", "alert_report", "latest_upsert", "retrain", "isolation", "sage_embedding",
         "pattern_described", "serve_by_id", "serve_until_now", "serve_ml_count", "serve_enabled", "serve_between", "serve_feedback_totals", "serve_training_history", "serve_drift_history", "serve_validation_latest",
         "feedback_profile", "feedback_recent", "threshold_best", "fraud_buffer", "drift_vote", "graph_shortest_ring", "alert_json", "drift_mean_shift", "graph_fund_chains", "graph_path",
+        "graph_cycles", "graph_clustering", "graph_chain_paths", "khop_counts",
     ]
     out: dict[str, Query] = {f"cep_{p.name}": one_pattern(p) for p in patterns.PATTERNS}
     out |= {name: here[name] for name in plain}

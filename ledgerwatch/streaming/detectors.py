@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.joins import DISTINCT_PARTIES, chain_scores
+from ..functions import features, scores
+from ..operators import graph, windows
+from ..operators.joins import DISTINCT_PARTIES, TAG_MS, chain_scores
 from ..plans.patterns import Pattern
 
 LATENESS = "5 seconds"
@@ -97,6 +100,128 @@ def pattern(tx: DataFrame, p: Pattern) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(processor, outputStructType=PatternProcessor.SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
+class SequenceProcessor(StatefulProcessor):
+    """Sessions of an account. Its transactions wait in a list until the watermark has passed the session's last one by the gap: an event-time timer then settles every session that nothing can join any more.
+
+    Of a session that goes on only the last ``longest`` transactions are kept, so an account that never pauses stays bounded. Timers take the place of a time to live: what is settled leaves the state.
+    """
+
+    SCHEMA = "account_id string, end_ms long, txs string"
+
+    def __init__(self, fields: list[str], kinds: str, gap_ms: int, longest: int):
+        self.fields, self.kinds, self.gap_ms, self.longest = fields, kinds, gap_ms, longest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", self.kinds)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [tuple(None if v is None or v != v else v for v in r) for r in pd.concat(list(rows))[self.fields].astype(object).itertuples(index=False, name=None)]
+        held = sessions(sorted([*map(tuple, self.rows.get()), *new], key=in_order), self.gap_ms)
+        self.rows.put([r for s in held for r in s[-max(2, self.longest) :]])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        for s in held:
+            self.handle.registerTimer(s[-1][0] + self.gap_ms + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        held = sessions(sorted(map(tuple, self.rows.get()), key=in_order), self.gap_ms)
+        over = [s for s in held if s[-1][0] + self.gap_ms < due]
+        left = [r for s in held if s[-1][0] + self.gap_ms >= due for r in s]
+        self.rows.put(left) if left else self.rows.clear()
+        out = [(key[0], int(s[-1][0]), json.dumps([dict(zip(self.fields, r, strict=True)) for r in s[-self.longest :]])) for s in over if len(s) >= 2]
+        yield pd.DataFrame(out, columns=["account_id", "end_ms", "txs"])
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(row: tuple) -> tuple:
+    """Sequences are ordered by time, then by transaction: the first two fields."""
+    return row[:2]
+
+
+def sessions(rows: list[tuple], gap_ms: int) -> list[list[tuple]]:
+    """Ordered rows, time first, cut where the gap is too long."""
+    out: list[list[tuple]] = []
+    for r in rows:
+        if out and r[0] - out[-1][-1][0] <= gap_ms:
+            out[-1].append(r)
+        else:
+            out.append([r])
+    return out
+
+
+def sequences(tx: DataFrame, gap_ms: int = 60_000, longest: int = 10) -> DataFrame:
+    """Behaviour sequences of a stream, each once when it is over: ``account_id``, ``end_ms`` and ``txs`` as the batch form has them, so that features and scores apply to both. Needs the RocksDB state store."""
+    rows = timed(windows.duplicated(tx)).select(F.col("tracking_account").alias("account_id"), *windows.SEQ_FIELDS, "event_ts")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in windows.SEQ_FIELDS)
+    processor = SequenceProcessor(windows.SEQ_FIELDS, kinds, gap_ms, longest)
+    found = rows.groupBy("account_id").transformWithStateInPandas(processor, outputStructType=SequenceProcessor.SCHEMA, outputMode="Append", timeMode="EventTime")
+    return found.select("account_id", "end_ms", F.from_json("txs", f"array<struct<{kinds.replace(' ', ':').replace(',:', ',')}>>").alias("txs"))
+
+
+def gnn_alerts(tx: DataFrame) -> DataFrame:
+    """Neighbourhood alerts of a stream's sequences."""
+    found = scores.gnn_alerts(features.with_features(sequences(tx)))
+    return found.select("account_id", "end_ms", "fraud_type", "gnn_score")
+
+
+class TagProcessor(StatefulProcessor):
+    """Marks an account's transactions with its newest tag at or before them. Transactions wait until the watermark has passed them, then they meet the tags in order; a tag is forgotten when it is too old to match."""
+
+    SCHEMA = "tx_id long, is_cep_matched boolean, cep_rule_name string"
+
+    def __init__(self, valid_ms: int):
+        self.valid_ms = valid_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "event_ms long, side int, rule string, tx_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows))
+        self.rows.appendList([(int(a), int(b), None if c is None else str(c), None if d != d else int(d)) for a, b, c, d in zip(new["event_ms"], new["side"], new["rule"], new["tx_id"], strict=True)])
+        for due in {int(m) + 1 for m, side in zip(new["event_ms"], new["side"], strict=True) if side}:
+            self.handle.registerTimer(due)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due, tag, out, left = expiredTimerInfo.getExpiryTimeInMs(), None, [], []
+        for row in sorted(map(tuple, self.rows.get()), key=lambda r: (r[0], r[1], r[2] or "", r[3] or 0)):
+            at, side, rule, tx_id = row
+            if at >= due or (not side and at + self.valid_ms >= due):
+                left.append(row)
+            if at < due and side:
+                matched = tag is not None and at - tag[0] <= self.valid_ms
+                out.append((tx_id, matched, tag[1] if matched else "NONE"))
+            elif at < due:
+                tag = (at, rule)
+        self.rows.put(left) if left else self.rows.clear()
+        yield pd.DataFrame(out, columns=["tx_id", "is_cep_matched", "cep_rule_name"])
+
+    def close(self) -> None:
+        pass
+
+
+def tag_as_of(tx: DataFrame, tags: DataFrame) -> DataFrame:
+    """Transactions with the newest tag of their sender, ``tags(account_id, rule, tag_ms)`` being a stream too: ``tx_id``, ``is_cep_matched``, ``cep_rule_name``. Needs the RocksDB state store."""
+    rows = tx.select(F.col("name_orig").alias("k"), "event_ms", F.lit(1).alias("side"), F.lit(None).cast("string").alias("rule"), "tx_id")
+    marks = tags.select(F.col("account_id").alias("k"), F.col("tag_ms").alias("event_ms"), F.lit(0).alias("side"), "rule", F.lit(None).cast("long").alias("tx_id"))
+    return timed(rows.unionByName(marks)).groupBy("k").transformWithStateInPandas(TagProcessor(TAG_MS), outputStructType=TagProcessor.SCHEMA, outputMode="Append", timeMode="EventTime")
+
+
+def graph_degrees(tx: DataFrame) -> DataFrame:
+    """Degrees and amounts of accounts as transactions come, in complete or update mode; distinct neighbours need the batch form."""
+    s = graph.sides(graph.edges(tx))
+    out = F.col("is_out")
+    n = lambda c: F.count(F.when(c, 1))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("amount"))), F.lit(0.0))
+    return s.groupBy("account").agg(n(out).alias("out_degree"), n(~out).alias("in_degree"), total(out).alias("out_amount"), total(~out).alias("in_amount"))
+
+
 class EnrichProcessor(StatefulProcessor):
     """Running hits, edges and volume of an account, forgotten after a minute without alerts."""
 

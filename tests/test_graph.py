@@ -1,6 +1,8 @@
 """Graph queries over every account."""
 
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
+from itertools import combinations
 
 from ledgerwatch.operators import graph
 from ledgerwatch.plans import registry
@@ -60,3 +62,85 @@ def test_path_texts(spark):
     assert got["abcdefghij"] == "abcdefgh→t0(0)..." and got["t2"] == "abcdefgh→t2(21)"
     assert got["t1"] == "t1→x(7) abcdefgh→t1(11)x→t1(8) | CYCLE detected" and got["x"] == "x→t1(8) t1→x(7) | CYCLE detected"
     assert graph.path_texts(e, e.select("src").limit(0).withColumnRenamed("src", "account"), most=2).filter("account = 'abcdefghij'").first().path == "abcdefgh→t3(32)abcdefgh→t4(42)"
+
+
+def random_links(rng, nodes, links):
+    return sorted({(f"n{a}", f"n{b}") for a, b in ((rng.randrange(nodes), rng.randrange(nodes)) for _ in range(links)) if a != b})
+
+
+def cycles_by_hand(links, longest=6):
+    """Simple cycles through each account, walked one by one."""
+    nexts = defaultdict(list)
+    for a, b in links:
+        nexts[a].append(b)
+    out = Counter()
+
+    def walk(path):
+        for n in nexts[path[-1]]:
+            if n == path[0] and len(path) >= 2:
+                out[(path[0], len(path))] += 1
+            elif n not in path and len(path) < longest:
+                walk([*path, n])
+
+    for a in list(nexts):
+        walk([a])
+    return out
+
+
+def test_cycle_counts_equal_walks(spark):
+    rng = random.Random(4)
+    shapes = [random_links(rng, 7, 25), random_links(rng, 9, 70), random_links(rng, 14, 40), [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "c"), ("d", "a"), ("a", "d")], [("a", "b"), ("b", "c")]]
+    for links in shapes:
+        e = spark.createDataFrame([*links, links[0]], "src string, dst string")
+        got = {(r.account, r.length): r.cycles for r in graph.cycle_counts(e).collect()}
+        want = cycles_by_hand(links)
+        assert got == want
+        least = {}
+        for a, k in want:
+            least[a] = min(k, least.get(a, k))
+        assert {r.account: r.length for r in graph.shortest_rings(e).collect()} == least
+
+
+def test_triangles_equal_walks(spark):
+    rng = random.Random(6)
+    links = [*random_links(rng, 12, 50), *[("hub", f"n{i}") for i in range(12)], ("x", "y")]
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    want = {a: (len(n), sum(y in near[x] for x, y in combinations(sorted(n), 2))) for a, n in near.items()}
+    rows = graph.clustering(spark.createDataFrame(links, "src string, dst string")).collect()
+    assert {r.account: (r.degree, r.triangles) for r in rows} == want
+    assert {r.account: r.clustering for r in rows}["x"] == 0.0
+
+
+def test_chains_in_order_of_time(spark):
+    rng = random.Random(8)
+    edges = [(f"n{rng.randrange(8)}", f"n{rng.randrange(8)}", rng.randrange(40), i) for i in range(60)]
+    edges = [e for e in edges if e[0] != e[1]]
+    longest = {}
+    for src, dst, at, i in sorted(edges, key=lambda e: -e[2]):
+        longest[i] = 1 + max((longest[j] for s, _, t, j in edges if s == dst and t > at), default=0)
+    want = {}
+    for src, _, _, i in edges:
+        want[src] = max(want.get(src, 0), longest[i])
+    e = spark.createDataFrame(edges, "src string, dst string, event_ms long, tx_id long")
+    for deepest in (1, 3, 50):
+        capped = {a: min(d, deepest) for a, d in want.items()}
+        assert {r.account: r.depth for r in graph.chain_depth(e, deepest).collect()} == capped
+        by_id = {i: (s, d, t) for s, d, t, i in edges}
+        paths = graph.chain_paths(e, deepest).collect()
+        assert {r.account: r.depth for r in paths} == capped
+        for r in paths:
+            steps = [by_id[i] for i in r.ids]
+            assert len(steps) == r.depth and r.path == [r.account, *[s[1] for s in steps]] and [s[0] for s in steps] == r.path[:-1]
+            assert all(a[2] < b[2] for a, b in zip(steps, steps[1:], strict=False))
+    assert graph.chain_depth(e.limit(0)).count() == 0 and graph.cycle_counts(e.limit(0)).count() == 0
+
+
+def test_communities_by_hand(spark):
+    tx = [("a", "x", "1", "d1"), ("b", "y", "1", "d2"), ("b", "z", "2", "d3"), ("c", "a", "2", "d3"), ("s", "t", "9", "d9"), ("n", "a", None, None), ("l", "l", "7", "d7")]
+    rows = spark.createDataFrame([(*r, 1.0, 0, i, "T") for i, r in enumerate(tx)], "name_orig string, name_dest string, ip_segment string, device_id string, amount double, event_ms long, tx_id long, type string")
+    got = {r.account: r.community for r in graph.communities(rows).collect()}
+    # a and b share an address, b and c another and a device: a reaches a, b and their neighbours x, y, z, c, n
+    assert got == {"a": 7, "b": 7, "c": 5, "s": 2, "l": 1}

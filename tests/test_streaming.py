@@ -4,7 +4,8 @@ import shutil
 
 from pyspark.sql import functions as F
 
-from ledgerwatch.operators import fusion, joins, windows
+from ledgerwatch.functions import features, scores
+from ledgerwatch.operators import fusion, graph, joins, windows
 from ledgerwatch.plans import detect
 from ledgerwatch.plans.patterns import PATTERNS, alerts
 from ledgerwatch.sources import sinks
@@ -82,3 +83,43 @@ def test_upsert_keeps_the_newest_row_and_survives_a_restart(spark, tmp_path):
     spark.createDataFrame([("a", 2)], schema).write.mode("append").parquet(path)
     run()
     assert {tuple(r) for r in sinks.read_upserted(spark, str(tmp_path / "out"), ["k"]).select("k", "v").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_sequences_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    tx = transactions(spark, "/root/testdata/sf0.001").withColumn("event_ms", F.expr("event_ms div 40"))  # so that sessions are long, too
+    tx = tx.withColumn("event_ms", F.expr("1700000000000 + (event_ms - 42000000000)"))
+    path = stream_of(spark, tmp_path, tx)
+    got = replay(spark, path, tx.schema, late(tx), detectors.sequences, tmp_path)
+    key = lambda d: sorted((r.account_id, r.ids) for r in d.selectExpr("account_id", "array_join(transform(txs, x -> cast(x.tx_id as string)), ',') as ids").collect())
+    want = key(windows.sequences(tx))
+    assert key(got) == want and any(ids.count(",") == 9 for _, ids in want)
+
+
+def test_neighbourhood_alerts_of_a_stream(spark, tmp_path):
+    tx = transactions(spark, "/root/testdata/sf0.001").withColumns({"amount": F.expr("amount * 40"), "device_risk_level": F.lit("HIGH"), "is_abroad": F.lit("ABROAD"), "transaction_hour": F.lit(2), "event_ms": F.expr("1700000000000 + event_ms div 40 - 42000000000")})
+    path = stream_of(spark, tmp_path, tx)
+    got = replay(spark, path, tx.schema, late(tx), detectors.gnn_alerts, tmp_path)
+    key = lambda d: sorted((r.account_id, r.end_ms, r.fraud_type, round(r.gnn_score, 9)) for r in d.select("account_id", "end_ms", "fraud_type", "gnn_score").collect())
+    want = key(scores.gnn_alerts(features.with_features(windows.sequences(tx))))
+    assert key(got) == want and want
+
+
+def test_tags_of_a_stream(spark, tmp_path):
+    tx = transactions(spark, "/root/testdata/sf0.001")
+    tags = alerts(tx).select("account_id", F.col("pattern").alias("rule"), F.col("event_ms").alias("tag_ms"))
+    narrow = tx.select("tx_id", "name_orig", "event_ms")
+    both = narrow.select("*", F.lit(None).cast("string").alias("rule")).unionByName(tags.select(F.lit(None).cast("long").alias("tx_id"), F.col("account_id").alias("name_orig"), F.col("tag_ms").alias("event_ms"), "rule"))
+    path = stream_of(spark, tmp_path, both)
+    fn = lambda s: detectors.tag_as_of(s.filter("rule is null"), s.filter("rule is not null").select(F.col("name_orig").alias("account_id"), "rule", F.col("event_ms").alias("tag_ms")))
+    tail = both.limit(1).withColumns({"event_ms": F.lit(1800000000000), "name_orig": F.lit("late"), "tx_id": F.lit(10**9), "rule": F.lit(None).cast("string")})
+    got = replay(spark, path, both.schema, tail, fn, tmp_path)
+    key = lambda d: sorted((r.tx_id, r.is_cep_matched, r.cep_rule_name) for r in d.select("tx_id", "is_cep_matched", "cep_rule_name").collect())
+    assert key(got) == key(joins.tag_as_of(tx, tags)) and any(r[1] for r in key(got))
+
+
+def test_degrees_of_a_stream(spark, tmp_path):
+    tx = transactions(spark, "/root/testdata/sf0.001")
+    path = stream_of(spark, tmp_path, tx)
+    got = replay(spark, path, tx.schema, tx.limit(0), detectors.graph_degrees, tmp_path, mode="complete")
+    key = lambda d: sorted((r.account, r.out_degree, r.in_degree, round(r.out_amount, 4), round(r.in_amount, 4)) for r in d.collect())
+    assert key(got) == key(graph.degrees(graph.edges(tx)))
