@@ -1,19 +1,19 @@
 """License scans by conditional compression.
 
-A passage that repeats a license compresses far better once the compressor has read that license. Passages are sought for every template in the whole text: a stretch of words no longer
-than the template and what may be added to it, holding enough of the template's words and all its telling ones (numbers and names that tell licenses apart, such as ``2.0``, ``3``, ``nc``),
-is aligned with the template, and the words that are missing, added or changed are listed. Each confirmed passage is compressed with its template as a zstandard raw dictionary; its size
-reduction ranks the templates of one license. What stands around a passage doesn't count, so neighbours can't hide it, however many there are.
+A passage that repeats a license compresses far better once the compressor has read that license. Candidate blocks are runs of sentences or lines with a word that license texts use; windows of each template's length slide
+over them (and as far beyond as the template reaches). Every window is compressed alone and with each template of that length as a zstandard raw dictionary, and the templates are ranked by what they save, as a share
+of the template's own size. All that save enough go to the wording check: a stretch of the window's words no longer than the template and what may be added to it, holding enough of the template's words and all its
+telling ones (numbers and names that tell licenses apart, such as ``2.0``, ``3``, ``nc``), is aligned with the template, and the words that are missing, added or changed are listed. A confirmed passage must itself shrink by
+its template. Each occurrence is a finding; of findings of one license that overlap, the one that shrinks most stands.
 
-Candidate blocks are runs of sentences or lines with a word that license texts use; a plain regular expression leaves other documents out before any Python runs. Whole texts
-are read. Null and empty texts have no block. A license is reported once for a block, at the passage with the largest reduction; ties fall to the first template and place. Rights reserved in
+A plain regular expression leaves documents without a candidate out before any Python runs. Whole texts are read. Null and empty texts have no block. Ties fall to the first template and place. Rights reserved in
 the heading of a license's text are reported beside it. There is no shuffle, and equal texts give equal results; repeated rows are rows of their own. Very long texts are scanned as wholes, in time that grows
-with the words that templates share with them. An empty table gives an empty result; columns other than the key and the text are ignored.
+with the blocks that they hold. An empty table gives an empty result; columns other than the key and the text are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Share by which a template must shrink its passage.
-LEAST_REDUCTION = 0.25
+#: Share by which a template must shrink its passage, and share of its own compressed size that it must save in a window.
+LEAST_REDUCTION, LEAST_SAVED = 0.25, 0.1
+#: Words of a window; a template takes the first that is half as long again as its longest passage. Windows overlap by two thirds, so each passage lies whole in one.
+WINDOWS = sorted(k << n for k in (9, 12) for n in range(9))
 #: Share of a template's words that must stand in the passage, in order.
 LEAST_WORDING = 0.85
 #: Templates of fewer words may lack one.
@@ -173,6 +175,24 @@ TEMPLATES = {
 # Words that tell licenses apart; one in the template must be in the block, and the other way round within the aligned part.
 TELLING = frozenset("mit apache gnu lesser affero general mozilla bsd cc cc0 by sa nc nd sharealike noncommercial noderivatives spdx gpl lgpl agpl mpl eclipse epl boost bsl isc zlib unlicense".split())
 
+#: Windows of so many words are compressed by the level that finds every short match; of longer ones the usual level saves enough to tell.
+CLOSELY = 18
+
+
+def level(words: int) -> int:
+    return 13 if words <= CLOSELY else 3
+
+
+PLAIN = {k: zstandard.ZstdCompressor(level=k, write_content_size=False, write_checksum=False) for k in (3, 13)}
+
+
+def compressor(text: str, k: int = 3) -> zstandard.ZstdCompressor:
+    """One that has read ``text``."""
+    read = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    read.precompute_compress(level=k)
+    return zstandard.ZstdCompressor(level=k, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=read)
+
+
 class Template:
     def __init__(self, name: str, k: int, text: str):
         self.name, self.k, self.words = name, k, TOKEN.findall(text)
@@ -180,7 +200,9 @@ class Template:
         self.telling = Counter({w: n for w, n in self.bag.items() if tells(w)})
         self.least = next(n for n in range(len(self.words) + 1) if enough(n, len(self.words)))
         self.reach = len(self.words) + int(MOST_ADDED * len(self.words))
-        self.own = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        self.window = next(w for w in WINDOWS if 2 * w >= 3 * self.reach)
+        k, form = level(self.window), " ".join(self.words)
+        self.own, self.form, self.size = compressor(text), compressor(form, k), len(PLAIN[k].compress(form.encode()))
 
     def windows(self, words: list[str], bag: Counter) -> list[int]:
         """Where a passage can start: at a word of the template, with enough of its words and all its telling words within reach."""
@@ -226,8 +248,8 @@ class Template:
 class Scanner:
     def __init__(self):
         self.cue = regex.compile(CUES)
-        self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
         self.templates = [Template(name, k, text) for name in sorted(TEMPLATES) for k, text in enumerate(TEMPLATES[name])]
+        self.by_window = {w: [t for t in self.templates if t.window == w] for w in WINDOWS}
 
     def blocks(self, text: str) -> list[tuple[int, str]]:
         """Offset and text of each run of sentences with a cue."""
@@ -248,29 +270,64 @@ class Scanner:
                 run = None
         return [*out, (run[0], text[run[0] : run[1]])] if run else out
 
+    def windows(self, blocks: list[tuple[int, str]], starts: list[int]) -> list[tuple[int, int, int]]:
+        """(size, first word, end) of the windows over the blocks, which reach a window's length beyond them; ``starts``: where words start."""
+        ranges = [(bisect_left(starts, at), bisect_left(starts, at + len(block))) for at, block in blocks]
+        out = []
+        for size, templates in self.by_window.items():
+            done = -1
+            for first, end in ranges if templates else []:
+                at, end = max(0, first - size, done), min(len(starts), end + size)
+                while at < end:
+                    out.append((size, at, min(at + size, len(starts))))
+                    if at + size >= end:
+                        break
+                    at += size // 3
+                done = max(done, at + size // 3)
+        return out
+
+    def ranked(self, words: list[str], size: int) -> list[tuple[float, Template]]:
+        """Templates of a window by what each saves, as a share of its own size."""
+        raw = " ".join(words).encode()
+        plain = len(PLAIN[level(size)].compress(raw))
+        saved = [((plain - len(t.form.compress(raw))) / t.size, t) for t in self.by_window[size]]
+        return sorted((x for x in saved if x[0] >= LEAST_SAVED), key=lambda x: -x[0])
+
     def scan(self, text: str) -> tuple[int, list[dict]]:
         blocks = self.blocks(text) if text else []
         if not blocks:
             return 0, []
         spans = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-        words = [text[a:b].lower() for a, b in spans]
-        bag, places = Counter(words), []
-        for t in self.templates:
-            places += [(t, i, j, diff) for i, j, diff in t.passages(words, bag)]
-        starts, best = [at for at, _ in blocks], {}
-        for t, i, j, diff in places:
+        words, places = [text[a:b].lower() for a, b in spans], {}
+        for size, lo, hi in self.windows(blocks, [a for a, _ in spans]):
+            near = words[lo:hi]
+            bag = Counter(near)
+            for _, t in self.ranked(near, size):
+                for i, j, diff in t.passages(near, bag):
+                    places[t.name, t.k, lo + i, lo + j] = (t, diff)
+        return len(blocks), self.findings(text, spans, places)
+
+    def findings(self, text: str, spans: list[tuple[int, int]], places: dict) -> list[dict]:
+        """What shrinks by its template; of overlapping passages of one license the one with most of its words, then that which shrinks most."""
+        found = []
+        for (name, k, i, j), (t, diff) in places.items():
             at, end = spans[i][0], spans[j - 1][1]
             raw = " ".join(text[at:end].lower().split()).encode()
-            gain = 1 - len(t.own.compress(raw)) / len(self.plain.compress(raw))
+            gain = 1 - len(t.own.compress(raw)) / len(PLAIN[3].compress(raw))
             if gain >= LEAST_REDUCTION:
-                # the first block that the passage reaches, or the last one before it
-                n = max(bisect_right(starts, at) - 1, 0)
-                n += n + 1 < len(blocks) and starts[n] + len(blocks[n][1]) <= at and starts[n + 1] < end
-                found = {"license": t.name, "template": t.k, "offset": at, "length": end - at, "reduction": round(gain, 6), **diff}
-                order = (-gain, t.k, at)
-                if (n, t.name) not in best or order < best[n, t.name][0]:
-                    best[n, t.name] = (order, found)
-        return len(blocks), [found for (n, _), (order, found) in sorted(best.items(), key=lambda x: (x[0][0], x[1][0][0], x[0][1]))]
+                lacking = len(diff["missing"]) + len(diff["added"])
+                found.append(((-(diff["matched"] - lacking), -gain, k, at), {"license": name, "template": k, "offset": at, "length": end - at, "reduction": round(gain, 6), **diff}))
+        taken: dict[str, list[tuple[int, int]]] = {}
+        out = []
+        for _, f in sorted(found, key=lambda x: x[0]):
+            own = taken.setdefault(f["license"], [])
+            span = (f["offset"], f["offset"] + f["length"])
+            k = bisect_left(own, span)
+            if (k and own[k - 1][1] > span[0]) or (k < len(own) and own[k][0] < span[1]):
+                continue
+            own.insert(k, span)
+            out.append(f)
+        return sorted(out, key=lambda f: (f["offset"], -f["reduction"], f["license"]))
 
 
 def tells(word: str) -> bool:

@@ -801,3 +801,36 @@ def test_licenses_in_repeated_rows_and_far_inside(spark):
     far = words(rng, 100_000) + ". Released under the MIT License. " + words(rng, 100_000)
     got = licenses.scan_documents(docs(spark, [far, far, "x"], ids=[1, 1, 1])).collect()
     assert Counter(r.licenses for r in got) == Counter({"MIT": 2, "": 1})
+
+
+def test_each_license_notice_is_a_finding(spark):
+    notice = lambda i: f"{'abc'[i]} licensed under the MIT license. "
+    rows = licenses.scan_documents(docs(spark, ["".join(map(notice, range(3))), "\n".join(f"part{i}: licensed under the MIT license" for i in range(300))])).collect()
+    got = {r.doc_id: r for r in rows}
+    assert (got[0].n_findings, got[1].n_findings, got[0].differing_words) == (3, 300, 0)
+    assert [f["offset"] for f in json.loads(got[0].findings)] == [2, 36, 70]
+
+
+def test_license_windows_equal_brute_force_over_every_window():
+    """Every stretch of a window's length, at every word, compressed with every template: the sliding windows find the same licenses at the same places."""
+    rng, scanner = random.Random(11), licenses.Scanner()
+    for round_ in range(25):
+        parts = []
+        for t in rng.choices(scanner.templates, k=3):
+            own = list(t.words)
+            if len(own) > 8 and rng.random() < 0.7:
+                own[rng.randrange(len(own))] = "changed"
+            parts += [rng.choice(["license", "copyright", "word"]), *own, *words(rng, rng.randrange(12)).split()]
+        text = " ".join(parts)
+        blocks, spans = scanner.blocks(text), [m.span() for m in licenses.TOKEN.finditer(text)]
+        flat, places = [text[a:b].lower() for a, b in spans], {}
+        for size, templates in scanner.by_window.items():
+            for lo in range(len(flat)) if templates else ():
+                near = flat[lo : lo + size]
+                for _, t in scanner.ranked(near, size):
+                    for i, j, diff in t.passages(near, Counter(near)):
+                        places[t.name, t.k, lo + i, lo + j] = (t, diff)
+        assert blocks and flat
+        want = scanner.findings(text, spans, places)
+        got = scanner.scan(text)[1]
+        assert [(f["license"], f["offset"], f["length"]) for f in got] == [(f["license"], f["offset"], f["length"]) for f in want], round_
