@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored
+from .common import fits_broadcast, map_batches, stored
 from .text import shingle_sets
 
 #: One of so many shingle hashes is kept, and so many of the smallest in any case.
@@ -135,10 +135,9 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = rows.withColumn("part", place(F.col("k").cast("double")))
     first = F.min(F.struct(F.col("k").isNotNull().alias("has"), "k", "h")).alias("f")
     found = stored(rows.groupBy("part").agg(first, F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")))
-    # at most one range in so many rows is cut again, so these are few beside the ranges
     hot = found.filter(F.col("low").eqNullSafe(F.col("high")) & (F.col("n") > 4 * RANGE_ROWS)).select("part", F.ceil(F.col("n") / RANGE_ROWS).alias("subs"))
-    if hot.limit(1).count():
-        rows = rows.join(F.broadcast(hot), "part", "left").withColumn("sub", F.floor(F.col("h") / F.lit(float(1 << 63)) * F.coalesce("subs", F.lit(1))).cast("int")).drop("subs")
+    if n_hot := hot.count():
+        rows = rows.join(fits_broadcast(hot, n_hot), "part", "left").withColumn("sub", F.floor(F.col("h") / F.lit(float(1 << 63)) * F.coalesce("subs", F.lit(1))).cast("int")).drop("subs")
         found = stored(rows.groupBy("part", "sub").agg(first))
     else:
         rows, found = rows.withColumn("sub", F.lit(0)), found.withColumn("sub", F.lit(0))
@@ -146,10 +145,14 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def _followed(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    order, every = Window.orderBy("part", "sub"), Window.partitionBy()  # a row a range
-    goes_to = F.coalesce(F.lag(F.struct("part", "sub")).over(order), F.max(F.struct("part", "sub")).over(every))
-    ring = firsts.withColumn("goes_to", goes_to)
-    heads = rows.join(F.broadcast(ring), ["part", "sub"]).filter(F.col("k").eqNullSafe(F.col("first_k")) & (F.col("h") == F.col("first_h")))
+    # parts are MAX_RANGES and two at most, so their order is one small window; a part's pieces follow one another inside it
+    parts = firsts.groupBy("part").agg(F.max("sub").alias("last"))
+    before = F.coalesce(F.lag(F.struct("part", "last")).over(Window.orderBy("part")), F.max(F.struct("part", "last")).over(Window.partitionBy()))
+    parts = parts.select("part", before.alias("before"))
+    inside = F.lag("sub").over(Window.partitionBy("part").orderBy("sub"))
+    ring = firsts.withColumn("inside", inside).join(fits_broadcast(parts, MAX_RANGES + 2), "part")
+    ring = stored(ring.select("part", "sub", "first_k", "first_h", F.when(F.col("inside").isNotNull(), F.struct("part", F.col("inside").alias("sub"))).otherwise(F.struct(F.col("before.part").alias("part"), F.col("before.last").alias("sub"))).alias("goes_to")))
+    heads = rows.join(fits_broadcast(ring, ring.count()), ["part", "sub"]).filter(F.col("k").eqNullSafe(F.col("first_k")) & (F.col("h") == F.col("first_h")))
     heads = heads.groupBy("goes_to").agg(F.min("t").alias("t"))
     mine = rows.select("part", "sub", "k", "h", "t", F.lit(0).alias("tail"))
     tails = heads.select("goes_to.part", "goes_to.sub", F.lit(None).cast(rows.schema["k"].dataType).alias("k"), F.lit(None).cast("long").alias("h"), "t", F.lit(1).alias("tail"))
