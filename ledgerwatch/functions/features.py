@@ -1,6 +1,6 @@
 """The 36 features of a behaviour sequence, as expressions over its array of transactions ``txs``."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The features in the order of the vector.
@@ -129,5 +129,51 @@ def with_graph(seq: DataFrame, account_stats: DataFrame) -> DataFrame:
     return filled.withColumns({"time_density": F.expr(f"{near(5)} / {near(30)}"), "hour_risk": F.expr(risk)})
 
 
+#: The neighbourhood features that follow the vector.
+NEIGHBOURHOOD = ["neighbor_degree", "neighbor_amount_mean", "neighbor_amount_std", "neighbor_tier_risk", "community_attributes", "clustering", "betweenness", "embedding_norm"]
+
+
+def with_neighbourhood(seq: DataFrame, clustering: DataFrame) -> DataFrame:
+    """Features 36 to 43: what an account's receivers, addresses and devices look like up to each of its sequences; ``clustering(account, clustering)`` is the graph's.
+
+    Receivers accumulate from sequence to sequence. Each (account, sequence, receiver) adds what it changes to the sums over receivers, so no receiver is met again in a later sequence, and sums run over an account's sequences.
+    """
+    id_ = ["account_id", "session"]
+    each = seq.select(*id_, F.explode("txs").alias("x")).select(*id_, "x.*")
+    paid = each.filter("name_dest is not null and name_dest <> 'UNKNOWN'").groupBy(*id_, F.col("name_dest").alias("party")).agg(F.sum("amount").alias("a"))
+    before = Window.partitionBy("account_id", "party").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
+    paid = paid.withColumns({"p": F.sum("a").over(before), "first": F.min("session").over(before)}).withColumn("b", F.coalesce("p", F.lit(0.0)) + F.col("a"))
+    tier = lambda c: f"case when {c} > 50000 then 0.3D when {c} > 20000 then 0.2D when {c} > 10000 then 0.1D else 0.0D end"
+    grown = paid.groupBy(*id_).agg(
+        F.count(F.when(F.col("p").isNull(), 1)).alias("d_n"), F.sum("a").alias("d_sum"), F.sum(F.expr("b * b - coalesce(p, 0.0D) * coalesce(p, 0.0D)")).alias("d_sq"),
+        F.sum(F.expr(f"{tier('b')} - {tier('coalesce(p, 0.0D)')}")).alias("d_tier"),
+    )
+    # how often a sequence meets those who are receivers by then, whichever side they are on
+    met = each.select(*id_, F.explode(F.array_distinct(F.array("name_orig", "name_dest"))).alias("party")).groupBy(*id_, "party").agg(F.count("*").alias("met")).filter("met >= 3")
+    since = paid.groupBy("account_id", "party").agg(F.min("session").alias("since"))
+    often = met.join(since, ["account_id", "party"]).filter("since <= session").groupBy(*id_).agg(F.sum(F.expr("if(met >= 5, 0.2D, 0.1D)")).alias("often"))
+    used = each.select(*id_, F.explode(F.array(F.concat(F.lit("IP:"), F.nullif("ip_segment", F.lit("UNKNOWN"))), F.concat(F.lit("DEV:"), F.nullif("device_id", F.lit("UNKNOWN"))))).alias("by")).filter("by is not null")
+    fresh = used.groupBy("account_id", "by").agg(F.min("session").alias("session")).groupBy(*id_).agg(F.count("*").alias("d_by"))
+    upto = Window.partitionBy("account_id").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    s = seq.join(grown, id_, "left").join(fresh, id_, "left").join(often, id_, "left").join(clustering.select(F.col("account").alias("account_id"), "clustering"), "account_id", "left")
+    s = s.withColumns({c: F.coalesce(F.sum(f"d_{c}").over(upto), F.lit(0.0)) for c in ("n", "sum", "sq", "tier", "by")} | {"seq_n": F.col("n")})
+    moved = "aggregate(filter(txs, x -> x.type {} 'TRANSFER'), 0.0D, (s, x) -> s + x.amount)"
+    s = s.withColumns({"went": F.expr(moved.format("=")), "came": F.expr(moved.format("<=> null or x.type <>")), "parties": F.expr(f"{distinct('name_orig')} + {distinct('name_dest')}")})
+    s = s.withColumns(
+        {
+            "neighbor_degree": F.expr("least(1.0D, n / 20.0D)"),
+            "neighbor_amount_mean": F.expr("if(n > 0, sum / n / 10000.0D, 0.0D)"),
+            "neighbor_amount_std": F.expr("if(n > 0, sqrt(greatest(sq / n - (sum / n) * (sum / n), 0.0D)) / 10000.0D, 0.0D)"),
+            "neighbor_tier_risk": F.expr("if(n > 0, (tier + coalesce(often, 0.0D)) / n, 0.0D)"),
+            "community_attributes": F.expr("least(1.0D, by / 10.0D)"),
+            "clustering": F.coalesce("clustering", F.lit(0.0)),
+            "betweenness": F.expr("if(went + came > 0, 2.0D * least(went, came) / (went + came), 0.0D) * least(1.0D, parties / 10.0D)"),
+            # an embedding has unit length unless all it is made of is zero
+            "embedding_norm": F.expr("if(exists(txs, x -> x.amount <> 0) or seq_n > 0, 1.0D, 0.0D)"),
+        }
+    )
+    return s.withColumn("n", F.col("seq_n")).drop("seq_n", "sum", "sq", "tier", "by", "often", "went", "came", "parties", "d_n", "d_sum", "d_sq", "d_tier", "d_by")
+
+
 def vector():
     return F.array(*[F.col(c).cast("double") for c in FEATURES])

@@ -95,10 +95,11 @@ def stat_scores(seq: DataFrame) -> DataFrame:
     return seq.join(F.broadcast(profile(seq))).withColumn("stat_score", total).drop("means", "stds", "samples")  # one row of figures
 
 
-def ensemble(seq: DataFrame, global_model: bool = False, drift: bool = False) -> DataFrame:
-    """Alerts from component scores ``lr_score, gbdt_score, behavior_score, stat_score, path_score, isolation_score``. Rows without a nameable type go."""
-    whole = sum(ENSEMBLE.values())
-    base = " + ".join(f"{k}_score * {w / whole * 0.7!r}D" for k, w in ENSEMBLE.items())
+def ensemble(seq: DataFrame, global_model: bool = False, drift: bool = False, weights: dict[str, float] | None = None) -> DataFrame:
+    """Alerts from component scores ``lr_score, gbdt_score, behavior_score, stat_score, path_score, isolation_score``. Rows without a nameable type go. ``weights``: learned ones in place of the fixed."""
+    weights = weights or ENSEMBLE
+    whole = sum(weights.values())
+    base = " + ".join(f"{k}_score * {weights[k] / whole * 0.7!r}D" for k in ENSEMBLE)
     limit = 0.55 * (0.8 if drift else 1.0) * (0.85 if global_model else 1.0)
     seq = seq.withColumn("probability", F.expr(f"least(1.0D, {base} + isolation_score * 0.15D + gbdt_score * 0.15D)"))
     rule = f"probability >= {limit!r}D" + ("" if global_model else " or " + " or ".join(f"({r})" for r in ML_RULES))

@@ -234,6 +234,44 @@ def bottom_k(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
 
 
+#: Parts that a group's rows are dealt over before its sketch is merged.
+PARTS = 64
+
+
+def sketches(rows: DataFrame, groups: list[str], key: str, k: int, seed: int = 42) -> DataFrame:
+    """A bottom-k sketch of each group: its ``k`` rows of lowest seeded digest (column ``digest``), a uniform sample that is the same in every run. Groups are dealt over PARTS parts by the digest first, so a group of any size is never one task's."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    marked = rows.withColumn("digest", digest).withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(PARTS)))
+    return lowest(lowest(marked, [*groups, "part"], key, k).drop("part"), groups, key, k)
+
+
+def lowest(rows: DataFrame, groups: list[str], key: str, k: int) -> DataFrame:
+    order = Window.partitionBy(*groups).orderBy("digest", key)
+    return rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
+
+
+def merged(one: DataFrame, other: DataFrame, groups: list[str], key: str, k: int) -> DataFrame:
+    """The sketch of both tables' rows together, from their sketches alone; rows that both hold count once."""
+    return lowest(one.unionByName(other).dropDuplicates([*groups, key]), groups, key, k)
+
+
+def service(samples: DataFrame, limit: float = 0.05) -> DataFrame:
+    """``samples(feature, x, recent)``: distance and p-value of each feature's recent rows, and whether they drift."""
+    return two_sample_ks(samples).withColumn("drift", F.col("p_value") < limit)
+
+
+def rate_shift(rows: DataFrame, least: float = 0.1) -> DataFrame:
+    """``rows(label, recent)``: share of frauds before and lately, and ``drift`` where they differ by more than ``least``. One row."""
+    share = lambda c: F.coalesce(F.avg(F.when(c, F.col("label").cast("double"))), F.lit(0.0))
+    return rows.agg(share(~F.col("recent")).alias("before"), share(F.col("recent")).alias("after")).withColumn("drift", F.abs(F.col("after") - F.col("before")) > least)
+
+
+def drift_events(shifts: DataFrame) -> DataFrame:
+    """``shifts(w, score)`` of windows that drift as rows of the event table: id, window, score, severity and what it asks for."""
+    graded = shifts.filter("drift").select(F.sha2(F.concat(F.lit("mean_shift|"), F.col("w").cast("string")), 256).alias("event_id"), F.col("w").alias("window"), "score", F.expr("case when score >= 1.0 then 'CRITICAL' when score >= 0.7 then 'SEVERE' when score >= 0.5 then 'MODERATE' else 'MINOR' end").alias("severity"))
+    return repair(graded, 0.55)
+
+
 def repair(events: DataFrame, threshold: float) -> DataFrame:
     """What each drift event asks for: raise the threshold, retrain, both, or rules only."""
     return events.select(

@@ -62,9 +62,9 @@ def path_lengths(tree: dict, x: np.ndarray, depth: int = 0) -> np.ndarray:
     return out
 
 
-def isolation_forest(rows: DataFrame, column: str = "features", key: str = "account_id", seed: int = 42) -> list[dict]:
+def isolation_forest(rows: DataFrame, column: str = "features", keys: tuple[str, ...] = ("account_id", "session"), seed: int = 42) -> list[dict]:
     """Trees on a sample of RESERVOIR rows of lowest seeded hash; the bound is the sample's, whatever the table."""
-    sample = rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(RESERVOIR).select(column).toPandas()[column]
+    sample = rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(RESERVOIR).select(column).toPandas()[column]
     x, rng = np.array(sample.tolist(), dtype=float), np.random.default_rng(seed)
     size = min(SUBSAMPLE, len(x))
     return [grow(x[rng.choice(len(x), size, replace=False)], rng, int(np.ceil(np.log2(max(2, size))))) for _ in range(TREES)]

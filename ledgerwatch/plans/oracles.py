@@ -264,6 +264,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT account, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) END, 6) AS clustering FROM d LEFT JOIN t USING (account)""",
         "khop_counts": with_(TX, GRAPH) + """, u AS (SELECT src, dst FROM gp UNION SELECT dst, src FROM gp), h AS (SELECT DISTINCT src AS seed, src AS account, 0 AS hops FROM u UNION ALL SELECT src, dst, 1 FROM u UNION ALL SELECT DISTINCT a.src, b.dst, 2 FROM u a JOIN u b ON a.dst = b.src),
             m AS (SELECT seed, account, min(hops) AS hops FROM h GROUP BY 1, 2) SELECT seed, CAST(hops AS BIGINT) AS hops, count(*) AS accounts FROM m GROUP BY 1, 2""",
+        "gnn_features": with_(SEQS, GRAPH) + """, s AS (SELECT DISTINCT account_id, session FROM sq),
+            nb AS (SELECT s.account_id, s.session, q.name_dest AS party, sum(q.amount) AS amount FROM s JOIN sq q ON q.account_id = s.account_id AND q.session <= s.session GROUP BY 1, 2, 3),
+            mt AS (SELECT account_id, session, party, count(*) AS c FROM (SELECT account_id, session, i, name_orig AS party FROM sq UNION SELECT account_id, session, i, name_dest FROM sq) GROUP BY 1, 2, 3),
+            ns AS (SELECT nb.account_id, nb.session, count(*) AS n, avg(amount) AS mean, sqrt(greatest(avg(amount * amount) - avg(amount) ^ 2, 0)) AS std, avg(CASE WHEN amount > 50000 THEN 0.3 WHEN amount > 20000 THEN 0.2 WHEN amount > 10000 THEN 0.1 ELSE 0 END + CASE WHEN c >= 5 THEN 0.2 WHEN c >= 3 THEN 0.1 ELSE 0 END) AS risk
+              FROM nb LEFT JOIN mt ON mt.account_id = nb.account_id AND mt.session = nb.session AND mt.party = nb.party GROUP BY 1, 2),
+            cb AS (SELECT s.account_id, s.session, count(DISTINCT q.ip_segment) + count(DISTINCT q.device_id) AS c FROM s JOIN sq q ON q.account_id = s.account_id AND q.session <= s.session GROUP BY 1, 2),
+            bt AS (SELECT account_id, session, coalesce(sum(amount) FILTER (type = 'TRANSFER'), 0) AS went, coalesce(sum(amount) FILTER (type <> 'TRANSFER'), 0) AS came, count(DISTINCT name_orig) + count(DISTINCT name_dest) AS parties FROM sq GROUP BY 1, 2),
+            u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM gp), e2 AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), dg AS (SELECT a AS account_id, count(*) AS degree FROM e2 GROUP BY 1),
+            tr AS (SELECT x.a AS account_id, count(*) // 2 AS triangles FROM e2 x JOIN e2 y ON y.a = x.b JOIN e2 z ON z.a = y.b AND z.b = x.a GROUP BY 1),
+            ct AS (SELECT account_id, CASE WHEN degree < 2 THEN 0 ELSE 2.0 * coalesce(triangles, 0) / (degree * (degree - 1)) END AS clustering FROM dg LEFT JOIN tr USING (account_id))
+            SELECT account_id, CAST(session AS BIGINT) AS session, round(least(1.0, n / 20.0), 6) AS neighbor_degree, round(mean / 10000, 6) AS neighbor_amount_mean, round(std / 10000, 6) AS neighbor_amount_std, round(risk, 6) AS neighbor_tier_risk, round(least(1.0, c / 10.0), 6) AS community_attributes,
+            round(CAST(coalesce(clustering, 0) AS DOUBLE), 6) AS clustering, round(CASE WHEN went + came > 0 THEN 2 * least(went, came) / (went + came) ELSE 0 END * least(1.0, parties / 10.0), 6) AS betweenness, CAST(1 AS DOUBLE) AS embedding_norm
+            FROM ns JOIN cb USING (account_id, session) JOIN bt USING (account_id, session) LEFT JOIN ct USING (account_id)""",
+        "drift_service": with_(TX, SAMPLES) + """, kn AS (SELECT feature, count(*) FILTER (NOT recent) AS nh, count(*) FILTER (recent) AS nr FROM sm GROUP BY 1), kc AS (SELECT feature, x, count(*) FILTER (NOT recent) AS h, count(*) FILTER (recent) AS r FROM sm GROUP BY 1, 2),
+            ku AS (SELECT feature, sum(h) OVER w AS h, sum(r) OVER w AS r FROM kc WINDOW w AS (PARTITION BY feature ORDER BY x)), kd AS (SELECT feature, max(abs(r / nr - h / nh)) AS ks, max(nr) AS nr, max(nh) AS nh FROM ku JOIN kn USING (feature) GROUP BY 1),
+            kl AS (SELECT feature, ks, (sqrt(nr * nh / (nr + nh)) + 0.12 + 0.11 / sqrt(nr * nh / (nr + nh))) * ks AS lam FROM kd),
+            kp AS (SELECT feature, ks, CASE WHEN lam < 0.2 THEN 1 ELSE greatest(0, least(1, 2 * (SELECT sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) t(k)))) END AS p FROM kl)
+            SELECT feature, round(ks, 6) AS ks, round(CAST(p AS DOUBLE), 6) AS p_value, p < 0.05 AS drift FROM kp""",
+        "drift_half_cuts": with_(TX, SAMPLES) + """, r AS (SELECT feature AS series, x, row_number() OVER (PARTITION BY feature ORDER BY tx_id) - 1 AS i FROM sm),
+            w AS (SELECT series, i // 100 AS "window", count(*) AS n, avg(x) FILTER (i % 100 < 50) AS before, avg(x) FILTER (i % 100 >= 50) AS after, max(abs(x)) AS top FROM r GROUP BY 1, 2)
+            SELECT series, "window", round(before, 6) AS before, round(after, 6) AS after, top > 0 AND abs(after - before) > 0.05 * top AS drift FROM w WHERE n = 100""",
+        "drift_fraud_rate": with_(TX, SAMPLES) + ", r AS (SELECT coalesce(avg(is_fraud) FILTER (tx_id < m - m // 10), 0) AS before, coalesce(avg(is_fraud) FILTER (tx_id >= m - m // 10), 0) AS after FROM tx, mx) SELECT round(before, 6) AS before, round(after, 6) AS after, abs(after - before) > 0.1 AS drift FROM r",
+        "samples_by_type": tx + "SELECT type, hour, tx_id, round(amount, 6) AS amount FROM (SELECT *, event_ms // 3600000 AS hour, row_number() OVER (PARTITION BY type, event_ms // 3600000 ORDER BY md5('42:' || tx_id), tx_id) AS rn FROM tx) WHERE rn <= 5",
         "graph_chain_depth": with_(TX, GRAPH) + "SELECT account, CAST(depth AS BIGINT) AS depth FROM gh",
         "graph_scatter": with_(TX, GRAPH) + "SELECT src AS account, 'out' AS direction, count(*) AS n, count(DISTINCT dst) AS others, round(sum(amount), 6) AS amount FROM ge GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT dst) >= 2 UNION ALL SELECT dst, 'in', count(*), count(DISTINCT src), round(sum(amount), 6) FROM ge GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT src) >= 2",
         "graph_counts": with_(TX, GRAPH) + "SELECT (SELECT count(*) FROM gd) AS nodes, (SELECT count(*) FROM ge) AS edges",
@@ -283,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
         "ablation_real": with_(ALERTS, SEQ, FEAT, GRAPH, STATS, SCORED, ML, COMMUNITY, ACCOUNTS, GRAPH_ALERT) + """, la AS (SELECT name_orig AS account_id, CAST(sum(is_fraud) >= 4 AS INTEGER) AS label FROM tx GROUP BY 1), hb AS (SELECT account_id, max(CASE WHEN source LIKE 'CEP%' THEN 1 ELSE 0 END) AS c1, max(CASE WHEN source LIKE 'SQL%' THEN 1 ELSE 0 END) AS c2 FROM alerts GROUP BY 1),
             v AS (SELECT label, coalesce(c1, 0) + 2 * coalesce(c2, 0) + CASE WHEN account_id IN (SELECT account FROM ga) THEN 4 ELSE 0 END + CASE WHEN account_id IN (SELECT account_id FROM ma WHERE fraud_type IS NOT NULL) THEN 8 ELSE 0 END AS bits FROM la LEFT JOIN hb USING (account_id))
             SELECT layers, count(*) FILTER (bits & layers <> 0 AND label = 1) AS tp, count(*) FILTER (bits & layers <> 0 AND label = 0) AS fp, count(*) FILTER (bits & layers = 0 AND label = 0) AS tn, count(*) FILTER (bits & layers = 0 AND label = 1) AS fn FROM v, range(1, 16) r(layers) GROUP BY 1""",
-        "latency_percentiles": "WITH v AS (SELECT l_returnflag, list(CAST(l_quantity * 10 AS BIGINT) ORDER BY CAST(l_quantity * 10 AS BIGINT)) AS x, count(*) AS n FROM lineitem GROUP BY 1) SELECT l_returnflag, n, x[1] AS least, x[-1] AS most, round(list_avg(x), 6) AS mean, " + ", ".join(f"x[least(CAST(floor(n * {p}) AS BIGINT), n - 1) + 1] AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + " FROM v",
+        "latency_percentiles": with_(TX, CEP) + ", v AS (SELECT pattern, list(last_ms - t.event_ms ORDER BY last_ms - t.event_ms) AS x, count(*) AS n FROM cep JOIN tx t USING (tx_id) GROUP BY 1) SELECT pattern, n, x[1] AS least, x[-1] AS most, round(list_avg(x), 6) AS mean, " + ", ".join(f"x[least(CAST(floor(n * {p}) AS BIGINT), n - 1) + 1] AS p{int(p * 100)}" for p in (0.5, 0.9, 0.95, 0.99)) + " FROM v",
         "throughput": tx + ", m AS (SELECT event_ms // 60000 * 60000 AS minute_ms, count(*) AS n FROM tx GROUP BY 1) SELECT minute_ms, n AS per_1m, (SELECT CAST(sum(n) AS BIGINT) FROM m b WHERE b.minute_ms BETWEEN a.minute_ms - 240000 AND a.minute_ms) AS per_5m, (SELECT CAST(sum(n) AS BIGINT) FROM m b WHERE b.minute_ms BETWEEN a.minute_ms - 840000 AND a.minute_ms) AS per_15m FROM m a",
         "serve_totals": al + "SELECT round(a, 2) AS fraud_total, round(b, 2) AS normal_total, round(a + b, 2) AS grand_total FROM (SELECT (SELECT sum(amount) FROM alerts) AS a, (SELECT sum(amount) FROM tx WHERE is_fraud = 0) AS b)",
         "serve_traffic": al + "SELECT slot, CAST((60 - (119 - slot) + 86400) % 86400 AS BIGINT) AS second, (SELECT count(*) FROM tx WHERE is_fraud = 0 AND (event_ms + 28800000) // 1000 % 86400 = (60 - (119 - slot) + 86400) % 86400) AS normal, (SELECT count(*) FROM alerts WHERE (event_ms + 28800000) // 1000 % 86400 = (60 - (119 - slot) + 86400) % 86400) AS fraud FROM range(0, 120) r(slot)",
@@ -317,6 +340,9 @@ def oracle_sql() -> dict[str, str]:
         "serve_before_hour": al + "SELECT count(*) AS cnt FROM alerts WHERE transaction_hour <= 8",
     }
     out |= later(out, tx, al, seqs)
+    out["serve_drift_events"] = f"""SELECT sha256('mean_shift|' || w) AS event_id, w AS "window", round(score, 6) AS score, CASE WHEN score >= 1.0 THEN 'CRITICAL' WHEN score >= 0.7 THEN 'SEVERE' WHEN score >= 0.5 THEN 'MODERATE' ELSE 'MINOR' END AS severity,
+        CASE WHEN score >= 1.0 THEN 'RULES_ONLY' WHEN score >= 0.7 THEN 'RETRAIN_AND_THRESHOLD' WHEN score >= 0.5 THEN 'RETRAIN_RECENT' ELSE 'RAISE_THRESHOLD' END AS action, CASE WHEN score < 0.5 THEN 0.5775 ELSE 0.55 END AS threshold
+        FROM ({out['drift_mean_shift']}) WHERE drift ORDER BY w DESC LIMIT 30"""
     return out
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import api, explain, features, scalar, scores
-from ..operators import drift, evaluate, feedback, fusion, graph, joins, serving, training, windows
+from ..operators import drift, evaluate, feedback, fusion, graph, joins, models, serving, training, windows
 from ..sources import ingest, sinks
 from ..sources.adapter import transactions
-from . import detect, patterns
+from ..tables import run_dir, stored
+from . import detect, patterns, served
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW_MS = 1704153600000
@@ -325,8 +327,9 @@ def ablation_real(spark, sf):
 
 
 def latency_percentiles(spark, sf):
-    o = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", F.expr("cast(l_quantity * 10 as bigint)").alias("v"))
-    return rounded(windows.latency_percentiles(o, "l_returnflag", "v"))
+    """How long each pattern takes from its first event to its last."""
+    a = patterns.alerts(transactions(spark, sf)).select("pattern", (F.col("last_ms") - F.col("event_ms")).alias("took_ms"))
+    return rounded(windows.latency_percentiles(a, "pattern", "took_ms"))
 
 
 def throughput(spark, sf):
@@ -334,34 +337,34 @@ def throughput(spark, sf):
 
 
 def serving_of(fn, name=None) -> Query:
-    return lambda spark, sf: fn(detect.rule_alerts(transactions(spark, sf)))
+    return lambda spark, sf: fn(served.alerts(spark, sf))
 
 
 def serve_totals(spark, sf):
     tx = transactions(spark, sf)
-    return serving.total_amounts(detect.rule_alerts(tx), fusion.normal_rows(tx))
+    return serving.total_amounts(served.alerts(spark, sf), fusion.normal_rows(tx))
 
 
 def serve_traffic(spark, sf):
     tx = transactions(spark, sf)
-    return rounded(serving.traffic(fusion.sink_rows(detect.rule_alerts(tx)), fusion.normal_rows(tx), now=60))
+    return rounded(serving.traffic(fusion.sink_rows(served.alerts(spark, sf)), fusion.normal_rows(tx), now=60))
 
 
 def serve_recent(spark, sf):
-    return rounded(serving.recent(detect.rule_alerts(transactions(spark, sf))).select("alert_id", "account_id", "confidence", "event_ms"))
+    return rounded(serving.recent(served.alerts(spark, sf)).select("alert_id", "account_id", "confidence", "event_ms"))
 
 
 def serve_search(spark, sf):
-    return rounded(serving.search(detect.rule_alerts(transactions(spark, sf)), fraud_type="链式", source="SQL", least=0.7, offset=20, limit=50).select("alert_id", "account_id", "confidence"))
+    return rounded(serving.search(served.alerts(spark, sf), fraud_type="链式", source="SQL", least=0.7, offset=20, limit=50).select("alert_id", "account_id", "confidence"))
 
 
 def serve_kpis(spark, sf):
     tx = transactions(spark, sf)
-    return rounded(serving.kpis(tx, detect.rule_alerts(tx)))
+    return rounded(serving.kpis(tx, served.alerts(spark, sf)))
 
 
 def feedback_rows(spark, sf):
-    return detect.rule_alerts(transactions(spark, sf)).select("alert_id", "fraud_type", "source", "city", "device_id", F.expr("case conv(substring(alert_id, 1, 2), 16, 10) % 5 when 0 then 'FALSE_POSITIVE' when 1 then 'INCORRECT_TYPE' else 'CONFIRMED_FRAUD' end").alias("feedback_type"), F.concat("fraud_type", F.lit(" ok "), "source").alias("comment"))
+    return served.alerts(spark, sf).select("alert_id", "fraud_type", "source", "city", "device_id", F.expr("case conv(substring(alert_id, 1, 2), 16, 10) % 5 when 0 then 'FALSE_POSITIVE' when 1 then 'INCORRECT_TYPE' else 'CONFIRMED_FRAUD' end").alias("feedback_type"), F.concat("fraud_type", F.lit(" ok "), "source").alias("comment"))
 
 
 def feedback_stats(spark, sf):
@@ -382,11 +385,11 @@ def retrain_trigger(spark, sf):
 
 
 def review_queue_topk(spark, sf):
-    return rounded(feedback.review_queue(detect.rule_alerts(transactions(spark, sf))).select("alert_id", "account_id", "priority"))
+    return rounded(feedback.review_queue(served.alerts(spark, sf)).select("alert_id", "account_id", "priority"))
 
 
 def feedback_backfill(spark, sf):
-    tx = detect.rule_alerts(transactions(spark, sf))
+    tx = served.alerts(spark, sf)
     f = fusion.distinct_alerts(tx).select("alert_id", F.lit(None).cast("string").alias("city"), F.when(F.substring("alert_id", 1, 1) < "8", F.lit("KNOWN")).alias("device_id"))
     return feedback.backfilled(f, fusion.distinct_alerts(tx)).groupBy("city", F.expr("device_id = 'KNOWN'").alias("known")).agg(F.count("*").alias("n"))
 
@@ -456,41 +459,42 @@ def risk_composite(spark, sf):
 
 
 def pattern_registry(spark, sf):
-    a = detect.rule_alerts(transactions(spark, sf))
+    a = served.alerts(spark, sf)
     return a.groupBy(explain.pattern_family(F.col("fraud_type")).alias("family")).agg(F.count("*").alias("n"))
 
 
 def alert_report(spark, sf):
-    return explain.report(detect.rule_alerts(transactions(spark, sf))).select("alert_id", "report")
+    return explain.report(served.alerts(spark, sf)).select("alert_id", "report")
 
 
 def pattern_described(spark, sf):
-    a = detect.rule_alerts(transactions(spark, sf)).groupBy("fraud_type").agg(F.count("*").alias("n"))
+    a = served.alerts(spark, sf).groupBy("fraud_type").agg(F.count("*").alias("n"))
     return explain.described(a).select("fraud_type", "pattern", "severity", "n")
 
 
 def serve_by_id(spark, sf):
-    a = detect.rule_alerts(transactions(spark, sf))
-    return rounded(serving.by_id(a, a.agg(F.min("alert_id")).first()[0]).select("alert_id", "account_id", "fraud_type", "confidence", "amount"))
+    a = served.alerts(spark, sf)
+    first = a.agg(F.min("alert_id").alias("wanted"))
+    return rounded(serving.recent(a.join(F.broadcast(first), F.col("alert_id") == F.col("wanted")), 1).select("alert_id", "account_id", "fraud_type", "confidence", "amount"))
 
 
 def serve_until_now(spark, sf):
     tx = transactions(spark, sf)
-    return serving.until_now(fusion.sink_rows(detect.rule_alerts(tx)), fusion.normal_rows(tx), "12:00:00")
+    return serving.until_now(fusion.sink_rows(served.alerts(spark, sf)), fusion.normal_rows(tx), "12:00:00")
 
 
 def serve_ml_count(spark, sf):
     tx = transactions(spark, sf)
-    return serving.count_like(detect.rule_alerts(tx).unionByName(detect.ml(tx)))
+    return serving.count_like(served.alerts(spark, sf).unionByName(detect.ml(tx)))
 
 
 def serve_enabled(spark, sf):
     toggles = spark.createDataFrame([("CEP", False), ("SQL", True), ("GRAPH", False)], "prefix string, enabled boolean")
-    return rounded(serving.recent(serving.enabled(detect.rule_alerts(transactions(spark, sf)), toggles)).select("alert_id", "account_id", "confidence", "event_ms"))
+    return rounded(serving.recent(serving.enabled(served.alerts(spark, sf), toggles)).select("alert_id", "account_id", "confidence", "event_ms"))
 
 
 def serve_between(spark, sf):
-    a = serving.between(detect.rule_alerts(transactions(spark, sf)), 1704074400000, 1704081600000)
+    a = serving.between(served.alerts(spark, sf), 1704074400000, 1704081600000)
     return rounded(serving.search(a, limit=100).select("alert_id", "account_id", "confidence", "event_ms"))
 
 
@@ -518,7 +522,7 @@ def serve_validation_latest(spark, sf):
 
 def reviews(spark, sf):
     """Feedback with the alert's hour and time, and a reviewer."""
-    a = detect.rule_alerts(transactions(spark, sf))
+    a = served.alerts(spark, sf)
     kind = F.expr("case conv(substring(alert_id, 1, 2), 16, 10) % 5 when 0 then 'FALSE_POSITIVE' when 1 then 'INCORRECT_TYPE' else 'CONFIRMED_FRAUD' end")
     return a.select("alert_id", "fraud_type", "transaction_hour", "event_ms", kind.alias("feedback_type"), F.concat(F.lit("R"), F.substring("alert_id", 3, 1)).alias("reviewer_id"))
 
@@ -556,7 +560,7 @@ def graph_shortest_ring(spark, sf):
 
 
 def alert_json(spark, sf):
-    return fusion.sink_json(detect.rule_alerts(transactions(spark, sf)))
+    return fusion.sink_json(served.alerts(spark, sf))
 
 
 def latest_upsert(spark, sf):
@@ -585,6 +589,62 @@ def sage_embedding(spark, sf):
     return training.sage(e, nodes).select("account", F.transform("embedding", lambda x: F.round(x, 6)).cast("string").alias("embedding"))
 
 
+def gnn_features(spark, sf):
+    """The eight neighbourhood features of every sequence."""
+    tx = transactions(spark, sf)
+    seq = features.with_neighbourhood(features.with_features(windows.sequences(tx)), graph.clustering(graph.edges(tx)))
+    return rounded(seq.select("account_id", "session", *features.NEIGHBOURHOOD))
+
+
+def drift_service(spark, sf):
+    return rounded(drift.service(samples(spark, sf)))
+
+
+def drift_half_cuts(spark, sf):
+    s = samples(spark, sf).select(F.col("feature").alias("series"), F.col("tx_id").alias("at"), "x")
+    return rounded(drift.half_cuts(s))
+
+
+def drift_fraud_rate(spark, sf):
+    s = samples(spark, sf).filter("feature = 'amount'").join(transactions(spark, sf).select("tx_id", F.col("is_fraud").alias("label")), "tx_id")
+    return rounded(drift.rate_shift(s.select("label", "recent")))
+
+
+def serve_drift_events(spark, sf):
+    s = samples(spark, sf)
+    first = s.agg(F.min("tx_id").alias("first"))
+    shifts = drift.mean_shift(s.join(F.broadcast(first)).select("feature", (F.col("tx_id") - F.col("first")).alias("at"), "x"))
+    return rounded(serving.newest(drift.drift_events(shifts), "window"))
+
+
+def samples_by_type(spark, sf):
+    """Five transactions of each type and hour, by seeded digest."""
+    t = transactions(spark, sf).select("tx_id", "type", F.expr("event_ms div 3600000").alias("hour"), "amount")
+    return rounded(drift.sketches(t, ["type", "hour"], "tx_id", 5).select("type", "hour", "tx_id", "amount"))
+
+
+def labelled(spark, sf):
+    return detect.scored_sequences(transactions(spark, sf)).withColumn("label", F.expr("array_max(transform(txs, x -> x.is_fraud))"))
+
+
+def trained(spark, sf):
+    """Sequences scored by a version of the model that was trained on two thirds of the accounts, stored, and loaded again."""
+    seq = stored(labelled(spark, sf).drop("lr_score", "gbdt_score", "isolation_score").withColumns({"lr_score": F.lit(0.0)}))
+    path = f"{run_dir(spark)}/models-{uuid.uuid4().hex}"
+    models.save(spark, path, 1, models.train(seq.filter("pmod(crc32(account_id), 3) <> 2")))
+    return seq, models.load(spark, path)
+
+
+def model_scores(spark, sf):
+    seq, parameters = trained(spark, sf)
+    return rounded(models.scored_with(seq, parameters).select("account_id", "session", "label", "lr_score", "gbdt_score", "behavior_score", "stat_score", "path_score", "isolation_score"))
+
+
+def model_alerts(spark, sf):
+    seq, parameters = trained(spark, sf)
+    return rounded(models.alerts(seq, parameters).select("account_id", "session", "fraud_type", "probability", "confidence"))
+
+
 def queries() -> dict[str, Query]:
     here = globals()
     plain = [
@@ -597,6 +657,7 @@ def queries() -> dict[str, Query]:
         "pattern_registry", "alert_report", "latest_upsert", "retrain", "isolation", "sage_embedding",
         "pattern_described", "serve_by_id", "serve_until_now", "serve_ml_count", "serve_enabled", "serve_between", "serve_feedback_totals", "serve_training_history", "serve_drift_history", "serve_validation_latest",
         "feedback_profile", "feedback_recent", "threshold_best", "fraud_buffer", "drift_vote", "graph_shortest_ring", "alert_json", "drift_mean_shift", "graph_fund_chains", "graph_path",
+        "gnn_features", "drift_service", "drift_half_cuts", "drift_fraud_rate", "serve_drift_events", "samples_by_type", "model_scores", "model_alerts",
         "graph_cycles", "graph_clustering", "graph_chain_paths", "khop_counts",
     ]
     out: dict[str, Query] = {f"cep_{p.name}": one_pattern(p) for p in patterns.PATTERNS}

@@ -26,17 +26,58 @@ def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
     return newest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
-def upsert_batch(path: str, keys: list[str]):
-    """A ``foreachBatch`` function. Each batch writes its own directory, named by its id, so a repeated batch replaces itself; readers keep a key's newest row."""
+def upsert_batch(path: str, keys: list[str], order: list[str] | None = None):
+    """A ``foreachBatch`` function of a keyed table. Each batch writes its own directory, named by its id, so a repeated batch replaces itself; readers keep a key's newest row.
+
+    Of rows of one key in one batch the last by ``order`` stays (ties: by the row's hash), so which one wins is never left to chance.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        others = [c for c in batch.columns if c not in keys]
+        rank = F.struct(*[F.col(c) for c in order or []], F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in others or keys]))
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*others), rank).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in others]) if others else batch.distinct()
+        newest.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def _parts(spark: SparkSession, path: str, kind: str) -> dict[int, str]:
+    """Finished directories ``<kind>=<number>`` under ``path``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}=*/_SUCCESS")) or []
+    names = [f.getPath().getParent().getName() for f in found]
+    return {int(n.split("=")[1]): f"{path}/{n}" for n in names}
+
+
+def _current(spark: SparkSession, path: str) -> list[str]:
+    """The newest compacted base and the batches after it."""
+    bases, batches = _parts(spark, path, "base"), _parts(spark, path, "batch")
+    upto = max(bases, default=-1)
+    return ([bases[upto]] if bases else []) + [p for n, p in sorted(batches.items()) if n > upto]
+
+
 def read_upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    return latest(spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch"), keys, "_batch").drop("_batch")
+    """The newest row of each key. A table that is one compacted base is read as it lies."""
+    now = _current(spark, path)
+    if not now:
+        raise FileNotFoundError(f"no finished batch under {path}")
+    rows = spark.read.option("mergeSchema", "true").parquet(*now)
+    return (rows if len(now) == 1 else latest(rows, keys, "_batch")).drop("_batch")
+
+
+def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Write all batches so far as one base. A reader takes a base when it is finished; what it replaces goes at the next compaction, so that readers that began before can end."""
+    batches, bases = _parts(spark, path, "batch"), _parts(spark, path, "base")
+    upto, old = max(batches, default=-1), max(bases, default=-1)
+    if upto <= old:
+        return
+    spark.read.option("mergeSchema", "true").parquet(*_current(spark, path)).transform(lambda d: latest(d, keys, "_batch")).write.mode("overwrite").parquet(f"{path}/base={upto}")
+    root = spark._jvm.org.apache.hadoop.fs.Path
+    system = root(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n, p in [*batches.items(), *bases.items()]:
+        if n <= old and p != bases.get(old):
+            system.delete(root(p), True)
 
 
 def write_kafka(alerts: DataFrame, servers: str, topic: str, checkpoint: str):
@@ -54,9 +95,10 @@ def save_parameters(spark: SparkSession, path: str, version: int, parameters: di
     spark.createDataFrame([(version, json.dumps(parameters, sort_keys=True))], "version int, parameters string").coalesce(1).write.mode("error").json(f"{path}/version={version}")
 
 
-def load_parameters(spark: SparkSession, path: str) -> dict:
-    row = spark.read.schema("version int, parameters string").json(f"{path}/version=*").orderBy(F.col("version").desc()).first()
-    return json.loads(row["parameters"])
+def load_parameters(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    """A version's parameters, the newest unless named."""
+    rows = spark.read.schema("version int, parameters string").json(f"{path}/version={'*' if version is None else version}")
+    return json.loads(rows.orderBy(F.col("version").desc()).first()["parameters"])
 
 
 def create_tables(spark: SparkSession, schemas: dict) -> None:
