@@ -82,6 +82,12 @@ def confidence_words(c) -> Column:
     return F.when(c >= 0.95, "极高").when(c >= 0.85, "很高").when(c >= 0.75, "较高").when(c >= 0.60, "中等").otherwise("较低")
 
 
+def two_digits(c) -> Column:
+    """A number of zero or more with two digits after the point, halves up."""
+    n = F.floor(c * 100 + 0.5)
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
 def amount_words(c) -> Column:
     """Amounts from 10 000 on in units of ten thousand."""
-    return F.when(c >= 10000, F.concat(F.format_string("%.2f", c / 10000), F.lit("万元"))).otherwise(F.concat(F.format_string("%.2f", c), F.lit("元")))
+    return F.when(c >= 10000, F.concat(two_digits(c / 10000), F.lit("万元"))).otherwise(F.concat(two_digits(c), F.lit("元")))

@@ -230,8 +230,8 @@ def two_sample_ks(samples: DataFrame) -> DataFrame:
 
 
 def bottom_k(rows: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """A uniform sample of ``k`` rows that is the same in every run: those of lowest seeded hash."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(k)
+    """A uniform sample of ``k`` rows that is the same in every run: those of lowest seeded digest."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(k)
 
 
 #: Parts that a group's rows are dealt over before its sketch is merged.

@@ -44,6 +44,25 @@ def review_queue(alerts: DataFrame, k: int = 100) -> DataFrame:
     return alerts.withColumn("priority", weight * F.col("confidence")).orderBy(F.col("priority").desc(), "alert_id").limit(k)
 
 
+def review_states(alerts: DataFrame, actions: DataFrame) -> DataFrame:
+    """Where each alert stands in review: ``alerts(alert_id, event_ms)``, ``actions(alert_id, action, at_ms)`` with actions TAKEN, RELEASED and RESOLVED.
+
+    The last action decides (at one time: RESOLVED, then RELEASED, then TAKEN): PENDING, IN_REVIEW or RESOLVED. ``waited_ms`` runs from the alert to the first TAKEN, ``handled_ms`` to the last RESOLVED; both are null until then. Only aggregates of an alert's
+    actions are joined, so an alert with any number of actions is one row.
+    """
+    rank = F.expr("case action when 'RESOLVED' then 3 when 'RELEASED' then 2 else 1 end")
+    time = lambda kind: F.when(F.col("action") == kind, F.col("at_ms"))
+    last = actions.groupBy("alert_id").agg(F.max_by("action", F.struct("at_ms", rank.alias("rank"))).alias("last"), F.min(time("TAKEN")).alias("taken"), F.max(time("RESOLVED")).alias("resolved"), F.count("*").alias("actions"))
+    state = F.expr("case last when 'RESOLVED' then 'RESOLVED' when 'TAKEN' then 'IN_REVIEW' else 'PENDING' end")
+    joined = alerts.select("alert_id", "event_ms").join(last, "alert_id", "left")
+    return joined.select("alert_id", state.alias("state"), (F.col("taken") - F.col("event_ms")).alias("waited_ms"), F.when(state == "RESOLVED", F.col("resolved") - F.col("event_ms")).alias("handled_ms"), F.coalesce("actions", F.lit(0)).alias("actions"))
+
+
+def review_load(states: DataFrame) -> DataFrame:
+    """Alerts, and mean waiting and handling time, by state."""
+    return states.groupBy("state").agg(F.count("*").alias("n"), F.avg("waited_ms").alias("waited_ms"), F.avg("handled_ms").alias("handled_ms"))
+
+
 def retrain_due(overall: DataFrame, by_type: DataFrame) -> DataFrame:
     """Whether feedback asks for a new model, and why."""
     worst = by_type.filter("total >= 10").agg(F.coalesce(F.max("fpr"), F.lit(0.0)).alias("worst_type"))

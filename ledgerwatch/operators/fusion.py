@@ -3,34 +3,35 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import sessions
+
 GAP_MS = 60_000
 
 
 def enrich(alerts: DataFrame) -> DataFrame:
-    """Running hits, edges and volume of an account's session (alerts at most a minute apart) raise an alert's confidence."""
-    order = Window.partitionBy("account_id").orderBy("event_ms", "alert_id")
-    new = F.coalesce((F.col("event_ms") - F.lag("event_ms").over(order) > GAP_MS).cast("int"), F.lit(1))
-    a = alerts.withColumn("new", new).withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    upto = Window.partitionBy("account_id", "session").orderBy("event_ms", "alert_id").rowsBetween(Window.unboundedPreceding, 0)
-    hits = lambda s: F.sum(F.col("source").contains(s).cast("int")).over(upto)
+    """Running hits, edges and volume of an account's session (alerts at most a minute apart) raise an alert's confidence.
+
+    Sums run inside slices of time; what a session has gathered before a slice is carried over from one row a slice, so an account that never stops alerting is many windows.
+    """
+    a = sessions(alerts, "account_id", "alert_id", GAP_MS)
     path = F.coalesce("behavior_path", F.lit(""))
     volume = F.coalesce(F.regexp_extract("details", r"(?:amountA|totalIn):\s*([0-9.eE+-]+)", 1).try_cast("double"), F.lit(0.0))
-    a = a.withColumns(
-        {
-            "cep_hits": hits("CEP"),
-            "sql_hits": hits("SQL"),
-            "ml_hits": hits("ML"),
-            "edges": F.sum((path.contains("->") | path.contains("→")).cast("int")).over(upto),
-            "volume": F.sum(F.greatest(volume, F.lit(0.0))).over(upto),
-        }
-    )
+    hit = lambda s: F.col("source").contains(s).cast("long")
+    each = {"cep_hits": hit("CEP"), "sql_hits": hit("SQL"), "ml_hits": hit("ML"), "edges": (path.contains("->") | path.contains("→")).cast("long"), "volume": F.greatest(volume, F.lit(0.0))}
+    part = ["account_id", "session", "slice"]
+    own = Window.partitionBy(*part).orderBy("event_ms", "alert_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("account_id", "session").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    a = a.withColumns(each)
+    carried = a.groupBy(*part).agg(*[F.sum(c).alias(c) for c in each]).select(*part, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in each])
+    a = a.withColumns({c: F.sum(c).over(own) for c in each}).join(carried, part)
+    a = a.withColumns({c: F.col(c) + F.col(f"_{c}") for c in each}).drop(*[f"_{c}" for c in each])
     bonus = F.expr(
         """least(0.15D, (cep_hits + sql_hits + ml_hits) * 0.05D) + case when edges >= 3 then 0.10D when edges >= 1 then 0.05D else 0.0D end
         + case when volume >= 50000 then 0.10D when volume >= 20000 then 0.05D else 0.0D end
         + if(cep_hits >= 1 and ml_hits >= 1, 0.08D, 0.0D) + if(sql_hits >= 1 and edges >= 2, 0.08D, 0.0D)"""
     )
     a = a.withColumn("confidence", F.least(F.lit(1.0), F.round(F.col("confidence") + bonus, 9))).withColumn("source", F.concat("source", F.lit("_ENRICHED")))
-    return a.withColumn("risk_level", enriched_risk()).drop("new")
+    return a.withColumn("risk_level", enriched_risk()).drop("slice")
 
 
 def enriched_risk():

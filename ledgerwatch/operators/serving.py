@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Names of the dashboard's groups and their bounds.
 FAMILIES = [("在线模型识别", "在线模型识别"), ("集成模型", "集成模型未知异常"), ("路径频率", "路径频率模型识别"), ("高置信", "高置信集成模型欺诈"), ("图模型", "图模型多目标分散"), ("时序模型", "时序模型夜间不规律"), ("统计画像", "统计画像偏离欺诈")]
 CONFIDENCE = "case when confidence >= 0.9 then '高危(>90%)' when confidence >= 0.7 then '中危(70-90%)' else '低危(<70%)' end"
 AMOUNT = "case when amount >= 100000 then '10万以上' when amount >= 50000 then '5-10万' when amount >= 10000 then '1-5万' when amount >= 1000 then '1千-1万' else '1千以下' end"

@@ -41,22 +41,31 @@ def duplicated(tx: DataFrame) -> DataFrame:
 SEQ_FIELDS = ["event_ms", "tx_id", "amount", "type", "name_orig", "name_dest", "city", "device_id", "pay_channel", "transaction_hour", "device_risk_level", "is_abroad", "oldbalance_org", "ip_segment", "is_fraud", "fraud_type"]
 
 
+def sessions(rows: DataFrame, key: str, order: str, gap_ms: int, slice_ms: int = HOUR) -> DataFrame:
+    """``rows`` with ``slice`` and ``session``: sessions of a key, from 1, end where the next row comes more than ``gap_ms`` later. Rows at one time are in order of ``order``.
+
+    A key's rows are cut into slices of time, each a window of its own, so that a busy key is spread over as many tasks as it has slices. What is open at a slice's ends is stitched from one summary row a
+    slice: its first and last time and the sessions that begin inside.
+    """
+    cut = [key, "slice"]
+    rows = rows.withColumn("slice", F.expr(f"event_ms div {slice_ms}"))
+    ordered = Window.partitionBy(*cut).orderBy("event_ms", order)
+    rows = rows.withColumn("_new", F.coalesce((F.col("event_ms") - F.lag("event_ms").over(ordered) > gap_ms).cast("long"), F.lit(0)))
+    rows = rows.withColumn("_inner", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(*cut).agg(F.min("event_ms").alias("_lo"), F.max("event_ms").alias("_hi"), F.max("_inner").alias("_begun"))
+    over = Window.partitionBy(key).orderBy("slice")
+    opens = F.coalesce((F.col("_lo") - F.lag("_hi").over(over) > gap_ms).cast("long"), F.lit(1))
+    ends = ends.withColumn("_opens", opens).withColumn("_before", F.sum(F.col("_opens") + F.col("_begun")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_begun"))
+    return rows.join(ends.select(*cut, "_before"), cut).withColumn("session", F.col("_before") + F.col("_inner")).drop("_new", "_inner", "_before")
+
+
 def sequences(tx: DataFrame, gap_ms: int = 60_000, longest: int = 10, slice_ms: int = HOUR) -> DataFrame:
     """Behaviour sequences: every session of a tracked account without a gap above ``gap_ms``, at least two transactions, the last ``longest`` of them in order.
 
-    An account's rows are cut into slices of time, each a window of its own, so that a busy account is spread over as many tasks as it has slices. What is open at a slice's ends is stitched from one summary row a
-    slice: its first and last time and the sessions that begin inside. Of a session only its last rows in each slice go on to be collected, so an account that never pauses stays bounded.
+    Of a session only its last rows in each slice go on to be collected, so an account that never pauses stays bounded.
     """
     account, cut = F.col("tracking_account"), ["tracking_account", "slice"]
-    rows = duplicated(tx).select("tracking_account", *SEQ_FIELDS).withColumn("slice", F.expr(f"event_ms div {slice_ms}"))
-    order = Window.partitionBy(*cut).orderBy("event_ms", "tx_id")
-    rows = rows.withColumn("new", F.coalesce((F.col("event_ms") - F.lag("event_ms").over(order) > gap_ms).cast("long"), F.lit(0)))
-    rows = rows.withColumn("inner", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = rows.groupBy(*cut).agg(F.min("event_ms").alias("lo"), F.max("event_ms").alias("hi"), F.max("inner").alias("begun"))
-    over = Window.partitionBy("tracking_account").orderBy("slice")
-    opens = F.coalesce((F.col("lo") - F.lag("hi").over(over) > gap_ms).cast("long"), F.lit(1))
-    ends = ends.withColumn("opens", opens).withColumn("before", F.sum(F.col("opens") + F.col("begun")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("begun"))
-    rows = rows.join(ends.select(*cut, "before"), cut).withColumn("session", F.col("before") + F.col("inner"))
+    rows = sessions(duplicated(tx).select("tracking_account", *SEQ_FIELDS), "tracking_account", "tx_id", gap_ms, slice_ms)
     newest = [F.col("event_ms").desc(), F.col("tx_id").desc()]
     last = F.row_number().over(Window.partitionBy(*cut, "session").orderBy(*newest))
     rows = rows.withColumn("back", last).filter(F.col("back") <= max(2, longest))

@@ -174,6 +174,9 @@ e3 AS (SELECT * REPLACE (least(1.0, round(confidence + least(0.15, (cep_hits + s
   + CASE WHEN sql_hits >= 1 AND edges >= 2 THEN 0.08 ELSE 0 END, 9)) AS confidence, source || '_ENRICHED' AS source) FROM e2)"""
 TIME = "CASE WHEN event_ms <= 0 THEN '00:00:00.000' ELSE strftime(make_timestamp((event_ms + 28800000) * 1000), '%H:%M:%S.%g') END"
 FEEDBACK = """fb AS (SELECT *, CASE CAST('0x' || alert_id[1:2] AS INTEGER) % 5 WHEN 0 THEN 'FALSE_POSITIVE' WHEN 1 THEN 'INCORRECT_TYPE' ELSE 'CONFIRMED_FRAUD' END AS feedback_type FROM alerts)"""
+REVIEWS = """h0 AS (SELECT alert_id, event_ms, CAST('0x' || alert_id[1:2] AS INTEGER) AS h FROM alerts),
+rs AS (SELECT alert_id, CASE WHEN h % 4 = 0 THEN 'RESOLVED' WHEN h % 8 = 2 THEN 'PENDING' WHEN h % 2 = 0 THEN 'IN_REVIEW' ELSE 'PENDING' END AS state, CASE WHEN h % 2 = 0 THEN CAST(60000 * (1 + h % 7) AS DOUBLE) END AS waited_ms,
+  CASE WHEN h % 4 = 0 THEN CAST(60000 * (10 + h % 11) AS DOUBLE) END AS handled_ms, CAST(CASE WHEN h % 4 = 0 OR h % 8 = 2 THEN 2 WHEN h % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS actions FROM h0)"""
 RATES = "count(*) AS total, count(*) FILTER (feedback_type = 'CONFIRMED_FRAUD') AS confirmed, count(*) FILTER (feedback_type = 'FALSE_POSITIVE') AS false_positive, count(*) FILTER (feedback_type = 'INCORRECT_TYPE') AS incorrect_type, round(count(*) FILTER (feedback_type = 'FALSE_POSITIVE') / count(*), 6) AS fpr"
 SAMPLES = """mx AS (SELECT max(tx_id) AS m FROM tx),
 sm AS (SELECT tx_id, u.feature, u.x, tx_id >= m - m // 10 AS recent, tx_id < m // 2 AS baseline FROM tx, mx, LATERAL (SELECT unnest(['amount', 'oldbalance_org', 'newbalance_orig', 'daily_tx_count', 'transaction_hour']) AS feature, unnest([amount, oldbalance_org, newbalance_orig, CAST(daily_tx_count AS DOUBLE), CAST(transaction_hour AS DOUBLE)]) AS x) u)"""
@@ -287,6 +290,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT series, "window", round(before, 6) AS before, round(after, 6) AS after, top > 0 AND abs(after - before) > 0.05 * top AS drift FROM w WHERE n = 100""",
         "drift_fraud_rate": with_(TX, SAMPLES) + ", r AS (SELECT coalesce(avg(is_fraud) FILTER (tx_id < m - m // 10), 0) AS before, coalesce(avg(is_fraud) FILTER (tx_id >= m - m // 10), 0) AS after FROM tx, mx) SELECT round(before, 6) AS before, round(after, 6) AS after, abs(after - before) > 0.1 AS drift FROM r",
         "samples_by_type": tx + "SELECT type, hour, tx_id, round(amount, 6) AS amount FROM (SELECT *, event_ms // 3600000 AS hour, row_number() OVER (PARTITION BY type, event_ms // 3600000 ORDER BY md5('42:' || tx_id), tx_id) AS rn FROM tx) WHERE rn <= 5",
+        "reservoir": tx + "SELECT tx_id, amount FROM tx WHERE is_fraud = 1 ORDER BY md5('42:' || tx_id), tx_id LIMIT 100",
+        "review_states": with_(ALERTS, REVIEWS) + "SELECT alert_id, state, waited_ms, handled_ms, actions FROM rs",
+        "review_load": with_(ALERTS, REVIEWS) + "SELECT state, count(*) AS n, round(avg(waited_ms), 6) AS waited_ms, round(avg(handled_ms), 6) AS handled_ms FROM rs GROUP BY 1",
+        "alert_report": al + """SELECT alert_id, '账户' || account_id || '触发' || fraud_type || '，置信度' || CASE WHEN confidence >= 0.95 THEN '极高' WHEN confidence >= 0.85 THEN '很高' WHEN confidence >= 0.75 THEN '较高' WHEN confidence >= 0.60 THEN '中等' ELSE '较低' END || '，涉及金额'
+            || CASE WHEN amount >= 10000 THEN (floor(amount / 10000 * 100 + 0.5)::BIGINT // 100) || '.' || lpad('' || (floor(amount / 10000 * 100 + 0.5)::BIGINT % 100), 2, '0') || '万元' ELSE (floor(amount * 100 + 0.5)::BIGINT // 100) || '.' || lpad('' || (floor(amount * 100 + 0.5)::BIGINT % 100), 2, '0') || '元' END AS report FROM alerts""",
+        "explain_brief": with_(FULL) + ", c AS (" + " UNION ALL ".join(f"SELECT account_id, session, {i} AS i, '{c}' AS feature, CAST({c} AS DOUBLE) AS v, greatest(-3.0, least(3.0, {c} / {s})) / 3.0 * {w} AS contribution FROM fg" for i, (c, s, w) in enumerate(zip(features.FEATURES[:30], explain.STDS, scores.LR_WEIGHTS[:30], strict=True))) + """),
+            o AS (SELECT *, row_number() OVER (PARTITION BY account_id, session ORDER BY abs(contribution) DESC, i) AS pos FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY account_id, session ORDER BY pos) AS rn FROM o WHERE contribution > 0),
+            w AS (SELECT account_id, session, string_agg(feature || '=' || CAST(round(v) AS BIGINT), '|' ORDER BY rn) AS words FROM p WHERE rn <= 3 GROUP BY 1, 2),
+            r AS (SELECT account_id, session, [x for x in [""" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in explain.RULES) + """] if x IS NOT NULL] AS rules FROM fg)
+            SELECT account_id, coalesce(words, '') || CASE WHEN len(rules) = 0 THEN '' ELSE ';规则:' || rules[1] || CASE WHEN len(rules) > 1 THEN '等' || len(rules) || '条' ELSE '' END END AS brief FROM r LEFT JOIN w USING (account_id, session)""",
         "graph_chain_depth": with_(TX, GRAPH) + "SELECT account, CAST(depth AS BIGINT) AS depth FROM gh",
         "graph_scatter": with_(TX, GRAPH) + "SELECT src AS account, 'out' AS direction, count(*) AS n, count(DISTINCT dst) AS others, round(sum(amount), 6) AS amount FROM ge GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT dst) >= 2 UNION ALL SELECT dst, 'in', count(*), count(DISTINCT src), round(sum(amount), 6) FROM ge GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT src) >= 2",
         "graph_counts": with_(TX, GRAPH) + "SELECT (SELECT count(*) FROM gd) AS nodes, (SELECT count(*) FROM ge) AS edges",

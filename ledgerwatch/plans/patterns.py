@@ -58,15 +58,25 @@ PATTERNS = [
 ]
 
 
+#: Longest times of a pattern in a slice of a key's rows: one row in so many is copied.
+SLICES = 4
+
+
 def _chain(p: Pattern):
     """For a start event: the struct of the event after it that completes the pattern, by folding the stages from the last."""
-    later = Window.partitionBy(p.key).orderBy(F.col("event_ms").desc(), F.col("tx_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    order = Window.partitionBy(p.key).orderBy("event_ms", "tx_id")
+    later = Window.partitionBy(p.key, "_slice").orderBy(F.col("event_ms").desc(), F.col("tx_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(p.key, "_slice").orderBy("event_ms", "tx_id")
     return later, order
 
 
 def with_matches(tx: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """``tx`` with, for each pattern, the column ``m_<name>``: array of the matched (tx_id, event_ms) of the later stages, null without a match."""
+    """``tx`` with, for each pattern, the column ``m_<name>``: array of the matched (tx_id, event_ms) of the later stages, null without a match.
+
+    A match ends within a pattern's time, so a key's rows are cut into slices of SLICES times the longest such time, and rows that a start in the slice before can reach are copied there: a busy key is as many windows as slices.
+    """
+    wide = max(p.within_ms for p in patterns)
+    slice_ms = SLICES * wide
+    tx = tx.withColumn("_slice", F.explode(F.expr(f"array_distinct(array(floor(event_ms / {slice_ms}), floor((event_ms - {wide}) / {slice_ms})))")))
     depth = max(len(p.stages) for p in patterns)
     at: dict[str, object] = {}
     for level in range(depth - 1, 0, -1):
@@ -88,7 +98,7 @@ def with_matches(tx: DataFrame, patterns: list[Pattern]) -> DataFrame:
         n = F.col(f"n_{p.name}_0")
         inside = F.element_at(n, -1)["event_ms"] - F.col("event_ms") < p.within_ms
         matched[f"m_{p.name}"] = F.when(F.expr(p.stages[0].when) & inside, n)
-    return tx.withColumns(matched).drop(*at)
+    return tx.withColumns(matched).filter(f"_slice = floor(event_ms / {slice_ms})").drop("_slice", *at)
 
 
 def alerts(tx: DataFrame, patterns: list[Pattern] | None = None) -> DataFrame:

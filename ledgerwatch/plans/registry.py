@@ -388,6 +388,24 @@ def review_queue_topk(spark, sf):
     return rounded(feedback.review_queue(served.alerts(spark, sf)).select("alert_id", "account_id", "priority"))
 
 
+def review_actions(spark, sf):
+    """Reviewers' actions on the stored alerts: half are taken, of these a quarter released again, half resolved, some minutes after the alert, by digits of the alert's id."""
+    a = served.alerts(spark, sf).select("alert_id", "event_ms", F.expr("cast(conv(substring(alert_id, 1, 2), 16, 10) as int)").alias("h"))
+    taken = a.filter("h % 2 = 0").select("alert_id", F.lit("TAKEN").alias("action"), F.expr("event_ms + 60000L * (1 + h % 7)").alias("at_ms"))
+    gone = a.filter("h % 8 = 2").select("alert_id", F.lit("RELEASED").alias("action"), F.expr("event_ms + 60000L * (10 + h % 5)").alias("at_ms"))
+    done = a.filter("h % 4 = 0").select("alert_id", F.lit("RESOLVED").alias("action"), F.expr("event_ms + 60000L * (10 + h % 11)").alias("at_ms"))
+    return taken.unionByName(gone).unionByName(done)
+
+
+def review_states(spark, sf):
+    states = feedback.review_states(served.alerts(spark, sf), review_actions(spark, sf))
+    return states.withColumns({c: F.col(c).cast("double") for c in ("waited_ms", "handled_ms")})
+
+
+def review_load(spark, sf):
+    return rounded(feedback.review_load(review_states(spark, sf)))
+
+
 def feedback_backfill(spark, sf):
     tx = served.alerts(spark, sf)
     f = fusion.distinct_alerts(tx).select("alert_id", F.lit(None).cast("string").alias("city"), F.when(F.substring("alert_id", 1, 1) < "8", F.lit("KNOWN")).alias("device_id"))
@@ -657,7 +675,7 @@ def queries() -> dict[str, Query]:
         "pattern_registry", "alert_report", "latest_upsert", "retrain", "isolation", "sage_embedding",
         "pattern_described", "serve_by_id", "serve_until_now", "serve_ml_count", "serve_enabled", "serve_between", "serve_feedback_totals", "serve_training_history", "serve_drift_history", "serve_validation_latest",
         "feedback_profile", "feedback_recent", "threshold_best", "fraud_buffer", "drift_vote", "graph_shortest_ring", "alert_json", "drift_mean_shift", "graph_fund_chains", "graph_path",
-        "gnn_features", "drift_service", "drift_half_cuts", "drift_fraud_rate", "serve_drift_events", "samples_by_type", "model_scores", "model_alerts",
+        "review_states", "review_load", "gnn_features", "drift_service", "drift_half_cuts", "drift_fraud_rate", "serve_drift_events", "samples_by_type", "model_scores", "model_alerts",
         "graph_cycles", "graph_clustering", "graph_chain_paths", "khop_counts",
     ]
     out: dict[str, Query] = {f"cep_{p.name}": one_pattern(p) for p in patterns.PATTERNS}

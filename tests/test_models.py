@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions import scores
 from ledgerwatch.functions.features import FEATURES
-from ledgerwatch.operators import models
+from ledgerwatch.operators import models, training
 from ledgerwatch.plans import registry
 
 N = len(FEATURES)
@@ -87,3 +87,45 @@ def test_a_stored_version_gives_its_alerts_again(spark, sf_dir):
     one, two = ({(r.account_id, r.session, r.fraud_type, round(r.probability, 12)) for r in models.alerts(seq, parameters).collect()} for _ in range(2))
     assert one == two and one
     assert abs(sum(parameters["weights"].values()) - 1) < 1e-12 and seq.filter(F.col("label") == 1).count() > 0
+
+
+def test_isolation_scores_equal_walks_down_the_trees(spark):
+    rows = rows_of(random.Random(5), 80)
+    df = frame(spark, rows)
+    trees = training.isolation_forest(df)
+    assert len(trees) == training.TREES and trees == training.isolation_forest(df.repartition(5))
+
+    def depth(tree, v, at=0):
+        while "n" not in tree:
+            tree, at = tree["l" if v[tree["f"]] < tree["cut"] else "r"], at + 1
+        n = tree["n"]
+        return at + (0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n)
+
+    usual = 2 * (math.log(63) + 0.5772156649) - 2 * 63 / 64
+    got = {r.account_id: r.isolation_score for r in training.isolation_scores(df, trees).collect()}
+    for name, _, v, _ in rows:
+        assert abs(got[name] - 2 ** (-sum(depth(t, v) for t in trees) / len(trees) / usual)) < 1e-9
+
+
+def test_embeddings_equal_neighbour_means_by_hand(spark):
+    edges = [("a", "b", 10.0), ("a", "b", 5.0), ("b", "c", 100.0), ("c", "a", 1.0), ("d", "a", 7.0)]
+    e = spark.createDataFrame(edges, "src string, dst string, amount double")
+    nodes = training.hash_embedding(spark.createDataFrame([(x,) for x in "abcde"], "account string"), "account", 4)
+    now = {r.account: list(r.embedding) for r in nodes.collect()}
+    paid = {}
+    for s, d, a in edges:
+        paid[s, d] = paid.get((s, d), 0.0) + a
+    links = [(s, d, math.log1p(a)) for (s, d), a in paid.items()] + [(d, s, math.log1p(a)) for (s, d), a in paid.items()]
+    for _ in range(2):
+        after = {}
+        for n, own in now.items():
+            near = [(now[d], w) for s, d, w in links if s == n]
+            total = sum(w for _, w in near)
+            mean = [sum(v[i] * w for v, w in near) / total if near else 0.0 for i in range(4)]
+            raw = [0.7 * a + 0.4 * b for a, b in zip(own, mean, strict=True)]
+            raw = [x if x > 0 else 0.2 * x for x in raw]
+            size = max(math.sqrt(sum(x * x for x in raw)), 1e-9)
+            after[n] = [x / size for x in raw]
+        now = after
+    for r in training.sage(e, nodes, dim=4).collect():
+        assert np.allclose(r.embedding, now[r.account], atol=1e-12)

@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerwatch.operators import fusion, windows
+from ledgerwatch.plans import patterns
 from ledgerwatch.plans.patterns import PATTERNS, Pattern, Stage, alerts, repeat
 from ledgerwatch.schemas import TRANSACTION
+from ledgerwatch.sources.adapter import transactions
 from ledgerwatch.streaming.detectors import matches
 
 BASE = {"step": 0, "type": "TRANSFER", "amount": 0.0, "name_orig": "A", "oldbalance_org": 0.0, "newbalance_orig": 0.0, "name_dest": "Z", "oldbalance_dest": 0.0, "newbalance_dest": 0.0, "is_flagged_fraud": 0, "device_id": "d", "device_type": "t", "pay_channel": "x", "city": "c", "ip_segment": "i", "transaction_hour": 12, "daily_tx_count": 0, "device_risk_level": "LOW", "is_abroad": "LOCAL", "group_id": "g", "fraud_type": "NORMAL", "is_fraud": 0}
@@ -83,3 +86,24 @@ def test_one_sort_serves_the_patterns_of_a_key(spark, sf_dir):
     plan = alerts(transactions(spark, sf_dir), own)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(name_orig") == 1
     assert "Python" not in plan and F is not None
+
+
+def test_slices_of_a_key_change_nothing(spark, sf_dir, monkeypatch):
+    """Every pattern with slices as short as its time, and with one slice for all: the same matches."""
+    tx = transactions(spark, sf_dir).withColumn("event_ms", F.expr("event_ms * 20"))
+    found = {}
+    for slices in (1, 4, 1_000_000):
+        monkeypatch.setattr(patterns, "SLICES", slices)
+        found[slices] = sorted((r.pattern, r.tx_id, r.next_ids) for r in patterns.alerts(tx).select("pattern", "tx_id", "next_ids").collect())
+    assert found[1] == found[4] == found[1_000_000] and found[1]
+
+
+def test_sessions_are_stitched_over_slices(spark, sf_dir):
+    """Slices of a second and of a year give the same sessions."""
+    tx = transactions(spark, sf_dir)
+    key = lambda d: sorted((r.account_id, r.session, tuple(x.tx_id for x in r.txs)) for r in d.collect())
+    one, other = (key(windows.sequences(tx, slice_ms=ms)) for ms in (1000, 31_536_000_000))
+    assert one == other and one
+    found = patterns.alerts(tx).selectExpr("cast(tx_id as string) || pattern as alert_id", "account_id", "event_ms", "source", "confidence", "cast(null as string) behavior_path", "cast(null as string) details")
+    rows = fusion.enrich(found).select("alert_id", "session", "cep_hits").collect()
+    assert max(r.cep_hits for r in rows) > 1
