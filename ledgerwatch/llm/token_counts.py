@@ -6,7 +6,7 @@ agrees with ``last[i - its length]``, and ``count[i] = count[i - its length] + 1
 for a token budget, or how many tokens a prefix has, is read from them, and nothing is encoded again.
 
 A prefix that ends inside a word ends that word there (its last letter takes the word-end form), as if the truncated text were given to the tokenizer.
-Agreement of a pair of tokens is found by the merge rule of ``bpe`` and remembered, CACHE_PAIRS pairs at most. Words repeat, so each task keeps a bounded
+Agreement of a pair of tokens is found by the merge rule of ``bpe`` and remembered, CACHE_PAIRS pairs at most. Words repeat, so each worker keeps a bounded
 table of pieces between white space. There is no shuffle.
 
 Nulls and empty texts have no bytes and no tokens and are never over the limit. Equal texts have equal counts; repeated rows are rows of their own. Very long texts are handled whole, one piece between
@@ -196,12 +196,11 @@ _counters: dict[int, PrefixCounter] = {}
 
 
 def counter(text: str) -> PrefixCounter:
-    """Tokens and a bounded table of pairs stay with the Python worker; each task starts its own table of pieces."""
+    """Tokens and the bounded tables of pairs and pieces stay with the Python worker from task to task."""
     key = hash(text)
     if key not in _counters:
         _counters.clear()
         _counters[key] = PrefixCounter(text)
-    _counters[key].totals = {}
     return _counters[key]
 
 
