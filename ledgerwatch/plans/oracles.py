@@ -5,7 +5,6 @@ from __future__ import annotations
 from ..functions import api, explain, features, scores
 from ..operators import graph
 from ..sources.adapter import EPOCH_MS, FRAUD_TYPES
-from . import patterns
 
 
 def pick(index: str, *values: str) -> str:
@@ -25,21 +24,40 @@ tx AS (SELECT tx_id, event_ms, CAST((event_ms - {EPOCH_MS}) // 3600000 AS INTEGE
 # -- patterns ---------------------------------------------------------------------------------------
 
 
-def one(p: patterns.Pattern) -> str:
-    """CTEs ending in ``p_<name>``: the next event is a minimum over later ones, found by a correlated subquery."""
-    k = f"k_{p.name}"
-    out = [f"{k} AS (SELECT *, row_number() OVER (PARTITION BY {p.key} ORDER BY event_ms, tx_id) AS rn FROM tx)"]
-    out.append(f"m0_{p.name} AS (SELECT tx_id, {p.key} AS key, rn AS at, event_ms AS first_ms, event_ms AS last_ms, '' AS ids FROM {k} WHERE {p.stages[0].when})")
-    for i, s in enumerate(p.stages[1:], 1):
-        before = f"m{i - 1}_{p.name}"
-        fits = f"(SELECT {p.key} AS fk, rn AS frn FROM {k} WHERE {s.when})"
-        nxt = f"SELECT m.tx_id, min(f.frn) AS nrn FROM {before} m JOIN {fits} f ON f.fk = m.key AND f.frn {'= m.at + 1' if s.follow == 'next' else '> m.at'} GROUP BY m.tx_id"
-        out.append(f"m{i}_{p.name} AS (SELECT m.tx_id, m.key, n.rn AS at, m.first_ms, n.event_ms AS last_ms, m.ids || CASE WHEN m.ids = '' THEN '' ELSE ',' END || n.tx_id AS ids FROM {before} m JOIN ({nxt}) x USING (tx_id) JOIN {k} n ON n.{p.key} = m.key AND n.rn = x.nrn)")
-    out.append(f"p_{p.name} AS (SELECT '{p.name}' AS pattern, m.tx_id, m.ids AS next_ids, m.last_ms, t.name_orig AS account_id, '{p.fraud_type}' AS fraud_type, CAST({p.confidence} AS DOUBLE) AS confidence FROM m{len(p.stages) - 1}_{p.name} m JOIN tx t USING (tx_id) WHERE m.last_ms - m.first_ms < {p.within_ms})")
+OUT = "(type = 'TRANSFER' OR type = 'CASH_OUT')"
+DANGER = "(device_risk_level = 'HIGH' OR is_abroad = 'ABROAD')"
+#: Fixed values, written apart from the plans: key, fraud type, minutes, confidence and stages of each pattern; a stage with ``!`` takes the very next event.
+SPEC = {
+    "p01": ("name_orig", "小额试探大额转出", 120, 0.85, ["type = 'TRANSFER' AND amount >= 1000 AND amount <= 6000", f"{OUT} AND {DANGER} AND amount >= 30000"]),
+    "p02": ("name_orig", "多层链式洗钱", 120, 0.90, ["type = 'TRANSFER' AND amount >= 50000 AND (pay_channel = 'BANK_APP' OR device_risk_level = 'HIGH')", "amount >= 30000 AND type = 'TRANSFER'", f"{DANGER} AND type = 'CASH_OUT'"]),
+    "p03": ("name_orig", "异地跨设备突发大额", 180, 0.85, ["device_risk_level = 'LOW' AND (type = 'PAYMENT' OR type = 'TRANSFER') AND amount <= 5000", f"{OUT} AND {DANGER} AND amount >= 30000"]),
+    "p04": ("name_dest", "分散转入集中提现", 120, 0.80, ["type = 'TRANSFER' AND amount >= 4000 AND amount <= 30000", "!type = 'TRANSFER' AND amount >= 4000 AND amount <= 30000", "amount >= 20000 AND type = 'CASH_OUT'"]),
+    "p05": ("name_orig", "多渠道轮番转账", 60, 0.80, ["amount >= 5000 AND type = 'TRANSFER'", "amount >= 5000 AND type = 'TRANSFER'", "amount >= 5000 AND type = 'TRANSFER'"]),
+    "p06": ("name_orig", "凌晨分批掏空", 240, 0.80, [f"transaction_hour <= 5 AND transaction_hour >= 0 AND amount >= 5000 AND {OUT}", f"transaction_hour <= 5 AND transaction_hour >= 0 AND amount >= 5000 AND {OUT}", f"transaction_hour <= 5 AND transaction_hour >= 0 AND {OUT}"]),
+    "p07": ("name_orig", "小额掩护大额跑路", 480, 0.85, ["(type = 'PAYMENT' OR type = 'TRANSFER') AND amount >= 100 AND amount <= 1000", "!(type = 'PAYMENT' OR type = 'TRANSFER') AND amount >= 100 AND amount <= 1000", f"{OUT} AND {DANGER} AND amount >= 40000"]),
+    "p08": ("ip_segment", "团伙同IP批量作案", 30, 0.85, ["type = 'TRANSFER' AND amount >= 15000", "!type = 'TRANSFER' AND amount >= 15000"]),
+    "p09": ("name_orig", "账户被盗急速转账", 60, 0.90, [f"{DANGER} AND amount >= 20000 AND (transaction_hour >= 22 OR transaction_hour <= 5)", f"{OUT} AND amount >= 30000"]),
+    "p10": ("name_orig", "虚假交易退款套利", 360, 0.80, ["amount >= 10000 AND type = 'PAYMENT'", "!amount >= 10000 AND type = 'PAYMENT'", "amount >= 30000 AND type = 'CASH_OUT'"]),
+    "p11": ("name_orig", "养卡提额异常消费", 720, 0.80, ["type = 'PAYMENT' AND amount >= 5000 AND (transaction_hour >= 22 OR transaction_hour <= 5)", "amount >= 20000 AND type = 'PAYMENT'", "amount >= 50000 AND type = 'PAYMENT'"]),
+}
+
+
+def one(name: str) -> str:
+    """CTEs ending in ``p_<name>``: the next event is a minimum over later ones, found by a join."""
+    key, fraud_type, minutes, confidence, stages = SPEC[name]
+    k = f"k_{name}"
+    out = [f"{k} AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY event_ms, tx_id) AS rn FROM tx)"]
+    out.append(f"m0_{name} AS (SELECT tx_id, {key} AS key, rn AS at, event_ms AS first_ms, event_ms AS last_ms, '' AS ids FROM {k} WHERE {stages[0]})")
+    for i, stage in enumerate(stages[1:], 1):
+        before = f"m{i - 1}_{name}"
+        fits = f"(SELECT {key} AS fk, rn AS frn FROM {k} WHERE {stage.lstrip('!')})"
+        nxt = f"SELECT m.tx_id, min(f.frn) AS nrn FROM {before} m JOIN {fits} f ON f.fk = m.key AND f.frn {'= m.at + 1' if stage[0] == '!' else '> m.at'} GROUP BY m.tx_id"
+        out.append(f"m{i}_{name} AS (SELECT m.tx_id, m.key, n.rn AS at, m.first_ms, n.event_ms AS last_ms, m.ids || CASE WHEN m.ids = '' THEN '' ELSE ',' END || n.tx_id AS ids FROM {before} m JOIN ({nxt}) x USING (tx_id) JOIN {k} n ON n.{key} = m.key AND n.rn = x.nrn)")
+    out.append(f"p_{name} AS (SELECT '{name}' AS pattern, m.tx_id, m.ids AS next_ids, m.last_ms, t.name_orig AS account_id, '{fraud_type}' AS fraud_type, CAST({confidence} AS DOUBLE) AS confidence FROM m{len(stages) - 1}_{name} m JOIN tx t USING (tx_id) WHERE m.last_ms - m.first_ms < {minutes * 60_000})")
     return ",\n".join(out)
 
 
-CEP = ",\n".join(one(p) for p in patterns.PATTERNS) + ",\ncep AS (" + " UNION ALL ".join(f"SELECT * FROM p_{p.name}" for p in patterns.PATTERNS) + ")"
+CEP = ",\n".join(map(one, SPEC)) + ",\ncep AS (" + " UNION ALL ".join(f"SELECT * FROM p_{name}" for name in SPEC) + ")"
 
 CHAIN_SCORE = """least(1.0, CASE WHEN td < 300 THEN 0.35 WHEN td < 1800 THEN 0.25 WHEN td < 3600 THEN 0.15 ELSE 0.05 END + CASE WHEN la > 100000 THEN 0.35 WHEN la > 50000 THEN 0.25 WHEN la > 10000 THEN 0.15 ELSE 0.05 END
   + CASE WHEN decay < 0.15 THEN 0.35 WHEN decay < 0.3 THEN 0.25 ELSE 0.15 END + 0.25)"""
@@ -220,7 +238,7 @@ def big(columns: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {f"cep_{p.name}": with_(TX, one(p)) + f"SELECT m.tx_id, next_ids, last_ms, account_id, m.fraud_type, confidence, t.amount FROM p_{p.name} m JOIN tx t USING (tx_id)" for p in patterns.PATTERNS}
+    out = {f"cep_{name}": with_(TX, one(name)) + f"SELECT m.tx_id, next_ids, last_ms, account_id, m.fraud_type, confidence, t.amount FROM p_{name} m JOIN tx t USING (tx_id)" for name in SPEC}
     tx, al, seqs = with_(TX), with_(ALERTS), with_(SEQS)
     out |= {
         "cdc_flatten": tx + "SELECT name_orig AS nameOrig, name_dest AS nameDest, type, amount, CAST(event_ms AS VARCHAR) AS eventTime, 'train' AS _data_type, CASE WHEN tx_id % 4 = 2 THEN 'update' ELSE 'insert' END AS _op_type, CAST(1704153600000 AS BIGINT) AS _timestamp FROM tx WHERE tx_id % 4 <> 3 AND tx_id % 8 <> 6",
