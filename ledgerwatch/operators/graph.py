@@ -10,12 +10,19 @@ def edges(tx: DataFrame) -> DataFrame:
     return tx.filter("name_orig <> name_dest").select("tx_id", F.col("name_orig").alias("src"), F.col("name_dest").alias("dst"), "amount", "event_ms", "type", "ip_segment", "device_id")
 
 
-def recent_edges(e: DataFrame, most: int = 50) -> DataFrame:
-    """An account's newest out-edges only."""
-    order = Window.partitionBy("src").orderBy(F.col("event_ms").desc(), F.col("tx_id").desc())
+def recent_edges(e: DataFrame, most: int = 50, own: str = "src") -> DataFrame:
+    """An account's newest out-edges only, or in-edges with ``own="dst"``. Spark cuts each partition to ``most`` an account before it shuffles."""
+    order = Window.partitionBy(own).orderBy(F.col("event_ms").desc(), F.col("tx_id").desc())
     return e.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
+def shared_attributes(tx: DataFrame) -> DataFrame:
+    """Addresses and devices with the number of accounts that use each: ``kind``, ``name``, ``accounts``, ``transactions``."""
+    each = F.explode(F.array(F.struct(F.lit("ip").alias("kind"), F.col("ip_segment").alias("name")), F.struct(F.lit("device").alias("kind"), F.col("device_id").alias("name")))).alias("by")
+    used = tx.select("name_orig", each).select("name_orig", "by.*").filter("name is not null").groupBy("kind", "name", "name_orig").agg(F.count("*").alias("n"))
+    return used.groupBy("kind", "name").agg(F.count("*").alias("accounts"), F.sum("n").alias("transactions"))
+
+
 def sides(e: DataFrame) -> DataFrame:
     """Each edge once for either end: ``account``, ``other``, ``is_out``."""
     ends = F.explode(F.array(F.struct(F.col("src").alias("account"), F.col("dst").alias("other"), F.lit(True).alias("is_out")), F.struct(F.col("dst").alias("account"), F.col("src").alias("other"), F.lit(False).alias("is_out"))))

@@ -274,6 +274,8 @@ def oracle_sql() -> dict[str, str]:
         "gnn_alerts": with_(SEQS, GNN) + f"SELECT account_id, {first_of(scores.GNN_TYPES)} AS fraud_type, " + rnd("gnn_score", 4) + " FROM gn WHERE gnn_score >= 0.40",
         "api_detect": with_(TX, API) + f"SELECT tx_id, {rnd('behavior_score fraud_probability')}, is_suspect, {first_of(api.TYPES)} AS detected_type, CASE WHEN fraud_probability >= 0.85 THEN 'CRITICAL' WHEN fraud_probability >= 0.65 THEN 'HIGH' WHEN fraud_probability >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, CASE WHEN rule_confidence > 0 THEN 'CEP_RULE' ELSE 'ML_ENSEMBLE' END AS source FROM a5",
         "graph_edges": with_(TX, GRAPH) + "SELECT tx_id, src, dst, amount, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY event_ms DESC, tx_id DESC) AS rank FROM ge) WHERE rank <= 50",
+        "graph_in_edges": with_(TX, GRAPH) + "SELECT tx_id, src, dst, amount, rank FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY event_ms DESC, tx_id DESC) AS rank FROM ge) WHERE rank <= 50",
+        "graph_attributes": tx + "SELECT 'ip' AS kind, ip_segment AS name, count(DISTINCT name_orig) AS accounts, count(*) AS transactions FROM tx GROUP BY 2 UNION ALL SELECT 'device', device_id, count(DISTINCT name_orig), count(*) FROM tx GROUP BY 2",
         "graph_degree": with_(TX, GRAPH) + f"SELECT account, out_degree, in_degree, {rnd('out_amount in_amount')} FROM gd",
         "graph_direction": with_(TX, GRAPH) + f"SELECT account, {rnd('asymmetry freq_ratio net_flow time_concentration')} FROM gx",
         "graph_neighbors": with_(TX, GRAPH) + "SELECT account, out_neighbors, in_neighbors FROM gd",

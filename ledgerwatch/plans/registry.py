@@ -192,6 +192,14 @@ def graph_edges(spark, sf):
     return graph.recent_edges(graph.edges(transactions(spark, sf))).select("tx_id", "src", "dst", "amount", F.col("rank").cast("bigint").alias("rank"))
 
 
+def graph_in_edges(spark, sf):
+    return graph.recent_edges(graph.edges(transactions(spark, sf)), own="dst").select("tx_id", "src", "dst", "amount", F.col("rank").cast("bigint").alias("rank"))
+
+
+def graph_attributes(spark, sf):
+    return graph.shared_attributes(transactions(spark, sf))
+
+
 def graph_degree(spark, sf):
     return rounded(graph.degrees(graph.edges(transactions(spark, sf))).select("account", "out_degree", "in_degree", "out_amount", "in_amount"))
 
@@ -676,7 +684,7 @@ def queries() -> dict[str, Query]:
         "pattern_described", "serve_by_id", "serve_until_now", "serve_ml_count", "serve_enabled", "serve_between", "serve_feedback_totals", "serve_training_history", "serve_drift_history", "serve_validation_latest",
         "feedback_profile", "feedback_recent", "threshold_best", "fraud_buffer", "drift_vote", "graph_shortest_ring", "alert_json", "drift_mean_shift", "graph_fund_chains", "graph_path",
         "review_states", "review_load", "gnn_features", "drift_service", "drift_half_cuts", "drift_fraud_rate", "serve_drift_events", "samples_by_type", "model_scores", "model_alerts",
-        "graph_cycles", "graph_clustering", "graph_chain_paths", "khop_counts",
+        "graph_in_edges", "graph_attributes", "graph_cycles", "graph_clustering", "graph_chain_paths", "khop_counts",
     ]
     out: dict[str, Query] = {f"cep_{p.name}": one_pattern(p) for p in patterns.PATTERNS}
     out |= {name: here[name] for name in plain}
