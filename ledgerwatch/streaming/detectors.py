@@ -31,6 +31,16 @@ def ip_gang(tx: DataFrame) -> DataFrame:
     return w.filter("confidence > 0.6").select("ip_segment", F.unix_millis("window.start").alias("window_ms"), "accounts", "total_amount", F.col("first.name_orig").alias("account_id"), "confidence")
 
 
+def scatter_in(tx: DataFrame) -> DataFrame:
+    """Two-hour windows in which several senders pay into one account, in append mode. Senders are summed up first, in a window aggregation of their own, so an account's state is a row a sender until its window closes."""
+    rows = timed(tx).filter("type = 'TRANSFER' and amount > 3000 and amount < 30000")
+    per = rows.groupBy("name_dest", F.window("event_ts", "2 hours"), "name_orig").agg(F.sum("amount").alias("amount"))
+    both = per.groupBy(F.col("name_dest").alias("account_id"), F.window(F.window_time("window"), "2 hours").alias("window")).agg(F.count("*").alias("senders"), F.sum("amount").alias("total_amount"), F.max("amount").alias("max_sender"))
+    confidence = F.expr("least(1.0D, 0.4D + (senders - 2) * 0.1D + total_amount / 100000.0D + if(max_sender / (total_amount / senders) > 3.0, 0.1D, 0.0D))")
+    found = both.filter("senders >= 2 and total_amount > 15000").withColumn("confidence", confidence).filter("confidence > 0.5")
+    return found.select("account_id", F.unix_millis("window.start").alias("window_ms"), "senders", "total_amount", "confidence")
+
+
 def chains(tx: DataFrame) -> DataFrame:
     """Stream-stream self-join A->B, B->C within two hours; both watermarks and the range let Spark drop old state. (The skip of repeated pairs needs an order and stays with the batch form.)"""
     moves = tx.filter("type = 'TRANSFER' and amount > 5000").select("tx_id", "event_ms", "amount", "name_orig", "name_dest")

@@ -44,6 +44,14 @@ def test_ip_gang_and_chains(spark, tmp_path):
     assert key(got) == key(windows.ip_gang(tx)) and key(got)
 
 
+def test_scatter_in_windows(spark, tmp_path):
+    tx = transactions(spark, "/root/testdata/sf0.001").withColumn("event_ms", F.expr("event_ms * 8 - 7 * 1704067200000"))
+    path = stream_of(spark, tmp_path, tx)
+    got = replay(spark, path, tx.schema, late(tx).unionByName(late(tx).withColumn("event_ms", F.lit(1900000000000))), detectors.scatter_in, tmp_path)
+    key = lambda d: {(r.account_id, r.window_ms, r.senders, round(r.total_amount, 4), round(r.confidence, 9)) for r in d.collect()}
+    assert key(got) == key(windows.scatter_in(tx)) and key(got)
+
+
 def test_chains(spark, tmp_path):
     tx = transactions(spark, "/root/testdata/sf0.001")
     path = stream_of(spark, tmp_path, tx)
