@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerwatch.functions import explain
@@ -73,3 +74,22 @@ def test_registry_of_patterns(spark):
     types = spark.createDataFrame([("多层链式洗钱",), ("多层链式洗钱(SQL)",), ("分散转入集中提现(X)",), ("凌晨",), ("其他",)], "fraud_type string")
     got = {r.fraud_type: (r.pattern, r.severity) for r in explain.described(types).collect()}
     assert got == {"多层链式洗钱": ("多层链式洗钱", "极高"), "多层链式洗钱(SQL)": ("多层链式洗钱(SQL)", "极高"), "分散转入集中提现(X)": ("分散转入集中提现", "高"), "凌晨": ("凌晨分批掏空", "极高"), "其他": (None, "中")}
+
+
+def test_review_states_follow_the_last_action(spark):
+    alerts = spark.createDataFrame([(x, 100) for x in "abcde"], "alert_id string, event_ms long")
+    rows = [("a", "TAKEN", 110), ("a", "RESOLVED", 150), ("b", "TAKEN", 120), ("b", "RELEASED", 130), ("b", "TAKEN", 140), ("c", "TAKEN", 105), ("c", "RELEASED", 105), ("d", "RESOLVED", 160), ("d", "TAKEN", 170), ("d", "RESOLVED", 180)]
+    actions = spark.createDataFrame(rows, "alert_id string, action string, at_ms long")
+    got = {r.alert_id: (r.state, r.waited_ms, r.handled_ms, r.actions) for r in feedback.review_states(alerts, actions).collect()}
+    assert got == {"a": ("RESOLVED", 10, 50, 2), "b": ("IN_REVIEW", 20, None, 3), "c": ("PENDING", 5, None, 2), "d": ("RESOLVED", 70, 80, 3), "e": ("PENDING", None, None, 0)}
+    load = {r.state: (r.n, r.waited_ms, r.handled_ms) for r in feedback.review_load(feedback.review_states(alerts, actions)).collect()}
+    assert load == {"RESOLVED": (2, 40.0, 65.0), "IN_REVIEW": (1, 20.0, None), "PENDING": (2, 5.0, None)}
+
+
+def test_too_many_categories_are_an_error(spark):
+    alerts = spark.createDataFrame([("SQL_X",), ("CEP_RULE",), ("GRAPH",)], "source string")
+    names = lambda n: spark.createDataFrame([(f"SQL_{i}" if i else "SQL", True) for i in range(n)] + [("CEP", False)], "prefix string, enabled boolean")
+    assert [r.source for r in serving.enabled(alerts, names(150)).collect()] == ["SQL_X"]
+    assert serving.enabled(alerts, names(0)).count() == 3
+    with pytest.raises(ValueError, match="categories"):
+        serving.enabled(alerts, names(serving.MOST_CATEGORIES + 1))
