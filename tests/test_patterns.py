@@ -107,3 +107,12 @@ def test_sessions_are_stitched_over_slices(spark, sf_dir):
     found = patterns.alerts(tx).selectExpr("cast(tx_id as string) || pattern as alert_id", "account_id", "event_ms", "source", "confidence", "cast(null as string) behavior_path", "cast(null as string) details")
     rows = fusion.enrich(found).select("alert_id", "session", "cep_hits").collect()
     assert max(r.cep_hits for r in rows) > 1
+
+
+def test_a_task_of_the_patterns_stays_small(spark, sf_dir, monkeypatch):
+    """Rows are dealt to tasks by their number, and one sort before the windows serves all stages of a key's patterns."""
+    monkeypatch.setattr(patterns, "TASK_ROWS", 100)
+    tx = transactions(spark, sf_dir)
+    own = [p for p in PATTERNS if p.key == "name_orig"]
+    plan = alerts(tx, own)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and f", {tx.count() // 100 + 2})" in plan
