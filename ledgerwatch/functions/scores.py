@@ -50,7 +50,8 @@ ENSEMBLE = {"lr": 0.28, "gbdt": 0.22, "behavior": 0.28, "stat": 0.12, "path": 0.
 
 
 def points(table) -> str:
-    return "least(1.0D, " + " + ".join(f"if({c}, {p}D, 0.0D)" for c, p in table) + ")"
+    """Sum of the points whose condition holds, 1 at most; added as decimals, so a sum of tenths never falls beside its level or a half of the last digit shown."""
+    return "cast(least(1BD, " + " + ".join(f"if({c}, {p}BD, 0BD)" for c, p in table) + ") as double)"
 
 
 def first_of(table) -> str:
@@ -153,7 +154,7 @@ def gnn_scores(seq: DataFrame) -> DataFrame:
         near = {0: hop1(norm), 2: hop1(f"{norm} * 1.5D"), 3: hop1(f"{norm} * 5.0D"), 7: hop1("if(x.amount > 20000, 1.0D, 0.0D)")}.get(i, "0.0D")
         far = {0: hop2("0.5D"), 3: hop2("2.5D")}.get(i, "0.0D")
         fused[i] = f"least(1.0D, abs(if(size(top) = 0, {FEATURES[i]}, 0.4D * {FEATURES[i]} + 0.35D * {near} + 0.25D * {far}) - {usual}D) / {dev}D * 0.1D)"
-    neighbor = "(case when x.amount > 50000 then 0.3D when x.amount > 20000 then 0.2D when x.amount > 10000 then 0.1D else 0.0D end + case x.type when 'CASH_OUT' then 0.15D when 'TRANSFER' then 0.05D else 0.0D end)"
+    neighbor = "cast(case when x.amount > 50000 then 0.3BD when x.amount > 20000 then 0.2BD when x.amount > 10000 then 0.1BD else 0BD end + case x.type when 'CASH_OUT' then 0.15BD when 'TRANSFER' then 0.05BD else 0BD end as double)"
     seq = seq.withColumns(
         {
             "node_risk": e(points(NODE_RISK)),
@@ -177,9 +178,9 @@ def gnn_scores(seq: DataFrame) -> DataFrame:
     seq = seq.withColumn(
         "structure",
         e(
-            f"""least(1.0D, case when n_edges >= 5 then 0.25D when n_edges >= 3 then 0.15D when n_edges >= 2 then 0.05D else 0.0D end
-            + if(max_total > 0 and variance / max_total < 0.1 and n_edges >= 3, 0.15D, 0.0D) + {chain} * 0.20D
-            + if(debit > 0 and cash > debit * 0.7 and cashes >= 2, 0.8D, 0.0D) * 0.15D + case when most_met >= 5 then 0.6D when most_met >= 3 then 0.3D else 0.0D end * 0.15D)"""
+            f"""least(1.0D, cast(case when n_edges >= 5 then 0.25BD when n_edges >= 3 then 0.15BD when n_edges >= 2 then 0.05BD else 0BD end
+            + if(max_total > 0 and variance / max_total < 0.1 and n_edges >= 3, 0.15BD, 0BD) as double) + {chain} * 0.20D
+            + if(debit > 0 and cash > debit * 0.7 and cashes >= 2, 0.12D, 0.0D) + case when most_met >= 5 then 0.09D when most_met >= 3 then 0.045D else 0.0D end)"""
         ),
     )
     factor = "least(1.0D, greatest(out_degree, 1) / 5.0D)"

@@ -1,9 +1,10 @@
 """Scalars, parsers and detectors at their bounds."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwatch.functions import scalar
+from ledgerwatch.functions import scalar, scores
 from ledgerwatch.operators import drift, graph, joins, serving, windows
 from ledgerwatch.operators.fusion import time_of_day
 from ledgerwatch.sources import ingest, sinks
@@ -122,3 +123,18 @@ def test_empty_tables(spark):
     from ledgerwatch.plans import detect
 
     assert detect.rule_alerts(rows(spark, {}).limit(0)).count() == 0
+
+
+def test_points_are_added_as_decimals(spark):
+    """In doubles 0.1 + 0.7 + 0.1 is 0.8999999999999999, and 0.1 + 0.2 more than 0.3."""
+    got = spark.range(1).select(F.expr(scores.points([("true", 0.1), ("true", 0.7), ("id = 0", 0.1), ("id = 1", 0.05)])).alias("a"), F.expr(scores.points([("true", 0.1), ("true", 0.2)])).alias("b"), F.expr(scores.points([("true", 0.6), ("true", 0.7)])).alias("c")).first()
+    assert (got.a, got.b, got.c) == (0.9, 0.3, 1.0)
+
+
+def test_halves_are_rounded_as_in_sql(spark):
+    from ledgerwatch.plans.registry import rounded
+
+    values = [0.35958249999999997, -0.35958249999999997, 0.3595824, 123456.7890125, 2.0, float("inf")]
+    got = [r.x for r in rounded(spark.createDataFrame([(v,) for v in values], "x double")).collect()]
+    assert got == [r[0] for r in duckdb.sql(f"SELECT round(CAST(unnest([{', '.join(map(repr, values[:-1]))}]) AS DOUBLE), 6)").fetchall()] + [float("inf")]
+    assert got[0] == 0.359583
