@@ -144,3 +144,11 @@ def test_communities_by_hand(spark):
     got = {r.account: r.community for r in graph.communities(rows).collect()}
     # a and b share an address, b and c another and a device: a reaches a, b and their neighbours x, y, z, c, n
     assert got == {"a": 7, "b": 7, "c": 5, "s": 2, "l": 1}
+
+
+def test_cycles_walk_only_what_can_close(spark):
+    """Accounts that only send can't be on a cycle; a hub's walks from them aren't made."""
+    links = [(f"s{i}", "hub") for i in range(50)] + [("hub", "b"), ("b", "hub"), ("b", "c"), ("c", "hub")]
+    e = spark.createDataFrame(links, "src string, dst string")
+    assert graph.looping(graph.pairs(e)).count() == 4
+    assert {(r.account, r.length, r.cycles) for r in graph.cycles(e).collect()} == {("hub", 2, 1), ("b", 2, 1), ("hub", 3, 1), ("b", 3, 1), ("c", 3, 1)}
