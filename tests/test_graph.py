@@ -146,6 +146,26 @@ def test_communities_by_hand(spark):
     assert got == {"a": 7, "b": 7, "c": 5, "s": 2, "l": 1}
 
 
+def test_hops_in_blocks(spark, monkeypatch):
+    """Hubs, far accounts and accounts without a second hop, over many blocks and in rows of bits and lists, against a walk by hand."""
+    rng = random.Random(5)
+    links = random_links(rng, 60, 70) + [("n1", f"m{i}") for i in range(40)] + [(f"m{i}", "hub") for i in range(0, 40, 3)] + [("alone", "other")]
+    e = spark.createDataFrame([(a, b, 1.0, 0) for a, b in links], "src string, dst string, amount double, event_ms long")
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    want = {(s, a): h for s in near for h, group in ((2, {b for x in near[s] for b in near[x]}), (1, near[s]), (0, {s})) for a in group}
+    for block, seeds, dense in ((7, 3, 2), (16, 512, 5), (8_192, 512, 64)):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        monkeypatch.setattr(graph, "SEEDS", seeds)
+        monkeypatch.setattr(graph, "DENSE", dense)
+        got = [tuple(r) for r in graph.hops(e, graph.sides(e).selectExpr("account as seed").distinct()).collect()]
+        assert len(got) == len(set(got)) and {(s, a): h for s, a, h in got} == want
+        counts = {(r.seed, r.hops): r.accounts for r in graph.hop_counts(e).collect()}
+        assert counts == Counter((s, h) for (s, _), h in want.items())
+
+
 def test_cycles_walk_only_what_can_close(spark):
     """Accounts that only send can't be on a cycle; a hub's walks from them aren't made."""
     links = [(f"s{i}", "hub") for i in range(50)] + [("hub", "b"), ("b", "hub"), ("b", "c"), ("c", "hub")]
