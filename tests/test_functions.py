@@ -68,6 +68,35 @@ def test_chain_parties_and_repeats(spark):
     assert joins.chains(rows(spark, ab, bc, {**bc, "name_dest": "D"}, bc)).count() == 3  # but not after another pair
 
 
+def one_receiver(spark, n=240):
+    """Everybody pays B, and B pays and cashes out all the time."""
+    who = lambda i: {"name_orig": f"A{i % 7}", "name_dest": "B"} if i % 3 else {"name_orig": "B", "name_dest": f"C{i % 2}"}
+    return rows(spark, *[{**who(i), "amount": 10000.0 + 7919 * i % 5000 + (5000.0 if i % 3 == 0 else 0.0), "type": "CASH_OUT" if i % 6 == 0 else "TRANSFER", "event_ms": i * 60_000} for i in range(3, n + 3)])
+
+
+@pytest.mark.parametrize("found", [joins.chains, joins.scatter_cashout])
+def test_slices_of_a_receiver_change_nothing(spark, monkeypatch, found):
+    t, key = one_receiver(spark), ["l_tx_id", "r_tx_id", "confidence"] + (["total_in", "min_ms"] if found is joins.scatter_cashout else [])
+    got = []
+    for ms in (1, 600_000, 10**15):
+        monkeypatch.setattr(joins, "SLICE_MS", ms)
+        got.append(sorted(map(tuple, found(t).select(*key).collect())))
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_a_receiver_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TASK_ROWS", 20)
+    monkeypatch.setattr(joins, "SLICE_MS", 600_000)
+    assert joins.chains(one_receiver(spark)).select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_what_came_in_is_carried_over_slices(spark):
+    """Both cash-outs are beside all that has been counted too small; the second, in a later slice, would not be beside what its own slice holds."""
+    t = rows(spark, {"amount": 29000.0, "name_dest": "T"}, *[{"type": "CASH_OUT", "amount": a, "name_orig": "T", "name_dest": "X", "event_ms": ms} for a, ms in ((16000.0, 1000), (25000.0, 1_200_000))])
+    assert joins.scatter_cashout(t).count() == 0
+    assert joins.scatter_cashout(t.filter("tx_id <> 1")).count() == 1
+
+
 @pytest.mark.parametrize("cash, n", [(13999.0 + 6999.0, 0), (21000.0, 1)])
 def test_cash_out_ratio(spark, cash, n):
     t = rows(spark, {"amount": 15000.0, "name_dest": "T"}, {"amount": 15000.0, "name_orig": "B", "name_dest": "T"}, {"type": "CASH_OUT", "amount": cash, "name_orig": "T", "name_dest": "X"})
