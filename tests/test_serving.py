@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions import explain
 from ledgerwatch.operators import drift, evaluate, feedback, fusion, graph, serving
-from ledgerwatch.plans import detect
+from ledgerwatch.plans import detect, registry
 from ledgerwatch.sources.adapter import transactions
 
 
@@ -93,3 +93,12 @@ def test_too_many_categories_are_an_error(spark):
     assert serving.enabled(alerts, names(0)).count() == 3
     with pytest.raises(ValueError, match="categories"):
         serving.enabled(alerts, names(serving.MOST_CATEGORIES + 1))
+
+
+def test_enrichment_reads_stored_alerts_and_deals_their_slices(spark, sf_dir):
+    plan = registry.alert_enrich(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and "account_id" in plan
+    assert plan.count(", 2), REPARTITION_BY_NUM") >= 4
+    alerts = detect.rule_alerts(transactions(spark, sf_dir))
+    key = lambda d: sorted((r.alert_id, r.session, r.cep_hits, r.edges, r.volume, r.confidence) for r in d.collect())
+    assert key(fusion.enrich(alerts, 7)) == key(fusion.enrich(alerts))
