@@ -6,8 +6,8 @@ agrees with ``last[i - its length]``, and ``count[i] = count[i - its length] + 1
 for a token budget, or how many tokens a prefix has, is read from them, and nothing is encoded again.
 
 A prefix that ends inside a word ends that word there (its last letter takes the word-end form), as if the truncated text were given to the tokenizer.
-Agreement of a pair of tokens is found by the merge rule of ``bpe`` and remembered, CACHE_PAIRS pairs at most. Words repeat, so each worker keeps a bounded
-table of pieces between white space. There is no shuffle.
+Agreement of a pair of tokens is found by the merge rule of ``bpe`` and remembered, CACHE_PAIRS pairs at most. Pieces between white space and the words in them
+repeat, so each worker keeps bounded tables of both; the new words of a batch are taken in order, and each goes on from the table of the letters that it shares with the one before. There is no shuffle.
 
 Nulls and empty texts have no bytes and no tokens and are never over the limit. Equal texts have equal counts; repeated rows are rows of their own. Very long texts are handled whole, one piece between
 white space at a time; a slice of a batch holds about 2 MB or one text. An empty table gives an empty result, other columns are ignored. There are no ties: a text has one encoding.
@@ -21,6 +21,7 @@ from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from .common import map_batches
 
 #: Pairs of tokens whose agreement a worker remembers before it starts anew.
 CACHE_PAIRS = 400_000
+#: Words whose counts a worker remembers; at so many they become the older half, and the older half goes.
+CACHE_WORDS = 100_000
 #: Limit of the contract: texts of more tokens are marked.
 LIMIT = 2048
 
@@ -53,10 +56,13 @@ class PrefixCounter:
             self.parts[new] = (a, b)
         for i, x in raw.items():
             (ends if i in final else letters)[x] = i
-        self.inner, self.closing, self.raw = letters, ends, raw  # tokens inside a word; tokens that end one
-        self.longest = max(map(len, raw.values()))
+        # tokens inside a word and tokens that end one, by their bytes; None for what is no token but the end of a longer one
+        self.inner, self.closing = ({x[k:]: None for x in own for k in range(1, len(x))} | own for own in (letters, ends))
+        self.split_all = regex.compile(v.split.pattern + "|\\n")
         self.agrees: dict[int, bool] = {}
         self.totals: dict[str, int] = {}
+        self.words: dict[str, int] = {"\n": -1}  # the end of a piece
+        self.older: dict[str, int] = {}
 
     def symbols(self, token: int) -> list[int]:
         stack, out = [token], []
@@ -87,24 +93,45 @@ class PrefixCounter:
     def inside(self, word: bytes) -> tuple[list[int], list[int]]:
         """For every prefix of a word whose end isn't reached: its last token, its count."""
         last, count = [-1], [0]
-        get, agrees, base, longest = self.inner.get, self.agrees, self.vocabulary.base, self.longest
-        for i in range(1, len(word) + 1):
-            for j in range(i - 1, max(-1, i - 1 - longest), -1):
-                t = get(word[j:i])
-                if t is not None:
-                    ok = not j or (agrees.get(last[j] * base + t) if last[j] * base + t in agrees else self.pair_agrees(last[j], t))
-                    if ok:
-                        last.append(t)
-                        count.append(count[j] + 1)
-                        break
+        self.go_on(word, last, count, len(word))
         return last, count
 
+    def go_on(self, word: bytes, last: list[int], count: list[int], upto: int) -> None:
+        """Add what ``last`` and ``count`` lack of the first ``upto`` bytes."""
+        inner, agrees, base = self.inner, self.agrees, self.vocabulary.base
+        for i in range(len(last), upto + 1):
+            for j in range(i - 1, -1, -1):
+                t = inner.get(word[j:i], -1)
+                if t is None:
+                    continue
+                if t < 0:
+                    raise AssertionError("every byte is a token")
+                if j:
+                    ok = agrees.get(last[j] * base + t)
+                    if ok is None:
+                        ok = self.pair_agrees(last[j], t)
+                    if not ok:
+                        continue
+                last.append(t)
+                count.append(count[j] + 1)
+                break
+
     def ended(self, word: bytes, at: int, last: list[int], count: list[int]) -> int:
         """Tokens of the first ``at`` bytes as a whole word."""
-        for j in range(at - 1, max(-1, at - 1 - self.longest), -1):
-            t = self.closing.get(word[j:at])
-            if t is not None and (not j or self.pair_agrees(last[j], t)):
-                return count[j] + 1
+        agrees, base = self.agrees, self.vocabulary.base
+        for j in range(at - 1, -1, -1):
+            t = self.closing.get(word[j:at], -1)
+            if t is None:
+                continue
+            if t < 0:
+                break
+            if j:
+                ok = agrees.get(last[j] * base + t)
+                if ok is None:
+                    ok = self.pair_agrees(last[j], t)
+                if not ok:
+                    continue
+            return count[j] + 1
         raise AssertionError("every byte is a token")
 
     def word_total(self, word: bytes) -> int:
@@ -112,17 +139,29 @@ class PrefixCounter:
         return self.ended(word, len(word), last, count)
 
     def learn(self, new: list[str]) -> None:
-        if len(self.totals) > CACHE_PIECES:
-            self.totals.clear()
-        find, total = self.vocabulary.split.findall, self.word_total
-        words: dict[str, int] = {}
-        for x in new:
-            n = 0
-            for w in find(x):
-                if w not in words:
-                    words[w] = total(w.encode())
-                n += words[w]
-            self.totals[x] = n
+        split = self.split_all.findall("".join(x + "\n" for x in new))
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {"\n": -1}
+        words, older = self.words, self.older
+        fresh = {}
+        for w in set(split).difference(words):
+            if w in older:
+                words[w] = older[w]
+            else:
+                fresh[w.encode()] = w
+        before, last, count = b"", [-1], [0]
+        for raw in sorted(fresh):
+            k, most = 0, min(len(last) - 1, len(raw))
+            while k < most and raw[k] == before[k]:
+                k += 1
+            del last[k + 1 :], count[k + 1 :]
+            self.go_on(raw, last, count, len(raw) - 1)
+            words[fresh[raw]] = self.ended(raw, len(raw), last, count)
+            before = raw
+        counts = np.fromiter(map(words.__getitem__, split), dtype=np.int64, count=len(split))
+        ends = counts < 0
+        upto = np.cumsum(np.where(ends, 0, counts))[ends]
+        self.totals.update(zip(new, np.diff(upto, prepend=0).tolist(), strict=True))
 
     def prefix_counts(self, piece: str) -> list[int]:
         """Tokens of each prefix of a piece, by code point."""

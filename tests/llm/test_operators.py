@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import string
 import struct
 import zipfile
 import zlib
@@ -84,6 +85,40 @@ def test_prefix_tables_hold_every_prefix(spark, tokenizer):
         assert r.prefix_tokens == [len(tokenizer.encode(shown[:k], add_special_tokens=False).ids) for k in range(len(shown) + 1)]
 
 
+def test_words_share_the_table_of_their_common_letters(tokenizer):
+    """Words of a batch go on from the letters that they share, and words of earlier batches aren't looked into again."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    own = token_counts.PrefixCounter(open(LIB, encoding="utf-8").read())
+    own.inner = Counted(own.inner)
+    first = [f"pneumonoultramicroscopicsilicovolcanoconiosis{x}" for x in string.ascii_lowercase]
+    own.learn(first[:1])
+    one, own.inner.asked = own.inner.asked, 0
+    own.learn(first[1:])
+    assert own.inner.asked < 3 * one
+    own.inner.asked = 0
+    second = [f"{x}." for x in first] + ["it's", "a-b", "éé!?"]
+    own.learn(second[:26])
+    assert own.inner.asked == 0
+    own.learn(second[26:])
+    assert [own.totals[x] for x in first + second] == [len(tokenizer.encode(x, add_special_tokens=False).ids) for x in first + second]
+
+
+def test_older_words_are_kept_for_a_while(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_WORDS", 3)
+    own = token_counts.PrefixCounter(open(LIB, encoding="utf-8").read())
+    for batch in (["alpha", "beta,gamma", "delta"], ["alpha", "epsilon"], ["zeta", "beta"], ["", "alphas", "gamma"], ["delta.delta"]):
+        own.learn(batch)
+        assert [own.totals[x] for x in batch] == [len(tokenizer.encode(x, add_special_tokens=False).ids) for x in batch]
+        assert len(own.words) + len(own.older) < 16
+
+
 # -- 2: language ----------------------------------------------------------------------------------------
 
 
