@@ -116,3 +116,13 @@ def test_a_task_of_the_patterns_stays_small(spark, sf_dir, monkeypatch):
     own = [p for p in PATTERNS if p.key == "name_orig"]
     plan = alerts(tx, own)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and f", {tx.count() // 100 + 2})" in plan
+
+
+def test_sequences_are_dealt_to_tasks_by_number(spark, sf_dir, monkeypatch):
+    """A task's rows follow from TASK_ROWS, whatever the session's number of shuffle partitions."""
+    tx = transactions(spark, sf_dir)
+    key = lambda df: {(r.account_id, tuple(x.tx_id for x in r.txs)) for r in df.collect()}
+    want = key(windows.sequences(tx))
+    monkeypatch.setattr(windows, "TASK_ROWS", 100)
+    got = windows.sequences(tx)
+    assert got.rdd.getNumPartitions() == tx.count() // 100 + 2 > 4 and key(got) == want and want
