@@ -74,13 +74,21 @@ def lr_score(seq: DataFrame, weights=LR_WEIGHTS, bias=LR_BIAS, means=LR_MEANS, s
     return seq.withColumn("lr_score", F.expr(f"greatest(0.0D, least(1.0D, ({p}) * 0.72D + far * 0.28D))")).drop("z", "logit", "far")
 
 
+#: Sequences to a task of the join with paths, and of a path from which it is broadcast: such paths are no more than all sequences by this number.
+TASK_ROWS = 25_000
+
+
 def path_scores(seq: DataFrame) -> DataFrame:
-    """Rare paths are odd: by the path's count among all sequences. Paths are counted once for all rows."""
+    """Rare paths are odd: by the path's count among all sequences. Frequent paths are broadcast, the rest is dealt to tasks by the number of sequences, so no task holds a path."""
     counts = seq.groupBy("behavior_path").agg(F.count("*").alias("path_count"))
     totals = counts.agg(F.sum("path_count").alias("path_total"))
     freq = "(path_count / path_total)"
     score = F.expr(f"case when path_total < 2 then 0.0D when {freq} < 1.0D / (path_total * 0.5D) then 0.9D when path_count < 5 then 0.5D + 0.4D * (1.0D - path_count / 5.0D) else greatest(0.0D, 0.3D * (1.0D - {freq} * 10)) end")
-    return seq.join(counts, "behavior_path").join(F.broadcast(totals)).withColumn("path_score", score)  # one row of totals
+    often, seldom = F.broadcast(counts.filter(F.col("path_count") > TASK_ROWS)), counts.filter(F.col("path_count") <= TASK_ROWS)
+    tasks = seq.count() // TASK_ROWS + 2
+    rest = seq.join(often, "behavior_path", "left_anti").repartition(tasks, "behavior_path").join(seldom.repartition(tasks, "behavior_path"), "behavior_path")
+    both = seq.join(often, "behavior_path").unionByName(rest)
+    return both.join(F.broadcast(totals)).withColumn("path_score", score)  # one row of totals
 
 
 def profile(seq: DataFrame) -> DataFrame:

@@ -129,3 +129,15 @@ def test_embeddings_equal_neighbour_means_by_hand(spark):
         now = after
     for r in training.sage(e, nodes, dim=4).collect():
         assert np.allclose(r.embedding, now[r.account], atol=1e-12)
+
+
+def test_paths_are_joined_in_bounded_tasks(spark, monkeypatch):
+    """Frequent paths are broadcast, others dealt by number; the scores are those of one join."""
+    paths = ["T->T"] * 60 + ["T->C"] * 7 + [f"P->{i}" for i in range(33)]
+    seq = spark.createDataFrame(list(enumerate(paths)), "id long, behavior_path string")
+    scored = lambda: sorted((r.id, r.path_count, r.path_total, round(r.path_score, 9)) for r in scores.path_scores(seq).collect())
+    want = scored()
+    monkeypatch.setattr(scores, "TASK_ROWS", 10)
+    assert scored() == want and [(r[1], r[2]) for r in want] == [(paths.count(p), 100) for p in paths]
+    plan = scores.path_scores(seq)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(behavior_path" in plan and f", {100 // 10 + 2}), REPARTITION_BY_NUM" in plan
