@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators import fusion, windows
-from ledgerwatch.plans import patterns
+from ledgerwatch.plans import detect, patterns
 from ledgerwatch.plans.patterns import PATTERNS, Pattern, Stage, alerts, repeat
 from ledgerwatch.schemas import TRANSACTION
 from ledgerwatch.sources.adapter import transactions
@@ -126,3 +126,13 @@ def test_sequences_are_dealt_to_tasks_by_number(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(windows, "TASK_ROWS", 100)
     got = windows.sequences(tx)
     assert got.rdd.getNumPartitions() == tx.count() // 100 + 2 > 4 and key(got) == want and want
+
+
+def test_graph_figures_are_joined_in_tasks_dealt_by_number(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(windows, "TASK_ROWS", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(detect.scored_sequences(transactions(spark, sf_dir)).inputFiles()) > 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
