@@ -1,12 +1,13 @@
 """Patterns: bounds, contiguity, keys; compiled plans against a plain matcher on random sequences, in batch and as a stream."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators import fusion, windows
-from ledgerwatch.plans import detect, patterns
+from ledgerwatch.plans import detect, patterns, registry
 from ledgerwatch.plans.patterns import PATTERNS, Pattern, Stage, alerts, repeat
 from ledgerwatch.schemas import TRANSACTION
 from ledgerwatch.sources.adapter import transactions
@@ -136,3 +137,36 @@ def test_graph_figures_are_joined_in_tasks_dealt_by_number(spark, sf_dir, monkey
         assert len(detect.scored_sequences(transactions(spark, sf_dir)).inputFiles()) > 4
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["eval_metrics", "eval_detail", "validation_dedup"])
+def test_windows_of_senders_are_dealt_to_tasks_by_number(spark, sf_dir, monkeypatch, name):
+    """Senders of a window, and the transactions that windows point to, are dealt by TASK_ROWS, whatever the session's number of shuffle partitions."""
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(registry.queries()[name](spark, sf_dir))
+    monkeypatch.setattr(windows, "TASK_ROWS", 20)
+    tx = transactions(spark, sf_dir)
+    got = registry.queries()[name](spark, sf_dir)
+    plan = re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString())
+    tasks = {
+        "ip_segment, window_ms": tx.filter("type = 'TRANSFER' and amount > 8000 and (device_risk_level = 'HIGH' or transaction_hour >= 20)").count() // 20 + 2,
+        "name_dest, window_ms": tx.filter("type = 'TRANSFER' and amount > 3000 and amount < 30000").count() // 20 + 2,
+    }
+    for cut, n in tasks.items():
+        assert f"hashpartitioning({cut}, bucket, {n})" in plan and f"hashpartitioning({cut}, {n})" in plan and n > 4
+    for column in ("first_tx", "last_tx"):
+        assert f"hashpartitioning({column}, {tx.count() // 20 + 2})" in plan
+    assert key(got) == want and want
+
+
+def test_buckets_of_senders_change_nothing(spark, sf_dir, monkeypatch):
+    """Sender by sender and all senders at once: the same windows, but for the last bits of sums."""
+    tx = transactions(spark, sf_dir).withColumn("name_dest", F.expr("concat('U', tx_id % 3)"))
+    key = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for windowed in (windows.ip_gang, windows.scatter_in):
+        found = {}
+        for buckets in (1, 64, 1_000_000):
+            monkeypatch.setattr(windows, "BUCKETS", buckets)
+            found[buckets] = key(windowed(tx))
+        assert found[1] == found[64] == found[1_000_000]
+        assert found[1] or windowed is windows.ip_gang
