@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwatch.operators import fusion, windows
+from ledgerwatch.operators import evaluate, fusion, windows
 from ledgerwatch.plans import detect, patterns, registry
 from ledgerwatch.plans.patterns import PATTERNS, Pattern, Stage, alerts, repeat
 from ledgerwatch.schemas import TRANSACTION
@@ -170,3 +170,15 @@ def test_buckets_of_senders_change_nothing(spark, sf_dir, monkeypatch):
             found[buckets] = key(windowed(tx))
         assert found[1] == found[64] == found[1_000_000]
         assert found[1] or windowed is windows.ip_gang
+
+
+def test_repeats_are_marked_in_tasks_dealt_by_number(spark, sf_dir, monkeypatch):
+    tx = transactions(spark, sf_dir)
+    monkeypatch.setattr(windows, "TASK_ROWS", 20)
+    got = registry.validation_dedup(spark, sf_dir)
+    plan = re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString())
+    assert f"hashpartitioning(account_id, fraud_type, {tx.count() // 20 + 2})" in plan
+    found = detect.rule_alerts(tx)
+    key = lambda df: sorted((r.alert_id, r.dedup) for r in df.collect())
+    marked = evaluate.mark_repeats(found, 7)
+    assert marked.rdd.getNumPartitions() == 7 and key(marked) == key(evaluate.mark_repeats(found)) and marked.filter("dedup = 'pass_duplicate'").count() > 0
