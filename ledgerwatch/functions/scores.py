@@ -161,7 +161,9 @@ def gnn_scores(seq: DataFrame) -> DataFrame:
     for i, (usual, dev) in USUAL.items():
         near = {0: hop1(norm), 2: hop1(f"{norm} * 1.5D"), 3: hop1(f"{norm} * 5.0D"), 7: hop1("if(x.amount > 20000, 1.0D, 0.0D)")}.get(i, "0.0D")
         far = {0: hop2("0.5D"), 3: hop2("2.5D")}.get(i, "0.0D")
-        fused[i] = f"least(1.0D, abs(if(size(top) = 0, {FEATURES[i]}, 0.4D * {FEATURES[i]} + 0.35D * {near} + 0.25D * {far}) - {usual}D) / {dev}D * 0.1D)"
+        # a share of a count is exact, as SQL's decimals are
+        own = f"0.4D * {FEATURES[i]}" if i in (0, 2, 3) else f"{FEATURES[i]} * 4 / 10.0D"
+        fused[i] = f"least(1.0D, abs(if(size(top) = 0, {FEATURES[i]}, {own} + 0.35D * {near} + 0.25D * {far}) - {usual}D) / {dev}D * 0.1D)"
     neighbor = "cast(case when x.amount > 50000 then 0.3BD when x.amount > 20000 then 0.2BD when x.amount > 10000 then 0.1BD else 0BD end + case x.type when 'CASH_OUT' then 0.15BD when 'TRANSFER' then 0.05BD else 0BD end as double)"
     seq = seq.withColumns(
         {
@@ -180,8 +182,8 @@ def gnn_scores(seq: DataFrame) -> DataFrame:
             "most_met": e("coalesce(array_max(transform(totals, d -> size(filter(edges, x -> x.name_dest = d.dest)))), 0)"),
         }
     )
-    # no node has an embedding, which counts 0.5
-    seq = seq.withColumn("risk", e("least(1.0D, node_risk * 0.30D + neighbor_risk * 0.25D + deviation * 0.25D + 0.5D * 0.20D)"))
+    # no node has an embedding, which counts 0.5; points are hundredths, so their share is a decimal too and a score that ends in a half doesn't fall below it
+    seq = seq.withColumn("risk", e("least(1.0D, cast(cast(node_risk as decimal(4, 2)) * 0.30BD as double) + neighbor_risk * 0.25D + deviation * 0.25D + 0.5D * 0.20D)"))
     chain = "if(n < 3, 0.0D, least(1.0D, chain_share * 0.5D + if(ups + downs = 0, 0.0D, greatest(ups, downs) / nullif(ups + downs, 0)) * 0.5D))"
     seq = seq.withColumn(
         "structure",
