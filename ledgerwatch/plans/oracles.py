@@ -280,7 +280,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_direction": with_(TX, GRAPH) + f"SELECT account, {rnd('asymmetry freq_ratio net_flow time_concentration')} FROM gx",
         "graph_neighbors": with_(TX, GRAPH) + "SELECT account, out_neighbors, in_neighbors FROM gd",
         "graph_community": with_(TX, GRAPH, COMMUNITY) + "SELECT account, community FROM cm",
-        "graph_cycles_2_3": with_(TX, GRAPH) + "SELECT account, CAST(length AS BIGINT) AS length, cycles FROM gc",
+        "graph_cycles_2_3": with_(TX, GRAPH, CYCLES) + "SELECT account, CAST(length AS BIGINT) AS length, CAST(sum(n) AS BIGINT) AS cycles FROM cy GROUP BY 1, 2 HAVING sum(n) > 0",
         "graph_cycles": with_(TX, GRAPH, CYCLES) + "SELECT account, CAST(length AS BIGINT) AS length, CAST(sum(n) AS BIGINT) AS cycles FROM cy GROUP BY 1, 2 HAVING sum(n) > 0",
         "graph_clustering": with_(TX, GRAPH) + """, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM gp), n AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), d AS (SELECT a AS account, count(*) AS degree FROM n GROUP BY 1),
             t AS (SELECT x.a AS account, count(*) // 2 AS triangles FROM n x JOIN n y ON y.a = x.b JOIN n z ON z.a = y.b AND z.b = x.a GROUP BY 1)

@@ -172,3 +172,12 @@ def test_cycles_walk_only_what_can_close(spark):
     e = spark.createDataFrame(links, "src string, dst string")
     assert graph.looping(graph.pairs(e)).count() == 4
     assert {(r.account, r.length, r.cycles) for r in graph.cycles(e).collect()} == {("hub", 2, 1), ("b", 2, 1), ("hub", 3, 1), ("b", 3, 1), ("c", 3, 1)}
+
+
+def test_cycles_of_the_query_go_on_beyond_three_edges(spark, tmp_path):
+    links = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 0), (1, 6), (6, 7), (7, 0), (2, 1), (7, 8)]
+    rows = [(i, user, "view", 1.0, f'{{"k": {k}}}') for i, (user, k) in enumerate(links)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").selectExpr("*", "timestamp '2024-01-02 00:00:00' ts").write.parquet(str(tmp_path / "events.parquet"))
+    want = cycles_by_hand([(f"U{a}", f"U{b}") for a, b in links])
+    assert {length for _, length in want} == {2, 4, 6}
+    assert {(r.account, r.length): r.cycles for r in registry.queries()["graph_cycles_2_3"](spark, str(tmp_path)).collect()} == want
