@@ -181,3 +181,27 @@ def test_cycles_of_the_query_go_on_beyond_three_edges(spark, tmp_path):
     want = cycles_by_hand([(f"U{a}", f"U{b}") for a, b in links])
     assert {length for _, length in want} == {2, 4, 6}
     assert {(r.account, r.length): r.cycles for r in registry.queries()["graph_cycles_2_3"](spark, str(tmp_path)).collect()} == want
+
+
+def test_pairs_of_hops_are_listed_last(spark, monkeypatch):
+    """Pairs come out named: nothing joins or deals them. Small pieces and groups, some seeds and all, names broadcast and dealt."""
+    rng = random.Random(9)
+    links = random_links(rng, 50, 90) + [(f"n{i}", "hub") for i in range(0, 50, 2)]
+    e = spark.createDataFrame([(a, b, 1.0, 0) for a, b in links], "src string, dst string, amount double, event_ms long")
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    everyone = graph.sides(e).selectExpr("account as seed").distinct()
+    for few, broadcast, seeds in ((3, 0, everyone), (2, 1000, everyone.filter("seed like '%3' or seed = 'hub'").union(everyone.selectExpr("'nobody' as seed").limit(1)))):
+        for name, value in (("BLOCK", 20), ("NAMED", few), ("PIECE", few), ("TASK_PAIRS", 500), ("BROADCAST", broadcast)):
+            monkeypatch.setattr(graph, name, value)
+        some = {r.seed for r in seeds.collect()} - {"nobody"}
+        want = {(s, a) for s in some for x in near[s] for a in near[x]} - {(s, a) for s in some for a in near[s] | {s}}
+        p = graph.both_ways(e)
+        found = graph.second_hops(p, seeds, graph.numbered(p), False)
+        got = [(r.seed, a) for r in found.collect() for a in r.accounts]
+        assert len(got) == len(set(got)) and set(got) == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.startswith("FlatMapCoGroupsInArrow")
+        assert {(r.seed, r.account) for r in graph.hops(e, seeds).filter("hops = 2").collect()} == want
